@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from voxelspring.llm import packing
+from voxelspring.llm import bpe, media, packing
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op4_media_columns": media.query,
+    "op10_bpe_codec": bpe.query,
 }
 ORACLES: dict[str, str] = {}
