@@ -1,0 +1,29 @@
+"""Connected components over tables of links, without gathering them anywhere."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxelspring.llm.common import drop_stored, stored
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) for every node of `links` (a, b); label: the smallest node that it reaches.
+
+    Each round takes the smallest label among a node's neighbours, then the label of that label,
+    so paths halve; a round's labels are a stored table.
+    """
+    both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
+        at = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
+        after = stored(lower.join(at, "to").select("node", F.least("to", "further").alias("label"), "was"))
+        moved = after.where("label < was").limit(1).count()
+        drop_stored(labels)
+        labels = after.select("node", "label")
+        if not moved:
+            drop_stored(both)
+            return labels

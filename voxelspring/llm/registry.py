@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from voxelspring.llm import bpe, media, packing
+from voxelspring.llm import bpe, media, neardup, neighbours, packing, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op3_exact_topk": neighbours.query,
     "op4_media_columns": media.query,
+    "op6_url_filter": urls.query,
+    "op7_minhash_dedup": neardup.query,
     "op10_bpe_codec": bpe.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_topk": neighbours.ORACLE,
+}
