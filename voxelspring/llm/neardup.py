@@ -11,10 +11,11 @@ Rows with the same set are one row until the end. A table's bucket isn't expande
 * each task first folds its own equal keys, so a frequent key costs a row for each task;
 * the members of a bucket are tested against one of them, the same in every bucket of the group
   (the member with the smallest hash);
-* buckets that then lie in one component are done. In the others, members outside the bucket's
-  largest component are tested against a growing share of the bucket, eight times as many each
-  round, up to all of it. So no link inside a bucket is lost, and a large group of copies costs a
-  few tests for each member.
+* buckets that then lie in one component are done. The documents of the others form clouds, joined
+  by common buckets. In a cloud, every document outside its largest component meets every one of
+  the cloud, block by block: a longer signature in a matrix comparison first, full sets for what
+  it leaves, and a union-find that skips what is joined by then. A block hands on the links that
+  join something, at most one for each of its documents, so no pairs are spread out as rows.
 
 Defined results: a null or empty text, or one of white space alone, has an empty set and is linked
 with nothing; a repeated row gets the same result again, and rows that share a doc_id but not their
@@ -44,7 +45,11 @@ SEED = 0x5DEECE66D
 AGREE = 15
 #: Keys in a shard of the tables, about.
 SHARD_KEYS = 1_000_000
-GROWTH = 8
+#: Documents in a block of a cloud.
+BLOCK = 512
+#: Minhashes in a block's comparison, and those that must agree: fewer do about once in four million
+#: pairs at a similarity of 0.85.
+LONG, LONG_AGREE = 256, 187
 
 
 def minhash_seeds(groups: int = GROUPS, width: int = WIDTH) -> np.ndarray:
@@ -173,38 +178,83 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, agree: int, pe
     return full.select("a", "b", "xa", "xb").mapInArrow(similar, "a long, b long")
 
 
+def similar_pairs(x: list[np.ndarray], y: list[np.ndarray], differ: np.ndarray, agree: float, percent: int, joined) -> list[tuple[int, int]]:
+    """(i, j) of similar sets x[i], y[j] that join something: joined(i, j) says whether they are
+    joined already and joined(i, j, True) joins them. differ: which pairs are to be looked at."""
+    seeds = mix64(np.arange(1, LONG + 1, dtype=np.uint64) * np.uint64(SEED) ^ np.uint64(0xA5A5))
+    sx, sy = (np.stack([signature(s, seeds) for s in sets]).astype(np.uint16) for sets in (x, y))
+    nx, ny = (np.array([len(s) for s in sets], dtype=np.int64) for sets in (x, y))
+    same = np.stack([(row == sy).sum(axis=1) for row in sx])
+    low, high = np.minimum(nx[:, None], ny[None]), np.maximum(nx[:, None], ny[None])
+    i, j = np.nonzero(differ & (low * 100 >= high * percent) & (same >= agree))
+    out = []
+    for at in np.argsort(-same[i, j], kind="stable"):
+        a, b = int(i[at]), int(j[at])
+        if joined(a, b):
+            continue
+        both = np.concatenate([x[a], y[b]])
+        both.sort(kind="stable")
+        shared = int((both[1:] == both[:-1]).sum())
+        if 100 * shared >= percent * (len(both) - shared):
+            joined(a, b, True)
+            out.append((a, b))
+    return out
+
+
+def clouds(still: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between documents of unresolved buckets. still: (key, doc, label)."""
+    first = still.groupBy("key").agg(F.min("doc").alias("a"))
+    cloud = components(still.join(first, "key").select("a", F.col("doc").alias("b")))
+    own = stored(still.select("doc", "label").distinct().join(cloud.withColumnsRenamed({"node": "doc", "label": "cloud"}), "doc"))
+    sizes = own.groupBy("cloud", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cloud").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    every = stored(own.join(sizes, "cloud").join(sets.select(F.col("rep").alias("doc"), "shingles"), "doc"))
+    a_blocks, b_blocks = (F.ceil(c / block).cast("int") for c in (F.col("n") - F.col("top"), F.col("n")))
+    turn = F.xxhash64("doc")
+
+    def dealt(df, own_blocks, other_blocks, own_name, other_name):
+        df = df.withColumn(own_name, F.pmod(turn, own_blocks).cast("int"))
+        return df.withColumn(other_name, F.explode(F.sequence(F.lit(0), other_blocks - 1))).select("cloud", "p", "q", "doc", "label", "shingles")
+
+    left = dealt(every.where("label <> main"), a_blocks, b_blocks, "p", "q")
+    right = dealt(every.where("n > top"), b_blocks, a_blocks, "q", "p")
+    agree = LONG_AGREE if percent >= PERCENT else 0
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        x, y = ([np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()] for t in (a, b))
+        (da, la), (db, lb) = ([t.column(c).to_numpy() for c in ("doc", "label")] for t in (a, b))
+        root: dict[int, int] = {}
+
+        def find(v):
+            while (up := root.get(v, v)) != v:
+                root[v] = root.get(up, up)
+                v = up
+            return v
+
+        def joined(i, j, now=False):
+            p, q = find(int(la[i])), find(int(lb[j]))
+            if now and p != q:
+                root[max(p, q)] = min(p, q)
+            return p == q
+
+        found = similar_pairs(x, y, la[:, None] != lb[None], agree, percent, joined)
+        return pa.table({"a": pa.array([int(da[i]) for i, _ in found], pa.int64()), "b": pa.array([int(db[j]) for _, j in found], pa.int64())})
+
+    return left.groupBy("cloud", "p", "q").cogroup(right.groupBy("cloud", "p", "q")).applyInArrow(tile, "a long, b long")
+
+
 def link(members: DataFrame, sigs: DataFrame, sets: DataFrame, agree: int, percent: int) -> DataFrame:
     """(node, label) of all documents that some confirmed link joins."""
-    spark = members.sparkSession
-    order = F.xxhash64("doc")
-    first = members.groupBy("key").agg(F.min_by("doc", F.struct(order, "doc")).alias("b"))
+    first = members.groupBy("key").agg(F.min_by("doc", F.struct(F.xxhash64("doc"), "doc")).alias("b"))
     pairs = members.join(first, "key").where("doc <> b").select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
-    tested = stored(pairs)
-    links = stored(confirmed(tested, sigs, sets, agree, percent))
-    share = GROWTH
-    while True:
-        labels = components(links)
-        at = members.join(labels, members.doc == labels.node, "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-        by_label = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        keys = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-        # what is left to do, with the size of each bucket and its largest component
-        still = stored(at.join(keys.select("key", "n", "main"), "key"))
-        most = still.agg(F.max("n")).first()[0]
-        if most is None:
-            return labels
-        # a bucket's documents in a fixed random order, of which a share is tested in this round
-        turn = F.pmod(F.xxhash64("doc", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        some = still.where(turn * F.col("n") < share).select("key", F.col("doc").alias("b"), F.col("label").alias("lb"))
-        outside = still.where("label <> main").select("key", F.col("doc").alias("a"), F.col("label").alias("la"))
-        more = outside.join(some, "key").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = stored(more.join(tested, ["a", "b"], "left_anti"))
-        found = stored(confirmed(fresh, sigs, sets, agree, percent))
-        tested, links = tested.union(fresh), links.union(found)
-        if share >= most:
-            # every pair across components has now been tested in every bucket
-            return components(links) if found.limit(1).count() else labels
-        share *= GROWTH
-        members = still.select("key", "doc")
+    links = stored(confirmed(pairs, sigs, sets, agree, percent))
+    labels = components(links)
+    at = members.join(labels, members.doc == labels.node, "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+    open_keys = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    still = stored(at.join(open_keys, "key", "left_semi"))
+    more = stored(clouds(still, sets, percent))
+    return components(links.union(more)) if more.limit(1).count() else labels
 
 
 def cluster(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH, agree: int = AGREE) -> DataFrame:
@@ -233,5 +283,12 @@ def cluster(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, groups
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+    """docs without those that have a smaller id in their component; all columns stay, as do rows
+    with a null id and all rows that repeat the smallest id."""
+    gone = cluster(docs, **parameters).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "documents"))

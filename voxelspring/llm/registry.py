@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from voxelspring.llm import bpe, media, neardup, neighbours, packing, urls
+from voxelspring.llm import bpe, chat, lm, media, neardup, neighbours, packing, substrings, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_lm_scoring": lm.query,
     "op3_exact_topk": neighbours.query,
     "op4_media_columns": media.query,
+    "op5_toxicity": toxicity.query,
     "op6_url_filter": urls.query,
     "op7_minhash_dedup": neardup.query,
+    "op8_chat_tool_linking": chat.query,
+    "op9_substring_dedup": substrings.query,
     "op10_bpe_codec": bpe.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_lm_scoring": lm.query,
     "op3_exact_topk": neighbours.ORACLE,
 }
