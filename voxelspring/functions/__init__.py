@@ -1 +1,79 @@
-"""Part of the point engine; see the README for the layout."""
+"""Column expressions: colours, vectors, planes, palettes, text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Colours by class code (red, green, blue); other codes are black. Fixed values.
+CLASS_COLORS = {1: (1.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0), 6: (0.0, 0.0, 1.0), 9: (0.5, 0.5, 0.5), 26: (1.0, 1.0, 0.0)}
+BUILDING = 6
+#: Ten qualitative colours for labels. Fixed values.
+PALETTE = ((0.121569, 0.466667, 0.705882), (1.0, 0.498039, 0.054902), (0.172549, 0.627451, 0.172549), (0.839216, 0.152941, 0.156863), (0.580392, 0.403922, 0.741176), (0.54902, 0.337255, 0.294118), (0.890196, 0.466667, 0.760784), (0.498039, 0.498039, 0.498039), (0.737255, 0.741176, 0.133333), (0.090196, 0.745098, 0.811765))
+
+
+def rescaled(column: Column, depth: int = 255) -> Column:
+    """An integer colour of the given depth (255 or 65535) as a fraction."""
+    return column / F.lit(float(depth))
+
+
+def class_color(cls: Column) -> dict[str, Column]:
+    out = {}
+    for i, name in enumerate("rgb"):
+        column = F.lit(0.0)
+        for code, color in CLASS_COLORS.items():
+            column = F.when(cls == code, color[i]).otherwise(column)
+        out[name] = column
+    return out
+
+
+def red_black(cls: Column) -> dict[str, Column]:
+    """Buildings red, the rest black."""
+    return {"r": F.when(cls == BUILDING, 1.0).otherwise(0.0), "g": F.lit(0.0), "b": F.lit(0.0)}
+
+
+def uniform(r: float, g: float, b: float) -> dict[str, Column]:
+    return {"r": F.lit(float(r)), "g": F.lit(float(g)), "b": F.lit(float(b))}
+
+
+def palette_color(index: Column, palette=PALETTE) -> dict[str, Column]:
+    """The index-th colour, counted round the palette; black for negative indexes."""
+    return {name: F.when(index < 0, 0.0).otherwise(F.element_at(F.array(*[F.lit(c[i]) for c in palette]), (index % len(palette) + 1).cast("int"))) for i, name in enumerate("rgb")}
+
+
+def label_color(label: Column, top: Column, palette=PALETTE) -> dict[str, Column]:
+    """The colour at label / top of the palette (top 0 or less counts as 1); black for noise."""
+    share = label / F.when(top > 0, top).otherwise(1)
+    return palette_color(F.when(label < 0, -1).otherwise(F.least(F.floor(share * len(palette)), F.lit(len(palette) - 1))), palette)
+
+
+def cross(a: tuple, b: tuple) -> tuple:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def dot(a: tuple, b: tuple) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def norm(a: tuple) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def plane_distance(point: tuple, plane: tuple) -> Column:
+    """Signed distance of a point to the plane (a, b, c, d)."""
+    a, b, c, d = plane
+    return (dot(point, (a, b, c)) + d) / F.sqrt(a * a + b * b + c * c)
+
+
+def bearing(x: Column, y: Column, cx: Column, cy: Column) -> Column:
+    """Angle from +y towards +x."""
+    return F.atan2(x - cx, y - cy)
+
+
+def result_name(path: str, suffix: str) -> str:
+    """The name before its first dot with a suffix: the rule for all result files."""
+    return path.split(".")[0] + suffix
+
+
+def plane_text(plane: tuple) -> Column:
+    return F.format_string("%.2fx + %.2fy + %.2fz + %.2f = 0", *plane)

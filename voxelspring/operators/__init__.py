@@ -1 +1 @@
-"""Part of the point engine; see the README for the layout."""
+"""Operators on clouds: each takes DataFrames and gives a DataFrame."""

@@ -1 +1,9 @@
-"""Part of the point engine; see the README for the layout."""
+"""Readers and writers: delimited text, LAS, PLY, OBJ."""
+
+from __future__ import annotations
+
+from voxelspring.sources.las import read_las
+from voxelspring.sources.ply import read_ply, write_ply
+from voxelspring.sources.text import read_delimited, read_obj, read_whitespace, table_to_cloud, write_text
+
+__all__ = ["read_delimited", "read_las", "read_obj", "read_ply", "read_whitespace", "table_to_cloud", "write_ply", "write_text"]
