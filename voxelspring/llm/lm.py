@@ -279,7 +279,7 @@ def score_by_shards(docs: DataFrame, model: Model) -> DataFrame:
         out = rows_scored([None if r[1] else int(r[0]) for r in head], [bool(r[2]) for r in head], [np.empty(n) for n in lengths], values[0][back[0]], values[1][back[1]], total, distinct, texts)
         return pa.table([pa.array(v, t) for v, t in zip(out, TYPES, strict=True)], names=NAMES)
 
-    rows = docs.mapInArrow(asked, fields)
+    rows = stored(docs.mapInArrow(asked, fields))  # once: a chunk's number depends on its task
     ask, head = rows.where("shard >= 0"), rows.where("shard < 0")
     answers = ask.groupBy("shard").cogroup(model.shards.select("shard", "words", "counts", "bits", "size").groupBy("shard")).applyInArrow(answered, fields)
     return answers.union(head).groupBy("chunk").applyInArrow(finished, SCHEMA)

@@ -204,8 +204,14 @@ def similar_pairs(x: list[np.ndarray], y: list[np.ndarray], differ: np.ndarray,
 def clouds(still: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between documents of unresolved buckets. still: (key, doc, label)."""
     first = still.groupBy("key").agg(F.min("doc").alias("a"))
-    cloud = components(still.join(first, "key").select("a", F.col("doc").alias("b")))
-    own = stored(still.select("doc", "label").distinct().join(cloud.withColumnsRenamed({"node": "doc", "label": "cloud"}), "doc"))
+    star = stored(still.join(first, "key").groupBy("a", F.col("doc").alias("b")).agg(F.first("label").alias("label")))
+    # one edge for each document first, to the smallest of its buckets' first ones; what that leaves
+    # apart is joined over the few labels it gives
+    forest = components(star.groupBy("b").agg(F.min("a").alias("a")))
+    rough = stored(star.select(F.col("b").alias("doc"), "label").distinct().join(forest.select(F.col("node").alias("doc"), F.col("label").alias("tree")), "doc", "left").withColumn("tree", F.coalesce("tree", "doc")))
+    a, b = (rough.select(F.col("doc").alias(c), F.col("tree").alias(f"t{c}")) for c in "ab")
+    across = components(star.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
+    own = stored(rough.join(across.select(F.col("node").alias("tree"), F.col("label").alias("whole")), "tree", "left").select("doc", "label", F.coalesce("whole", "tree").alias("cloud")))
     sizes = own.groupBy("cloud", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cloud").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("main"))
     every = stored(own.join(sizes, "cloud").join(sets.select(F.col("rep").alias("doc"), "shingles"), "doc"))
     a_blocks, b_blocks = (F.ceil(c / block).cast("int") for c in (F.col("n") - F.col("top"), F.col("n")))
