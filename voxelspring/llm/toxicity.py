@@ -27,7 +27,6 @@ input don't matter.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 
 from voxelspring.llm.common import crc_bucket, table
 
-SAMPLE = 3_000
+SAMPLE = 2_000
 LANDMARKS, BACKGROUND = 80, 8
 #: Occurrences that span more characters than SPAN are left out of the kernel.
 DECAY, SPAN = 0.7, 10
@@ -144,34 +143,34 @@ def norms_of_length(strings: list[str]) -> np.ndarray:
     return np.sqrt(np.bincount(first // codes.shape[1], sums**2, len(strings)))
 
 
-def gains(bags: list[set[str]], y: np.ndarray) -> tuple[dict[str, float], Counter]:
-    """How well a unit's presence tells toxic texts (Fisher's criterion, with a pseudo-count that
-    keeps rare units behind), and counts of clean texts by unit."""
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        (toxic if label else clean).update(bag)
+def gains(own: list[np.ndarray], y: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How well each unit's presence tells toxic texts (Fisher's criterion, with a pseudo-count that
+    keeps rare units behind; -1 for units of one toxic text or of few characters), and the number of
+    clean texts with it. own: the units of each text, as numbers."""
+    counts = [np.zeros(len(names)), np.zeros(len(names))]
+    for units_of, label in zip(own, y, strict=True):
+        counts[int(label)][units_of] += 1
+    clean, toxic = counts
     n_toxic, n_clean = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    out = {}
-    for u, k in toxic.items():
-        if k >= 2 and len(u) >= 3:
-            p, q = k / n_toxic, clean[u] / n_clean
-            out[u] = (p - q) / np.sqrt((p + q) / 2 + 2.0 / n_toxic)
-    return out, clean
+    p, q = toxic / n_toxic, clean / n_clean
+    gain = (p - q) / np.sqrt((p + q) / 2 + 2.0 / n_toxic)
+    short = np.fromiter((len(u) < 3 for u in names), bool, len(names))
+    return np.where((toxic >= 2) & ~short, gain, -1.0), np.where(short, 0, clean)
 
 
-def chosen_landmarks(gain: dict[str, float], clean: Counter, count: int = LANDMARKS, background: int = BACKGROUND, apart: float = 0.9) -> list[str]:
+def chosen_landmarks(gain: np.ndarray, clean: np.ndarray, names: list[str], count: int = LANDMARKS, background: int = BACKGROUND, apart: float = 0.9) -> list[int]:
     """The units of the highest gain that are apart from those before, then the most frequent others."""
-    likely = sorted((u for u in gain if gain[u] > 0), key=lambda u: (-gain[u], u))[: 20 * count]
-    out: list[str] = []
+    likely = [i for i in np.lexsort((names, -gain))[: 5 * count] if gain[i] > 0]
+    picked: list[int] = []
     if likely:
-        near = Kernel(likely).values(likely)
-        picked: list[int] = []
+        near = Kernel([names[i] for i in likely]).values([names[i] for i in likely])
+        at: list[int] = []
         for i in range(len(likely)):
-            if len(picked) < count - background and (not picked or near[i, picked].max() < apart):
-                picked.append(i)
-        out = [likely[i] for i in picked]
-    rest = sorted((u for u in clean if len(u) >= 3 and u not in out), key=lambda u: (-clean[u], u))
-    return out + rest[: count - len(out)]
+            if len(at) < count - background and (not at or near[i, at].max() < apart):
+                at.append(i)
+        picked = [int(likely[i]) for i in at]
+    rest = [int(i) for i in np.argsort(-clean, kind="stable")[: 2 * count] if clean[i] > 0 and i not in picked]
+    return picked + rest[: count - len(picked)]
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 60) -> tuple[np.ndarray, float]:
@@ -216,23 +215,24 @@ class Model:
         self.kernel, self.kept = None, {}
         if len(set(labels)) < 2:
             return
-        bags = [units(t) for t in texts]
-        gain, clean = gains(bags, y)
-        landmarks = chosen_landmarks(gain, clean)
-        if not landmarks:
+        # units as numbers, one string for each: the texts' own would fill the driver's memory
+        place: dict[str, int] = {}
+        own = [np.array([place.setdefault(u, len(place)) for u in sorted(units(t))], dtype=np.int64) for t in texts]
+        names = list(place)
+        del place
+        of_gain, clean = gains(own, y, names)
+        chosen = chosen_landmarks(of_gain, clean, names)
+        if not chosen:
             self.only = float(y.mean())
             return
+        landmarks = [names[i] for i in chosen]
         self.kernel = Kernel(landmarks)
-        names = sorted(set().union(*bags))
-        place = {u: i for i, u in enumerate(names)}
-        own = [np.sort(np.fromiter((place[u] for u in b), np.int64, len(b))) for b in bags]
         m = self.kernel.values(landmarks)
         values, vectors = np.linalg.eigh((m + m.T) / 2)
         root = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T
-        of_gain = np.array([gain.get(u, -1.0) for u in names])
         margin, picked, self.weights, self.bias = of_gain, {}, np.zeros(len(self.kernel.weights)), 0.0
         # landmarks of toxic texts are witnesses too, whole and with a character put in
-        told = [u for u in landmarks if gain.get(u, 0.0) > 0 and not clean[u]]
+        told = [names[i] for i in chosen if of_gain[i] > 0 and not clean[i]]
         told += [u[:i] + "*" + u[i:] for u in told for i in range(1, len(u))]
         fixed = self.kernel.values(told) @ root
         for _ in range(ROUNDS):
@@ -252,8 +252,7 @@ class Model:
             if len(picked) == before:
                 break
         tops = np.array([margin[o].max() if len(o) else self.bias for o in own])
-        shown = self.kernel.apply(told, self.weights) + self.bias
-        self.slope, self.offset = platt(np.concatenate([tops, shown]), np.concatenate([y, np.ones(len(told))]))
+        self.slope, self.offset = platt(tops, y)
 
     def __getstate__(self):
         return self.__dict__ | {"kept": {}}
