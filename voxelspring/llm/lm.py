@@ -125,15 +125,21 @@ class Model:
 
     def gathered(self) -> tuple[np.ndarray, np.ndarray, Filter]:
         """All shards in driver memory; only for models under the broadcast limit."""
-        words, counts, bits, size = [], [], [np.zeros(0, np.uint8)] * self.count, np.full(self.count, 64)
-        for r in self.shards.select("shard", "words", "counts", "bits", "size").toLocalIterator():
-            words.append(np.frombuffer(r["words"], np.uint64))
-            counts.append(np.frombuffer(r["counts"], np.int64))
-            bits[r["shard"]], size[r["shard"]] = np.frombuffer(r["bits"], np.uint8), r["size"]
-        bits = [b if len(b) else np.zeros(8, np.uint8) for b in bits]
-        words, counts = np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate([np.zeros(0, np.int64), *counts])
-        order = np.argsort(words, kind="stable")
-        return words[order], counts[order], Filter(np.concatenate(bits), np.r_[0, np.cumsum(size)[:-1]], size)
+        size = np.full(self.count, 64, dtype=np.int64)
+        for r in self.shards.select("shard", "size").collect():
+            size[r["shard"]] = r["size"]
+        offset = np.r_[0, np.cumsum(size)]
+        # filled in place, so that the driver never holds the model twice
+        bits = np.zeros(int(offset[-1]) // 8, dtype=np.uint8)
+        words, counts, at = np.zeros(self.distinct, np.uint64), np.zeros(self.distinct, np.int64), 0
+        for r in self.shards.select("shard", "words", "counts", "bits").toLocalIterator():
+            own = np.frombuffer(r["words"], np.uint64)
+            words[at : at + len(own)], counts[at : at + len(own)] = own, np.frombuffer(r["counts"], np.int64)
+            at += len(own)
+            begin = int(offset[r["shard"]]) // 8
+            bits[begin : begin + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        order = np.argsort(words)
+        return words[order], counts[order], Filter(bits, offset[:-1], size)
 
 
 def train(texts: DataFrame) -> Model:
