@@ -180,7 +180,10 @@ class UrlModel:
 
 def train(ruled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     labelled = ruled.where(F.col("rule_verdict").isNotNull())
-    order = F.xxhash64("url")
+    order, n = F.xxhash64("url"), labelled.count()
+    if n > 2 * sample:
+        # by hash on the workers first, so that tasks don't each send a whole sample to the driver
+        labelled = labelled.where(F.pmod(order, F.lit(1 << 30)) < int(1.5 * sample / n * (1 << 30)))
     rows = labelled.select("url", "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("label")).orderBy(order, "url").limit(sample).collect()
     return UrlModel([tuple(r) for r in rows])
 
