@@ -10,7 +10,7 @@ import pytest
 from voxelspring.plans.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["filter_above_mean_z", "radius_query", "voxel_best_point", "built_coverage", "polygon_area_sorted", "ransac_segment", "knn", "normals_hybrid", "dbscan_labels", "multi_plane"]
+SOME = ["filter_above_mean_z", "radius_query", "voxel_best_point", "built_coverage", "polygon_area_unsorted", "polygon_area_sorted", "ransac_segment", "knn", "normals_hybrid", "dbscan_labels", "multi_plane"]
 
 
 def test_every_oracle_has_a_query():

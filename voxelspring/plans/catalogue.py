@@ -92,9 +92,8 @@ query("built_coverage", f", B AS (SELECT pid, x, y, z, CAST(CASE WHEN cls = 6 TH
 )
 # polygons and meshes
 SHOELACE = "S AS (SELECT o, x * coalesce(lead(y) OVER (ORDER BY o), first_value(y) OVER (ORDER BY o)) - coalesce(lead(x) OVER (ORDER BY o), first_value(x) OVER (ORDER BY o)) * y AS t FROM P)"
-query("polygon_area_unsorted", f", P AS (SELECT pid AS o, x, y FROM E WHERE pid < 12), {SHOELACE} SELECT {R('abs(sum(t)) / 2', 'area', 9)} FROM S", "E")(lambda c: polygon.area(c.where("pid < 12")).select(F.round("area", 9).alias("area")))
+query("polygon_area_unsorted", f", P AS (SELECT pid AS o, x, y FROM E WHERE pid < 12), {SHOELACE} SELECT {R('abs(sum(t)) / 2', 'area')} FROM S", "E")(lambda c: polygon.area(c.where("pid < 12")).select("area"))
 query("polygon_area_sorted", f", Q AS (SELECT * FROM E WHERE pid < 12), P AS (SELECT row_number() OVER (ORDER BY round(atan2(x - (SELECT avg(x) FROM Q), y - (SELECT avg(y) FROM Q)), 12) DESC, pid) AS o, x, y FROM Q), {SHOELACE} SELECT {R('abs(sum(t)) / 2', 'area')} FROM S", "E")(lambda c: polygon.area(polygon.sorted_ring(c.where("pid < 12")), "ord").select("area"))
-ORACLES["polygon_area_unsorted"] = ORACLES["polygon_area_unsorted"].replace("/ 2, 9)", "/ 2, 6)")
 query("ring_centroid", f"SELECT {R('avg(x)', 'x')}, {R('avg(y)', 'y')} FROM E WHERE pid < 12", "E")(lambda c: polygon.centroid(c.where("pid < 12")))
 
 
