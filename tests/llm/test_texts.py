@@ -185,3 +185,10 @@ def test_urls_and_schemas():
     assert chat.faults({"a": 0, "b": 1}, schema) == ["$.a: below 1", "$.b: unknown"]
     assert chat.faults({"a": True}, schema) == ["$.a: not integer"] and chat.faults({}, schema) == ["$.a: missing"]
     assert chat.canonical({"b": "é", "a": [1, None]}) == '{"a":[1,null],"b":"é"}'
+
+
+def test_every_oracle_is_sql_of_a_query():
+    from voxelspring.llm.registry import ORACLES, QUERIES
+
+    assert set(ORACLES) <= set(QUERIES)
+    assert all(isinstance(sql, str) for sql in ORACLES.values())

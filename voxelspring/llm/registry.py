@@ -17,6 +17,5 @@ QUERIES = {
     "op10_bpe_codec": bpe.query,
 }
 ORACLES: dict[str, str] = {
-    "op2_lm_scoring": lm.query,
     "op3_exact_topk": neighbours.ORACLE,
 }
