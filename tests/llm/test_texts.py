@@ -50,7 +50,23 @@ def test_plan_places_every_piece_once(counts):
     assert all(seen[n] == set(range(k)) for n, k in counts.items())
     # no gaps: what is filled is a prefix
     assert all((row[: row.sum()] == 1).all() for row in fill)
-    assert plan.lower_bound() <= plan.bins <= max(plan.lower_bound(), int(1.25 * plan.lower_bound()) + 1)
+    # the volume alone bounds from below too loosely: five pieces of 33 of 64 need five sequences. The
+    # bound over all splits is at least 2/3 of the optimum; best-fit takes at most 11/9 of that + 2/3
+    low = max(split_bound(counts, 64, small) for small in range(33))
+    assert max(low, plan.lower_bound()) <= plan.bins <= 11 / 6 * low + 2 / 3
+
+
+def split_bound(counts, capacity, small):
+    """Martello and Toth's bound that leaves pieces below `small` aside."""
+    big = sum(k for n, k in counts.items() if n > capacity - small)
+    half = {n: k for n, k in counts.items() if capacity // 2 < n <= capacity - small}
+    rest = sum(n * k for n, k in counts.items() if small <= n <= capacity // 2)
+    room = sum((capacity - n) * k for n, k in half.items())
+    return big + sum(half.values()) + max(0, -(-(rest - room) // capacity))
+
+
+def test_plan_of_pieces_over_half_takes_one_sequence_each():
+    assert packing.Plan({33: 5}, 64).bins == 5
 
 
 @settings(max_examples=40, deadline=None)
