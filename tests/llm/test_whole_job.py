@@ -41,3 +41,12 @@ def test_passages_meet_behind_a_frequent_phrase(spark, holders):
     for parts in (1, 7):
         found = substrings.duplicate_passages(docs.repartition(parts)).collect()
         assert {(r["doc_id"], r["ref_doc_id"], r["start_word"], r["n_words"]) for r in found} == {(second, first, 60, 50)}
+
+
+def test_neighbouring_passages_keep_their_references(spark, tmp_path):
+    rng = np.random.default_rng(32)
+    a, b = fresh(rng, 80), fresh(rng, 80)
+    rows = [(5, fresh(rng, 70) + a + fresh(rng, 70)), (9, fresh(rng, 70) + b + fresh(rng, 70)), (12, fresh(rng, 70) + a + b + fresh(rng, 70))]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["doc_id"], r["ref_doc_id"], r["start_word"], r["n_words"]) for r in substrings.query(spark, str(tmp_path)).collect()}
+    assert found == {(12, 5, 70, 80), (12, 9, 150, 80)}
