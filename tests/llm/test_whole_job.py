@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from voxelspring.llm import common, substrings
+import corpus_pipeline
+from voxelspring.llm import common, neardup, substrings
 
 
 def fresh(rng, n: int) -> list[str]:
@@ -50,3 +51,21 @@ def test_neighbouring_passages_keep_their_references(spark, tmp_path):
     spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r["doc_id"], r["ref_doc_id"], r["start_word"], r["n_words"]) for r in substrings.query(spark, str(tmp_path)).collect()}
     assert found == {(12, 5, 70, 80), (12, 9, 150, 80)}
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    """One replaced word in 50: 45 of 55 shingles shared, in 200 pairs."""
+    rng = np.random.default_rng(33)
+    rows = []
+    for i in range(200):
+        own = fresh(rng, 54)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:25], "other", *own[26:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [neardup.shingle_set(t) for _, t in rows[:2]]
+    assert 0.8 <= len(np.intersect1d(*sets)) / len(np.union1d(*sets)) < 0.85
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").toPandas().doc_id
+    assert sorted(kept) == list(range(0, 400, 2))
+
+
+def test_least_agreeing_minhashes():
+    assert neardup.least_agreeing(256, 85) <= 187 and neardup.least_agreeing(48, 80) < 0.8 * 48

@@ -3,8 +3,8 @@
 Two collections of m hash groups, each of r minhashes, make m * m table keys: every pair of a group
 from the first with one from the second. So 2 * m * r minhashes serve m * m tables of 2 * r hashes
 each, where banding them one by one would need m * m * 2 * r. Two sets of similarity s meet in some
-table unless all groups of one collection differ, at most 2 * (1 - s^r)^m; that is below 4e-5 at
-0.85 with the parameters here, and an exact check on the full sets follows.
+table unless all groups of one collection differ, at most 2 * (1 - s^r)^m: 7.0e-5 at 0.85 with the
+8 groups of 2 here, and 9.5e-6 at 0.80 with 12 groups of 2. An exact check on the full sets follows.
 
 Rows with the same set are one row until the end. A table's bucket isn't expanded into pairs:
 
@@ -26,6 +26,7 @@ is null and it is kept; an empty table gives no rows; further columns of the inp
 from __future__ import annotations
 
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +41,25 @@ SHINGLE = 5
 PERCENT = 85
 GROUPS, WIDTH = 8, 2
 SEED = 0x5DEECE66D
-#: Of 32 minhashes, those that must agree before full sets are compared: at a similarity of 0.85
-#: fewer agree about once in ten million pairs.
-AGREE = 15
 #: Keys in a shard of the tables, about.
 SHARD_KEYS = 1_000_000
 #: Documents in a block of a cloud.
 BLOCK = 512
-#: Minhashes in a block's comparison, and those that must agree: fewer do about once in four million
-#: pairs at a similarity of 0.85.
-LONG, LONG_AGREE = 256, 187
+#: Minhashes in a block's comparison.
+LONG = 256
+#: The share of similar pairs that may fail to agree in enough minhashes to be compared in full.
+ODDS = 2.5e-7
+
+
+def least_agreeing(count: int, percent: int, odds: float = ODDS) -> int:
+    """Of `count` minhashes, how many must agree: at a similarity of `percent`, fewer do with a
+    probability of at most `odds`."""
+    p, below = percent / 100, 0.0
+    for k in range(count + 1):
+        below += comb(count, k) * p**k * (1 - p) ** (count - k)
+        if below > odds:
+            return k
+    return count
 
 
 def minhash_seeds(groups: int = GROUPS, width: int = WIDTH) -> np.ndarray:
@@ -223,7 +233,7 @@ def clouds(still: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
 
     left = dealt(every.where("label <> main"), a_blocks, b_blocks, "p", "q")
     right = dealt(every.where("n > top"), b_blocks, a_blocks, "q", "p")
-    agree = LONG_AGREE if percent >= PERCENT else 0
+    agree = least_agreeing(LONG, percent)
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
@@ -263,8 +273,10 @@ def link(members: DataFrame, sigs: DataFrame, sets: DataFrame, agree: int, perce
     return components(links.union(more)) if more.limit(1).count() else labels
 
 
-def cluster(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH, agree: int = AGREE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+def cluster(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH, agree: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs. agree: minhashes in which
+    two documents must agree before their full sets are compared."""
+    agree = least_agreeing(2 * groups * width, percent) if agree is None else agree
     made = stored(signatures(docs, size, groups, width))
     usable = made.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     unique = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
@@ -297,4 +309,4 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster(table(spark, sf_dir, "documents"))
+    return cluster(table(spark, sf_dir, "documents"), percent=85)
