@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from voxelspring.llm import common, neardup, substrings
+from voxelspring.llm import common, neardup, substrings, urls
 
 
 def fresh(rng, n: int) -> list[str]:
@@ -69,3 +69,12 @@ def test_near_copies_of_four_fifths_go(spark):
 
 def test_least_agreeing_minhashes():
     assert neardup.least_agreeing(256, 85) <= 187 and neardup.least_agreeing(48, 80) < 0.8 * 48
+
+
+def test_url_sample_is_of_distinct_urls(spark):
+    """Forty urls, one of them 5,000 times: the sample is the same with and without the repeats."""
+    rows = [(f"http://h{i}.com/{i}", f"h{i}.com", f"/{i}", "block" if i % 2 else "allow") for i in range(40)]
+    schema = "url string, host string, path string, rule_verdict string"
+    once, often = (urls.train(spark.createDataFrame(r, schema), sample=30) for r in (rows, rows + rows[:1] * 5000))
+    assert once.trees is not None and often.trees is not None
+    assert once.seen == often.seen and sum(often.seen.values()) == 60

@@ -179,12 +179,17 @@ class UrlModel:
 
 
 def train(ruled: DataFrame, sample: int = SAMPLE) -> UrlModel:
-    labelled = ruled.where(F.col("rule_verdict").isNotNull())
-    order, n = F.xxhash64("url"), labelled.count()
+    label = (F.col("rule_verdict") == "block").cast("int").alias("label")
+    # a url decides its host, path and label
+    labelled = ruled.where(F.col("rule_verdict").isNotNull()).select("url", "host", "path", label).dropDuplicates(["url"])
+    order, n = F.pmod(F.xxhash64("url"), F.lit(1 << 30)), labelled.count()
+    smallest = lambda df: df.orderBy(order, "url").limit(sample).collect()
+    rows = []
     if n > 2 * sample:
         # by hash on the workers first, so that tasks don't each send a whole sample to the driver
-        labelled = labelled.where(F.pmod(order, F.lit(1 << 30)) < int(1.5 * sample / n * (1 << 30)))
-    rows = labelled.select("url", "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("label")).orderBy(order, "url").limit(sample).collect()
+        rows = smallest(labelled.where(order < int(1.5 * sample / n * (1 << 30))))
+    if len(rows) < min(sample, n):
+        rows = smallest(labelled)
     return UrlModel([tuple(r) for r in rows])
 
 
