@@ -2,9 +2,11 @@
 
 Host, path and rule come from column expressions. The urls that a rule decides are the labelled
 ones; trees are trained on them and judge the urls that no rule fits. The features are lexical:
-lengths, depth, digit ratio, entropy, parameter counts and how often hosts with the same suffix
-were blocked in training. Training takes the `sample` labelled urls with the smallest hash (the
-bound is a parameter); scoring takes every row.
+lengths, depth, digit ratio, entropy, parameter counts, and how often urls with the same suffix of
+the host, first label of the host or first segment of the path were blocked in training. A training
+url gets these shares from the other folds alone, so that they say nothing about its own label.
+Training takes the `sample` labelled urls with the smallest hash (the bound is a parameter); scoring
+takes every row.
 
 Defined results: a null url, or one without "://", has empty host and path, fits no rule and is
 judged by the trees on its raw text (null: the empty text); repeated urls get equal rows; without
@@ -15,6 +17,7 @@ further columns of the input don't matter.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from typing import NamedTuple
 
@@ -44,6 +47,8 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 SAMPLE = 20_000
+#: Folds of the shares in training, and the urls of the average share that smooth one.
+FOLDS, PRIOR = 5, 20
 A_TO_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -68,8 +73,10 @@ def with_rules(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return out.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def suffix(host: str) -> str:
-    return ".".join(host.rsplit(".", 2)[-2:])
+def names(host: str, path: str) -> tuple[str, ...]:
+    """What shares are kept of: the host's last label, its last two, its first, the path's first segment."""
+    labels = host.split(".")
+    return "1" + labels[-1], "2" + ".".join(labels[-2:]), "3" + labels[0], "4" + path.lstrip("/").partition("/")[0]
 
 
 def lexical(url: str | None, host: str, path: str) -> list[float]:
@@ -82,20 +89,25 @@ def lexical(url: str | None, host: str, path: str) -> list[float]:
 
 
 class Trees:
-    """Gradient-boosted regression trees for the logistic loss, on quantile bins of each feature."""
+    """Gradient-boosted regression trees for the logistic loss, on quantile bins of each feature. Each
+    tree takes a share of the features, drawn by a fixed seed, so that several features that tell the
+    labels equally well all have their say on urls where they differ."""
 
-    def __init__(self, depth: int = 4, rounds: int = 40, rate: float = 0.2, bins: int = 32, least: int = 5, ridge: float = 1.0):
-        self.depth, self.rounds, self.rate, self.bins, self.least, self.ridge = depth, rounds, rate, bins, least, ridge
+    def __init__(self, depth: int = 4, rounds: int = 60, rate: float = 0.15, bins: int = 32, least: int = 5, ridge: float = 1.0, columns: float = 0.4):
+        self.depth, self.rounds, self.rate, self.bins, self.least, self.ridge, self.columns = depth, rounds, rate, bins, least, ridge, columns
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        # half way between quantiles, so that a value never seen goes to the nearer side
+        found = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins))) for c in x.T]
+        self.edges = [(q[1:] + q[:-1]) / 2 for q in found]
         binned = self._binned(x)
         share = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.base, self.trees = math.log(share / (1 - share)), []
         at = np.full(len(y), self.base)
+        rng, share = np.random.default_rng(11), max(1, math.ceil(self.columns * x.shape[1]))
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-at))
-            tree = self._grow(binned, y - p, p * (1 - p))
+            tree = self._grow(binned, y - p, p * (1 - p), np.sort(rng.permutation(x.shape[1])[:share]))
             self.trees.append(tree)
             at += self._walk(tree, binned)
         return self
@@ -103,7 +115,7 @@ class Trees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
 
-    def _grow(self, binned: np.ndarray, grad: np.ndarray, curve: np.ndarray):
+    def _grow(self, binned: np.ndarray, grad: np.ndarray, curve: np.ndarray, columns: np.ndarray):
         """Complete tree by levels: split feature, split bin and leaf value of each node."""
         size = 2 ** (self.depth + 1) - 1
         feature, cut, value = np.full(size, -1), np.zeros(size, dtype=np.int64), np.zeros(size)
@@ -117,7 +129,7 @@ class Trees:
             best = (1e-6, None)
             if 2 * node + 2 < size and len(own) >= 2 * self.least:
                 whole = g.sum() ** 2 / (h.sum() + self.ridge)
-                for f in range(binned.shape[1]):
+                for f in columns:
                     b = binned[own, f]
                     sums = [np.cumsum(np.bincount(b, w, self.bins))[:-1] for w in (g, h, None)]
                     ok = (sums[2] >= self.least) & (len(own) - sums[2] >= self.least)
@@ -145,37 +157,51 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + sum(self._walk(t, binned) for t in self.trees))))
 
 
-class UrlModel:
-    """Trees with the suffix statistics they were trained beside."""
+class Shares:
+    """How many urls have a name, and how many of them are blocked."""
 
     def __init__(self, rows: list[tuple[str | None, str, str, int]]):
-        y = np.array([r[3] for r in rows], dtype=float)
-        self.only = float(y[0]) if len(y) and (y == y[0]).all() else 0.0
-        self.trees = None
-        if len(set(y)) < 2:
-            return
-        self.share = float(y.mean())
-        self.blocked: Counter[str] = Counter()
+        self.rows, self.total = len(rows), sum(r[3] for r in rows)
         self.seen: Counter[str] = Counter()
-        for _, host, _, label in rows:
-            for name in (suffix(host), host.rpartition(".")[2]):
+        self.blocked: Counter[str] = Counter()
+        for _, host, path, label in rows:
+            for name in names(host, path):
                 self.seen[name] += 1
                 self.blocked[name] += label
-        self.trees = Trees().fit(self._features([r[:3] for r in rows], [r[3] for r in rows]), y)
 
-    def _rate(self, name: str, own: int | None) -> float:
-        """Share of blocked urls with this suffix, smoothed, without the row's own label."""
-        n, b = self.seen[name] - (own is not None), self.blocked[name] - (own or 0)
-        return (b + 2 * self.share) / (n + 2)
+    def features(self, host: str, path: str) -> list[float]:
+        """The smoothed share of blocked urls for each name, and how frequent the host's suffix is."""
+        average = (self.total + 1) / (self.rows + 2)
+        found = names(host, path)
+        return [*((self.blocked[n] + PRIOR * average) / (self.seen[n] + PRIOR) for n in found), math.log1p(1000 * self.seen[found[1]] / max(1, self.rows))]
+
+
+def features(rows, shares: Shares) -> np.ndarray:
+    return np.array([[*lexical(*r[:3]), *shares.features(*r[1:3])] for r in rows])
 
-    def _features(self, rows, labels=None) -> np.ndarray:
-        own = labels or [None] * len(rows)
-        return np.array([[*lexical(*r), self._rate(suffix(r[1]), o), self._rate(r[1].rpartition(".")[2], o), math.log1p(self.seen[suffix(r[1])])] for r, o in zip(rows, own, strict=True)])
+
+class UrlModel:
+    """Trees with the shares that scoring reads, which are those of all training urls."""
+
+    def __init__(self, rows: list[tuple[str | None, str, str, int]]):
+        y = np.array([r[3] for r in rows], dtype=float)
+        self.only = float(y[0]) if len(y) and (y == y[0]).all() else 0.0
+        self.trees, self.shares = None, Shares(rows)
+        if len(set(y)) < 2:
+            return
+        fold = np.array([zlib.crc32((r[0] or "").encode("utf-8", "replace")) % FOLDS for r in rows])
+        x = np.zeros((len(rows), 0))
+        for f in np.unique(fold):
+            own = np.flatnonzero(fold == f)
+            made = features([rows[i] for i in own], Shares([r for r, g in zip(rows, fold, strict=True) if g != f]))
+            x = np.zeros((len(rows), made.shape[1])) if not x.shape[1] else x
+            x[own] = made
+        self.trees = Trees().fit(x, y)
 
     def predict(self, rows) -> np.ndarray:
         if self.trees is None or not rows:
             return np.full(len(rows), self.only)
-        return self.trees.predict(self._features(rows))
+        return self.trees.predict(features(rows, self.shares))
 
 
 def train(ruled: DataFrame, sample: int = SAMPLE) -> UrlModel:
@@ -210,3 +236,26 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPL
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
+
+
+def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the judgement that SQL can express: host, path, rule and the rule's verdict."""
+    return with_rules(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "rule_verdict")
+
+
+RULES_ORACLE = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages
+), split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM parts
+), rules(name, verdict, host, path) AS (
+  VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'), ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+         ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')
+), fits AS (
+  SELECT s.*, r.name, r.verdict, row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.name) DESC) AS nth
+  FROM split s LEFT JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+)
+SELECT page_id, host, path, name AS rule, verdict AS rule_verdict FROM fits WHERE nth = 1
+"""
