@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from voxelspring.llm import chat, urls
+from voxelspring.llm import chat, substrings, urls
 
 DATA = "/root/testdata"
 MESSAGES = "conv_id long, turn long, role string, text string"
@@ -108,3 +108,37 @@ def test_url_shares_leave_out_the_own_fold():
     model = urls.UrlModel(rows[:400])
     y = np.array([r[3] for r in rows[400:]])
     assert abs(((model.predict([r[:3] for r in rows[400:]]) >= 0.5) == y).mean() - 0.5) < 0.15
+
+
+def test_cuts_stay_in_the_text_that_was_searched(spark):
+    """A doc_id with two texts, one of which repeats nothing; columns with the names of our own."""
+    rng = np.random.default_rng(43)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10**12, n)]
+    passage, unique, tail = fresh(80), fresh(121), fresh(30)
+    rows = [(1, " ".join(passage), "a", 1, 0), (2, " ".join(passage + tail), "b", 2, 0), (2, " ".join(unique), "c", 3, 0), (2, None, "d", 4, 0), (3, " ".join(unique[:60] + fresh(9)), "e", 5, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cuts string, cut_id int, number int")
+    out = {r["cut_id"]: r for r in substrings.without_duplicates(docs).collect()}
+    assert substrings.without_duplicates(docs).columns == docs.columns
+    assert out[1]["text"] == rows[0][1] and out[2]["text"] == " ".join(tail) and out[3]["text"] == " ".join(unique) and out[4]["text"] is None
+    assert len(out[5]["text"].split()) == 9 and [out[i]["cuts"] for i in range(1, 6)] == list("abcde")
+    found = {(r["doc_id"], r["ref_doc_id"], r["n_words"]) for r in substrings.duplicate_passages(docs).collect()}
+    assert found == {(2, 1, 80), (3, 2, 60)}
+
+
+@pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables")
+def test_recall_of_repeated_passages(spark):
+    """All 50-word runs of sf0.01 that an earlier document holds, by brute force, lie in found passages."""
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/sf0.01/documents.parquet' WHERE doc_id IS NOT NULL AND text IS NOT NULL ORDER BY doc_id").fetchall()
+    first, want = {}, []
+    for doc, text in docs:
+        words = text.encode().lower().split()
+        for a in range(len(words) - 49):
+            run = tuple(words[a : a + 50])
+            if first.setdefault(run, doc) != doc:
+                want.append((doc, a))
+    spans: dict[int, list] = {}
+    for r in substrings.query(spark, f"{DATA}/sf0.01").collect():
+        spans.setdefault(r["doc_id"], []).append((r["start_word"], r["start_word"] + r["n_words"]))
+    held = sum(any(a <= at and at + 50 <= b for a, b in spans.get(doc, ())) for doc, at in want)
+    print(f"recall of repeated 50-word runs: {held} of {len(want)}")
+    assert len(want) > 10_000 and held >= 0.999 * len(want)

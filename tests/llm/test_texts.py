@@ -143,20 +143,49 @@ def test_toxicity_tolerates_insertions():
 
 
 def test_windows_hold_every_passage_once():
-    h = np.random.default_rng(4).integers(0, 2**63, 300).astype(np.uint64)
-    keys, places = substrings.windows(h, 20, functions=1)
-    at = dict(zip(places.tolist(), keys.tolist(), strict=True))
-    mixed = substrings.mix64(h ^ np.uint64(0x9E3779B97F4A7C15))
-    for a in range(280):
-        assert a + int(mixed[a : a + 20].argmin()) in at
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (300, 19, 20, 150)]
+    texts.append(np.tile(texts[0][:7], 12))  # ties
+    block = substrings.Block(texts)
+    keys, places = substrings.windows(block, 20, functions=1)
+    begin = np.r_[0, np.cumsum(block.counts)]
+    mixed = substrings.function_hashes(block.shingles, 0)
+    want = set()
+    for i, t in enumerate(texts):
+        want |= {int(begin[i]) + a + int(mixed[begin[i] + a : begin[i] + a + 20].argmin()) for a in range(len(t) - 19)}
+    assert sorted(want) == places.tolist() and (keys == substrings.function_keys(mixed[places], 0)).all()
+
+
+def test_hot_keys_are_passed_over():
+    """Each run of 20 has a window by its smallest hash that isn't hot, or, with none, is a key itself."""
+    rng = np.random.default_rng(14)
+    texts = [rng.integers(0, 60, n).astype(np.uint64) for n in (120, 15, 90)]
+    block = substrings.Block(texts)
+    h = substrings.function_hashes(block.shingles, 0)
+    own = substrings.function_keys(h, 0)
+    values = np.unique(block.shingles)
+    hot_values = values[rng.random(len(values)) < 0.8]
+    hot = np.unique((substrings.function_keys(substrings.function_hashes(hot_values, 0), 0) >> np.uint64(32)).astype(np.uint32))
+    is_hot = np.isin(block.shingles, hot_values)
+    keys, _, places = substrings.open_rows(block, 20, 1, hot)
+    every, want = substrings.runs(block.shingles, 20), set()
+    for a in np.flatnonzero(block.runs_inside(20)):
+        if is_hot[a + h[a : a + 20].argmin()]:
+            rest = np.flatnonzero(~is_hot[a : a + 20])
+            # the run itself is a key where the smallest hash is hot
+            want.add((int(substrings.mix64(every[a : a + 1])[0]), int(a)))
+            if len(rest):
+                at = a + rest[h[a + rest].argmin()]
+                want.add((int(own[at]), int(at)))
+    assert set(zip(keys.tolist(), places.tolist(), strict=True)) == want
 
 
 def test_passages_bridge_small_edits():
-    words = np.random.default_rng(5).integers(1, 2**32, 200).astype(np.uint64)
+    words = np.random.default_rng(5).integers(1, 2**32, 200).astype(np.uint32)
     edited = words.copy()
     edited[60] = 7
-    assert substrings.passages(edited, words, 5, 50, 0.8)[0][:2] == (0, 200)
-    assert substrings.passages(words[:49], words, 5, 50, 0.8) == []
+    found = substrings.passages([edited, words[:49], words, words[:3]], [words, words, words[150:], words], 5, 50, 0.8)
+    assert found[0][0][:2] == (0, 200) and found[1] == [] and found[2] == [(150, 50, 1.0)] and found[3] == []
     assert substrings.cut_out("a b  c d", [(1, 2)]) == "a d" and substrings.cut_out("a b", [(0, 2)]) == ""
 
 

@@ -19,7 +19,7 @@ def test_passages_meet_behind_a_frequent_phrase(spark, holders):
     rng = np.random.default_rng(31)
 
     def windows(words):
-        return substrings.windows(common.shingle_hashes(common.word_hashes([w.encode() for w in words]), 5), 46)
+        return substrings.windows(substrings.Block([common.shingle_hashes(common.word_hashes([w.encode() for w in words]), 5)]), 46)
 
     while True:
         passage = fresh(rng, 50)
