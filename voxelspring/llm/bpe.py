@@ -14,11 +14,11 @@ stays null.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from voxelspring.llm.common import rows_of, table
 
 #: Words kept in a worker's table, and the longest that are kept; the table is emptied when full.
-KEPT_WORDS, KEPT_LENGTH = 250_000, 64
+KEPT_WORDS, KEPT_LENGTH = 600_000, 64
 CONTROL = re.compile(r"[\x1c-\x1f]")
 
 
@@ -47,30 +47,39 @@ def byte_alphabet() -> list[str]:
 
 
 def merge_symbols(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """ids after all merges. merges: pair -> (rank, id of the merged symbol)."""
+    """ids after all merges. merges: pair -> (rank, id of the merged symbol). The queue has (rank, place
+    of the pair's first symbol, merged symbol): the lowest rank first, and the leftmost of equal ones."""
     n = len(ids)
     if n < 2:
         return ids
+    merge_of = merges.get
+    queue = [(found[0], i, found[1]) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (found := merge_of(pair)) is not None]
+    if not queue:
+        return ids
+    heapify(queue)
     ids = list(ids)
     after = [*range(1, n), -1]
     before = list(range(-1, n - 1))
-    queue = [(*found, i) for i in range(n - 1) if (found := merges.get((ids[i], ids[i + 1])))]
-    queue = [(rank, i, new) for rank, new, i in queue]
-    heapq.heapify(queue)
     while queue:
-        rank, i, new = heapq.heappop(queue)
-        j = after[i] if ids[i] >= 0 else -1
-        if j < 0 or merges.get((ids[i], ids[j])) != (rank, new):
+        rank, i, new = heappop(queue)
+        left, j = ids[i], after[i]
+        if left < 0 or j < 0:
             continue  # stale: a neighbour has been merged since
+        found = merge_of((left, ids[j]))
+        if found is None or found[0] != rank:
+            continue
         ids[i], ids[j] = new, -1
         k = after[i] = after[j]
         if k >= 0:
             before[k] = i
-            if found := merges.get((new, ids[k])):
-                heapq.heappush(queue, (found[0], i, found[1]))
+            found = merge_of((new, ids[k]))
+            if found is not None:
+                heappush(queue, (found[0], i, found[1]))
         h = before[i]
-        if h >= 0 and (found := merges.get((ids[h], new))):
-            heapq.heappush(queue, (found[0], h, found[1]))
+        if h >= 0:
+            found = merge_of((ids[h], new))
+            if found is not None:
+                heappush(queue, (found[0], h, found[1]))
     return [x for x in ids if x >= 0]
 
 
@@ -95,7 +104,11 @@ class Codec:
         self.merges = {}
         for rank, (a, b) in enumerate(pairs):
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        self.alphabet = byte_alphabet()
+        # the symbol of each byte, in a word and at its end; None outside the vocabulary
+        alphabet = byte_alphabet()
+        self.symbol = [self.vocab.get(c) for c in alphabet]
+        self.last = [self.vocab.get(c + self.end) for c in alphabet]
+        self.whole = None not in self.symbol and None not in self.last
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.kept: dict[str, tuple[int, ...]] = {}
         self.kept_words: dict[str, list[int]] = {}
@@ -112,13 +125,14 @@ class Codec:
         return found
 
     def merged(self, word: str) -> list[int]:
-        symbols = [self.alphabet[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.end
-        return merge_symbols([self.vocab[s] for s in symbols if s in self.vocab], self.merges)
+        raw = word.encode("utf-8")
+        ids = [*map(self.symbol.__getitem__, raw[:-1]), self.last[raw[-1]]]
+        return merge_symbols(ids if self.whole else [x for x in ids if x is not None], self.merges)
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """ids of a stretch of normalised text without white space, or of any if the pattern cuts there."""
-        found = tuple(i for w in self.pattern.findall(chunk) for i in self.word(w))
+        words = self.pattern.findall(chunk)
+        found = tuple(self.word(words[0])) if len(words) == 1 else tuple([i for w in words for i in self.word(w)])
         if len(chunk) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT_WORDS:
                 self.kept.clear()
