@@ -35,7 +35,7 @@ BITS, PROBES = 10, 4
 MAX_LEVEL = 48
 BROADCAST_LIMIT = 256 << 20
 #: Tokens counted at once by a task, tokens in a chunk of the sharded way, entries in a shard.
-FLUSH, CHUNK, SHARD = 1_500_000, 400_000, 2_000_000
+FLUSH, CHUNK, SHARD = 600_000, 400_000, 1_000_000
 END = np.uint64(0x1F3D5B79)
 START = np.uint64(0x2E4C6A88)
 
