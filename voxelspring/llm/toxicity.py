@@ -3,19 +3,21 @@
 The kernel of two strings sums, over the three-character subsequences that they share,
 decay^(length of both occurrences with their gaps), and is normalised. An insult with characters put in, or with gaps,
 keeps most of its subsequences and so stays close to the plain one; an ending never seen in training
-leaves the stem's subsequences.
+leaves the stem's subsequences. No gap is too wide within a unit: the decay alone bounds them.
 
-Units are the lower-cased words of a text (long ones in overlapping windows) and runs of single
-characters joined. Landmarks are units of labelled training texts that tell toxic ones best, far
+Units are the lower-cased words of a text (long ones in overlapping windows) and runs of pieces of
+one or two characters joined. Landmarks are units of labelled training texts that tell toxic ones best, far
 enough from each other, and a few frequent others. A unit's kernel values with the landmarks,
 whitened by the inverse root of the landmarks' own kernel matrix, are its features (the Nystroem
 map) for a linear support vector machine. A text is as toxic as its most toxic unit, so training
 alternates between picking each toxic text's witness and each clean text's worst unit, and fitting
-the machine to them. A logistic curve through the texts' margins gives the score. As the margin is
-linear in the kernel, each subsequence has one weight in the end, which makes scoring cheap.
+the machine to them. A logistic curve through the two largest margins of each text gives the score: a second
+suspicious unit makes a toxic text likelier. As the margin is linear in the kernel, each subsequence
+has one weight in the end, which makes scoring cheap.
 
 Training takes at most `sample` labelled texts of each class, those with the smallest hash of their
-id; this bound is a parameter. Every text is scored whole.
+id, and of each text at most UNITS units, those with the smallest hash; these bounds are parameters.
+The workers make the units. Every text is scored whole.
 
 Defined results: a null text is the empty text, and both get the score of a text without units; a
 null doc_id counts as the empty text in the held-out rule; of labels that repeat a doc_id the
@@ -33,18 +35,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from voxelspring.llm.common import crc_bucket, table
 
 SAMPLE = 2_000
+#: Units of a text in training; most texts have fewer.
+UNITS = 2_000
 LANDMARKS, BACKGROUND = 80, 8
-#: Occurrences that span more characters than SPAN are left out of the kernel.
-DECAY, SPAN = 0.7, 10
 LONGEST, STEP = 24, 12
+#: Occurrences that span more characters than SPAN are left out of the kernel; no unit is longer.
+DECAY, SPAN = 0.7, LONGEST
+#: Largest margins that make a text's score.
+TOPS = 2
 #: Units kept in a worker's table, which is emptied when full.
 KEPT = 300_000
 ROUNDS = 6
-SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S)+(?!\S)")
+PIECES = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2})+(?!\S)")
 EDGES = ".,;:!?\"'()[]{}|*&%$#"
 
 
@@ -52,7 +59,7 @@ def units(text: str | None) -> set[str]:
     """Distinct units: words without marks at their edges, windows of long words, joined runs."""
     text = (text or "").lower()
     found = {w.strip(EDGES) for w in set(text.split())}
-    for m in SINGLES.finditer(text):
+    for m in PIECES.finditer(text):
         found.add("".join(m[0].split()))
     for long in [w for w in found if len(w) > LONGEST]:
         found.remove(long)
@@ -194,22 +201,30 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 60) -> tu
     return w[:-1], float(w[-1])
 
 
-def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, offset) of the logistic curve through the margins, by Newton steps with a small ridge."""
-    theta = np.array([1.0, 0.0])
-    z = np.column_stack([margin, np.ones(len(margin))])
+def platt(margins: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and offset of the logistic curve through the margins, by Newton steps with a small ridge."""
+    z = np.column_stack([margins, np.ones(len(margins))])
+    theta = np.zeros(z.shape[1])
+    theta[0] = 1.0
     goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (goal - p) - 1e-3 * theta)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(theta)), z.T @ (goal - p) - 1e-3 * theta)
         theta = theta + step
         if np.abs(step).max() < 1e-6:
             break
-    return float(theta[0]), float(theta[1])
+    return theta
+
+
+def tops(margins: np.ndarray | list[float], nothing: float) -> list[float]:
+    """The TOPS largest margins; that of nothing where a text has fewer units."""
+    return [*sorted(margins, reverse=True)[:TOPS], *[nothing] * (TOPS - len(margins))]
 
 
 class Model:
-    def __init__(self, texts: list[str | None], labels: list[int]):
+    def __init__(self, texts: list[str | None], labels: list[int], bags: list[list[str]] | None = None):
+        """bags: the units of each text, where they are made already."""
+        bags = [sorted(units(t)) for t in texts] if bags is None else bags
         y = np.array(labels, dtype=float)
         self.only = float(y[0]) if len(y) and (y == y[0]).all() else 0.0
         self.kernel, self.kept = None, {}
@@ -217,7 +232,7 @@ class Model:
             return
         # units as numbers, one string for each: the texts' own would fill the driver's memory
         place: dict[str, int] = {}
-        own = [np.array([place.setdefault(u, len(place)) for u in sorted(units(t))], dtype=np.int64) for t in texts]
+        own = [np.array([place.setdefault(u, len(place)) for u in bag], dtype=np.int64) for bag in bags]
         names = list(place)
         del place
         of_gain, clean = gains(own, y, names)
@@ -251,26 +266,25 @@ class Model:
             margin = self.kernel.apply(names, self.weights) + self.bias
             if len(picked) == before:
                 break
-        tops = np.array([margin[o].max() if len(o) else self.bias for o in own])
-        self.slope, self.offset = platt(tops, y)
+        self.curve = platt(np.array([tops(margin[o], self.bias) for o in own]), y)
 
     def __getstate__(self):
         return self.__dict__ | {"kept": {}}
 
     def margins(self, bags: list[set[str]]) -> np.ndarray:
-        """Of each text the largest margin of its units; that of nothing for a text without any."""
+        """Of each text the largest margins of its units."""
         new = list(set().union(*bags).difference(self.kept))
         if len(self.kept) + len(new) > KEPT:
             self.kept = {}
             new = list(set().union(*bags))
         self.kept.update(zip(new, (self.kernel.apply(new, self.weights) + self.bias).tolist(), strict=True))
-        return np.array([max(map(self.kept.__getitem__, b)) if b else self.bias for b in bags])
+        return np.array([tops([self.kept[u] for u in b], self.bias) for b in bags])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.kernel is None:
             return np.full(len(texts), self.only)
         out = [self.margins([units(t) for t in texts[a : a + 200]]) for a in range(0, len(texts), 200)]
-        z = np.concatenate(out) * self.slope + self.offset if out else np.zeros(0)
+        z = np.concatenate(out) @ self.curve[:-1] + self.curve[-1] if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -281,8 +295,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = [marks.where(F.col("toxic") > 0).orderBy(*order).limit(sample), marks.where(F.col("toxic") <= 0).orderBy(*order).limit(sample)]
     ids = F.broadcast(picked[0].union(picked[1]))  # at most two samples of id and label
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id").orderBy("doc_id", "text").limit(2 * sample).collect()
-    return Model([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+
+    def cut_up(batches):
+        for batch in batches:
+            bags = [sorted(sorted(units(t), key=xxh3_64_intdigest)[:UNITS]) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("h"), pa.array(bags, pa.list_(pa.string()))], names=["doc_id", "toxic", "h", "bag"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("h"), "text")
+    rows = rows.mapInArrow(cut_up, "doc_id long, toxic int, h long, bag array<string>").orderBy("doc_id", "h").limit(2 * sample).toArrow()
+    return Model([], [int(t > 0) for t in rows.column("toxic").to_pylist()], rows.column("bag").to_pylist())
 
 
 def score_documents(docs: DataFrame, model: Model, buckets: int = 5) -> DataFrame:
