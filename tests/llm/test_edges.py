@@ -65,14 +65,19 @@ def test_search(spark):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(230, 6)).round(1)
     rows = [(i, x.tolist(), "z") for i, x in enumerate(v)]
-    bad = [(300, None, None), (400, [1.0, None, 0.0, 0.0, 0.0, 0.0], None), (500, [float("nan")] * 6, None), (None, [1.0] * 6, None), (600, [], None), (rows[3][0], rows[3][1], "z")]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, id string")
-    out = neighbours.top_k(df, lambda i: i % 100 == 0, vector_block=50, query_block=2).toPandas()
-    w = np.floor(1024 * v).astype(int)
-    for q in (0, 100, 200):
-        want = sorted((-int(w[q] @ w[i]), i) for i in range(230) if i != q)[:10]
-        got = out[out.query_id == q].sort_values("rank")
-        assert list(zip(-got.score, got.vec_id, strict=True)) == want
+    bad = [(300, None, None), (400, [1.0, None, 0.0, 0.0, 0.0, 0.0], None), (500, [float("nan")] * 6, None), (None, [1.0] * 6, None), (600, [], None)]
+    # rows that repeat an id count each, queries too, and short or long vectors lack or add components
+    more = [(rows[3][0], rows[3][1], "z"), (5, [0.9] * 6, "z"), (100, [2.0, -1.0], "z"), (231, [1.0] * 9, "z")]
+    df = spark.createDataFrame(rows + bad + more, "vec_id long, embedding array<double>, sub string")
+    kept = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, _ in rows + more]
+    want = []
+    for n, (i, q) in enumerate(kept):
+        if i % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for m, (j, v) in enumerate(kept) if m != n)[:10]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
+    for blocks in ({"vector_block": 50, "query_block": 2}, {"vector_block": 7, "pivots": 5}, {}):
+        out = neighbours.top_k(df, lambda i: i % 100 == 0, **blocks).collect()
+        assert sorted(map(tuple, out)) == sorted(want)
     assert neighbours.top_k(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 

@@ -198,18 +198,19 @@ def test_filter_reads_levels_back():
     assert (own.counts(lm.mix64(np.arange(10_000, 20_000, dtype=np.uint64))) > 0).mean() < 0.05
 
 
-def test_block_search_is_exact():
+def test_block_search_is_exact(monkeypatch):
+    monkeypatch.setattr(neighbours, "STEP", 16)
     rng = np.random.default_rng(6)
     v, q = rng.integers(-50, 50, (700, 8)), rng.integers(-50, 50, (5, 8))
-    top2 = float((v**2).sum(axis=1).max())
-    lifted = np.column_stack([v, np.sqrt(top2 - (v**2).sum(axis=1))])
-    pivots = neighbours.far_apart(lifted, 16)
-    table = lambda x: np.stack([np.linalg.norm(x - p, axis=1) for p in pivots], axis=1)
+    pivots = neighbours.Pivots(v[:300], float((v**2).sum(axis=1).max()), 16)
     ids = np.arange(700)
-    i, j, s = neighbours.best_in_block(q, np.arange(5) + 1000, table(np.column_stack([q, np.zeros(5)])), v, ids, table(lifted), top2, 10)
-    for k in range(5):
-        want = sorted(((-int(a), int(b)) for a, b in zip(v @ q[k], ids, strict=True)))[:10]
-        assert [(-int(a), int(b)) for a, b in zip(s[i == k], j[i == k], strict=True)] == want
+    scores = np.sort(v @ q.T, axis=0)[::-1]
+    for least in (np.full(5, -np.inf), scores[9].astype(float)):
+        i, j, s, seen = neighbours.best_in_block(q, np.arange(5) + 1000, pivots.of_queries(q), least, v, ids, ids, pivots.of_vectors(v), pivots.top2, 10)
+        assert seen < 5 * 700
+        for k in range(5):
+            want = sorted(((-int(a), int(b)) for a, b in zip(v @ q[k], ids, strict=True)))[:10]
+            assert [(-int(a), int(b)) for a, b in zip(s[i == k], j[i == k], strict=True)] == want
 
 
 def test_near_duplicate_parts():
