@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from voxelspring import functions as X
+from voxelspring.cloud import with_pid
 from voxelspring.operators import cluster, generate, neighbors, normals, plane, polygon, select, voxel
 from voxelspring.streaming import point_stream, running_voxel_counts
 
@@ -108,6 +110,8 @@ def test_palettes(spark):
     rows = df.select("label", *[e.alias(n) for n, e in X.label_color(F.col("label"), F.lit(3)).items()]).orderBy("label").collect()
     assert rows[0]["r"] == 0.0 and rows[1]["r"] == X.PALETTE[0][0] and rows[2]["b"] == X.PALETTE[9][2]
     assert X.result_name("scan.v2.xyz", "_inliers.xyz") == "scan_inliers.xyz"
+    assert X.result_name("./data/v1.0/scan.xyz", "_r.xyz") == "./data/v1.0/scan_r.xyz"
+    assert X.voxel_result_name("in/scan.las", 6.0) == "in/scan_voxel-best_point_6.xyz"
 
 
 def test_stream_counts(spark, tmp_path):
@@ -116,3 +120,73 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["vx"], r["n"]) for r in spark.table("counts").collect()} == {(0, 2), (1, 1)}
+
+
+def brute_labels(rows, eps, least):
+    """DBSCAN over a list of points, pids by place."""
+    near = [[j for j, q in enumerate(rows) if sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) <= eps * eps] for p in rows]
+    core = [len(n) >= least for n in near]
+    label = list(range(len(rows)))
+    moved = True
+    while moved:
+        moved = False
+        for i, n in enumerate(near):
+            low = min((label[j] for j in n if core[j]), default=i) if core[i] else i
+            if low < label[i]:
+                label[i], moved = low, True
+    return [label[i] if core[i] else min((label[j] for j in near[i] if core[j]), default=-1) for i in range(len(rows))]
+
+
+def test_dbscan_with_crowded_cells(spark):
+    """Cells with many points, equal points, cells that only just touch, and a rim of single points."""
+    rng = random.Random(3)
+    spots = [(0, 0, 0), (0.9, 0, 0), (1.85, 0.3, 0.1), (6, 0, 0), (6.97, 0, 0)]
+    rows = [tuple(c + rng.gauss(0, 0.12) for c in s) for s in spots for _ in range(40)]
+    rows += [(3.0 + 0.3 * i, 0.1 * rng.random(), 0.0) for i in range(6)] + [(20.0, 20.0, 20.0)] * 12 + [(-30.0, 0.0, 0.0)]
+    rng.shuffle(rows)
+    for eps in (0.5, 1.0):
+        found = {r["pid"]: r["label"] for r in cluster.dbscan(cloud(spark, rows), eps, 5).collect()}
+        assert [found[i] for i in range(len(rows))] == brute_labels(rows, eps, 5)
+
+
+@pytest.mark.parametrize("kind", ["outlier", "flat", "equal", "dense and sparse"])
+def test_knn_of_uneven_clouds(spark, kind):
+    rng = random.Random(4)
+    rows = {
+        "outlier": [(rng.random(), rng.random(), rng.random()) for _ in range(150)] + [(5e5, -4e5, 1.0)],
+        "flat": [(rng.random(), rng.random(), 2.0) for _ in range(150)],
+        "equal": [(1.0, 1.0, 1.0)] * 90 + [(rng.random(), 0.0, 0.0) for _ in range(20)],
+        "dense and sparse": [(rng.gauss(0, 1e-4), rng.gauss(0, 1e-4), 0.0) for _ in range(100)] + [(rng.uniform(-9, 9),) * 3 for _ in range(40)],
+    }[kind]
+    found = {}
+    for r in neighbors.knn(cloud(spark, rows), 5).collect():
+        found.setdefault(r["a"], {})[r["rank"]] = r["b"]
+    for i, p in enumerate(rows):
+        order = sorted((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), j) for j, q in enumerate(rows) if j != i)
+        assert [found[i][n] for n in range(1, 5)] == [j for _, j in order[:4]]
+
+
+def test_numbers_follow_the_whole_order(spark):
+    """A frequent first key, nulls and ids with gaps."""
+    rows = [(7 if i % 3 else i, (i * 37) % 100, i) for i in range(300)] + [(None, 5, 900), (None, None, 901)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    got = {r["c"]: r["pid"] for r in with_pid(df, "a", "b", "c").collect()}
+    key = lambda r: tuple((v is not None, v or 0) for v in r)
+    assert [got[r[2]] for r in sorted(rows, key=key)] == list(range(len(rows)))
+
+
+def test_refit_and_automatic_threshold(spark):
+    rng = random.Random(6)
+    flat = [(rng.random() * 9, rng.random() * 9, rng.gauss(0, 0.02)) for _ in range(200)] + [(rng.random() * 9, rng.random() * 9, 5 + rng.random()) for _ in range(30)]
+    pts = cloud(spark, flat).cache()
+    best, again = plane.ransac_plane(pts, 0.1, 50).first(), plane.ransac_plane(pts, 0.1, 50, refit=True).first()
+    assert abs(again["c"]) > 0.9999 and abs(again["d"]) < 0.02 and again["n"] >= best["n"]
+    assert plane.threshold_of(pts, "auto") == pytest.approx(neighbors.mean_spacing(pts, 8).first()["spacing"])
+
+
+def test_inertia_and_elbow(spark):
+    pts = cloud(spark, [(0, 0, 0), (0, 2, 0), (10, 0, 0), (10, 2, 0)])
+    centers = pts.where("pid IN (0, 2)").select(F.col("pid").alias("label"), "x", "y")
+    assert cluster.inertia(cluster.lloyd(pts, ["x", "y"], centers, 3)).first()["wcss"] == pytest.approx(4.0)
+    found = {r["k"]: r["wcss"] for r in cluster.elbow(pts, ["x", "y"], 2).collect()}
+    assert found == {1: pytest.approx(104.0), 2: pytest.approx(4.0)}

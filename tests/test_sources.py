@@ -49,3 +49,39 @@ def test_obj(spark, tmp_path):
     (tmp_path / "a.obj").write_text("# mesh\nv 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nf 1/1/1 2/2/2 3/3/3 4/4/4\n")
     vertices, faces = sources.read_obj(spark, str(tmp_path / "a.obj"))
     assert vertices.count() == 4 and [tuple(r)[1:] for r in faces.orderBy("fid").collect()] == [(1, 2, 3), (1, 3, 4)]
+
+
+def test_obj_fans_and_references(spark, tmp_path):
+    """Faces with many corners, references that count back, and faces between the vertices."""
+    n = 1500
+    ring = "\n".join(f"v {i} {i % 7} 0" for i in range(n))
+    (tmp_path / "b.obj").write_text(f"{ring}\nf -3 -2 -1\nv 9 9 9\nf -1 1 2\nf " + " ".join(str(i + 1) for i in range(n)) + "\nf 1 2\n")
+    vertices, faces = sources.read_obj(spark, str(tmp_path / "b.obj"))
+    rows = [tuple(r) for r in faces.orderBy("fid").collect()]
+    assert vertices.count() == n + 1 and vertices.where("vid = 1501").first()["x"] == 9.0
+    assert rows[:2] == [(1, n - 2, n - 1, n), (2, n + 1, 1, 2)]
+    assert [r[1:] for r in rows[2:]] == [(1, i, i + 1) for i in range(2, n)] and [r[0] for r in rows] == list(range(1, n + 1))
+
+
+def test_parts_and_paths_of_hadoop(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id AS pid", "id * 0.5D AS x", "-id * 1.0D AS y", "3.0D AS z").repartition(3)
+    found = sources.write_ply_parts(df, str(tmp_path / "parts"))
+    back = [sources.read_ply(spark, str(tmp_path / "parts" / r["file"])).count() for r in found.collect()]
+    assert back == [r["points"] for r in found.collect()] and sum(back) == 1000
+    assert sources.write_ply(df, f"file://{tmp_path}/one.ply") == 1000
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.cloud.link./in", f"file://{tmp_path}")
+    for path in (f"file://{tmp_path}/one.ply", "viewfs://cloud/in/one.ply"):
+        rows = sources.read_ply(spark, path).orderBy("pid").collect()
+        assert len(rows) == 1000 and (rows[999]["x"], rows[999]["y"]) == (499.5, -999.0)
+
+
+def test_seven_columns_and_corners(spark, tmp_path):
+    (tmp_path / "p.xyz").write_text("x;y;z;illuminance;reflectance;intensity;nb_of_returns\n1;2;3;4;5;6;7\n2;2;3;4;5;6;8\n3;2;3;4;5;6;9\n")
+    schema = "x double, y double, z double, illuminance double, reflectance double, intensity double, nb_of_returns double"
+    rows = sources.read_delimited(spark, str(tmp_path / "p.xyz"), schema).orderBy("x").collect()
+    assert [r["nb_of_returns"] for r in rows] == [7.0, 8.0, 9.0]
+    ring = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 1.0), (2, 1.0, 0.0), (3, 0.0, 1.0)], "pid long, x double, y double")
+    sources.write_corners(ring, str(tmp_path / "sorted"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "sorted")).collect()]
+    assert sorted(lines) == sorted(r["line"] for r in sources.corner_lines(ring, in_order=False).collect()) and len(lines) == 4
+    assert lines[0] == "1.000000000;0.000000000"

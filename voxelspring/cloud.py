@@ -5,44 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelspring.storage import stored
+
 XYZ = ("x", "y", "z")
 
 
-def with_pid(df: DataFrame, *order: str, buckets: int = 64) -> DataFrame:
-    """df with a dense pid from 0 in the given order, without putting all rows into one partition.
+def with_pid(df: DataFrame, *order: str, name: str = "pid") -> DataFrame:
+    """df with a dense number from 0 in the given order, as a stored table.
 
-    Quantiles of the first column (numeric) cut the rows into buckets; a row's pid is the number of
-    rows in earlier buckets plus its rank in its own. At most `buckets` numbers reach the driver.
+    Rows are dealt out by ranges of the whole order, so no key is too frequent for a task, and sorted
+    where they are. A row's number is that of the rows in earlier partitions plus its place in its own;
+    what is counted over partitions has a row for each partition.
     """
-    cuts = sorted(set(df.approxQuantile(order[0], [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order[0])))
-    df = df.withColumn("_bucket", bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return df.withColumn("_rank", rank).join(F.broadcast(starts), "_bucket").withColumn("pid", F.col("_start") + F.col("_rank") - 1).drop("_bucket", "_start", "_rank")
+    at = F.monotonically_increasing_id()  # the partition above bit 33, the place in it below
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at))
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__at").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(starts), part == F.col("__part")).withColumn(name, F.col("__start") + place).drop("__at", "__part", "__start")
 
 
 def lines_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The large test cloud: quantity, price and discount of line items as coordinates."""
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    df = with_pid(df, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    columns = [*order, "l_discount", "l_tax", "l_returnflag"]
+    df = with_pid(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns), *order)
     cls = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(6)
-    return df.select("pid", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), ((F.col("l_discount") + F.col("l_tax")) * 100 + 0.0).alias("z"), cls.cast("int").alias("cls"), (F.col("l_quantity") / 50).alias("r"), (F.col("l_discount") * 10).alias("g"), (F.col("l_tax") * 12.5).alias("b"))
+    return df.select(
+        "pid",
+        F.col("l_quantity").alias("x"),
+        (F.col("l_extendedprice") / 1000).alias("y"),
+        ((F.col("l_discount") + F.col("l_tax")) * 100 + 0.0).alias("z"),
+        cls.cast("int").alias("cls"),
+        (F.col("l_quantity") / 50).alias("r"),
+        (F.col("l_discount") * 10).alias("g"),
+        (F.col("l_tax") * 12.5).alias("b"),
+    )
 
 
 def vectors_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The small test cloud: the first three components of each vector."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return df.select(F.col("vec_id").alias("pid"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(XYZ)], F.col("label").alias("cls"))
+    components = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(XYZ)]
+    return df.select(F.col("vec_id").alias("pid"), *components, F.col("label").alias("cls"))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double rounded, and negative zero cleared, for comparing with other engines, whose last
     digits differ; the small addend keeps values that end in a 5 on one side."""
-    return df.select(*[(F.round(F.col(c) + F.lit(1e-9), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+    def of(name: str, kind: str) -> Column:
+        return (F.round(F.col(name) + F.lit(1e-9), digits) + F.lit(0.0)).alias(name) if kind == "double" else F.col(name)
+
+    return df.select(*[of(c, t) for c, t in df.dtypes])
 
 
 def bounds(df: DataFrame) -> DataFrame:

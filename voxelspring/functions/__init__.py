@@ -6,10 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Colours by class code (red, green, blue); other codes are black. Fixed values.
-CLASS_COLORS = {1: (1.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0), 6: (0.0, 0.0, 1.0), 9: (0.5, 0.5, 0.5), 26: (1.0, 1.0, 0.0)}
+CLASS_COLORS = {
+    1: (0.611, 0.8, 0.521),
+    2: (0.8, 0.670, 0.521),
+    6: (0.901, 0.419, 0.431),
+    9: (0.564, 0.850, 0.913),
+    26: (0.694, 0.662, 0.698),
+}
 BUILDING = 6
-#: Ten qualitative colours for labels. Fixed values.
-PALETTE = ((0.121569, 0.466667, 0.705882), (1.0, 0.498039, 0.054902), (0.172549, 0.627451, 0.172549), (0.839216, 0.152941, 0.156863), (0.580392, 0.403922, 0.741176), (0.54902, 0.337255, 0.294118), (0.890196, 0.466667, 0.760784), (0.498039, 0.498039, 0.498039), (0.737255, 0.741176, 0.133333), (0.090196, 0.745098, 0.811765))
+#: Twenty qualitative colours (matplotlib's tab20) as 8-bit red, green, blue. Fixed values.
+TAB20_HEX = (
+    "1f77b4", "aec7e8", "ff7f0e", "ffbb78", "2ca02c", "98df8a", "d62728", "ff9896", "9467bd", "c5b0d5",
+    "8c564b", "c49c94", "e377c2", "f7b6d2", "7f7f7f", "c7c7c7", "bcbd22", "dbdb8d", "17becf", "9edae5",
+)
+TAB20 = tuple(tuple(int(h[i : i + 2], 16) / 255 for i in (0, 2, 4)) for h in TAB20_HEX)
+#: Its ten strong colours (tab10).
+PALETTE = TAB20[::2]
 
 
 def rescaled(column: Column, depth: int = 255) -> Column:
@@ -38,7 +50,8 @@ def uniform(r: float, g: float, b: float) -> dict[str, Column]:
 
 def palette_color(index: Column, palette=PALETTE) -> dict[str, Column]:
     """The index-th colour, counted round the palette; black for negative indexes."""
-    return {name: F.when(index < 0, 0.0).otherwise(F.element_at(F.array(*[F.lit(c[i]) for c in palette]), (index % len(palette) + 1).cast("int"))) for i, name in enumerate("rgb")}
+    at = (index % len(palette) + 1).cast("int")
+    return {name: F.when(index < 0, 0.0).otherwise(F.element_at(F.array(*[F.lit(c[i]) for c in palette]), at)) for i, name in enumerate("rgb")}
 
 
 def label_color(label: Column, top: Column, palette=PALETTE) -> dict[str, Column]:
@@ -65,14 +78,25 @@ def plane_distance(point: tuple, plane: tuple) -> Column:
     return (dot(point, (a, b, c)) + d) / F.sqrt(a * a + b * b + c * c)
 
 
+def unit_plane_distance(point: tuple, plane: tuple) -> Column:
+    """The same where (a, b, c) has length 1."""
+    return dot(point, plane[:3]) + plane[3]
+
+
 def bearing(x: Column, y: Column, cx: Column, cy: Column) -> Column:
     """Angle from +y towards +x."""
     return F.atan2(x - cx, y - cy)
 
 
 def result_name(path: str, suffix: str) -> str:
-    """The name before its first dot with a suffix: the rule for all result files."""
-    return path.split(".")[0] + suffix
+    """The file's name up to its first dot, in its folder, with a suffix: the rule for all result files."""
+    folder, slash, name = path.rpartition("/")
+    return folder + slash + name.split(".")[0] + suffix
+
+
+def voxel_result_name(path: str, size: float) -> str:
+    """The name of a sub-sampled cloud, which tells the size of the voxels."""
+    return result_name(path, f"_voxel-best_point_{size:g}.xyz")
 
 
 def plane_text(plane: tuple) -> Column:

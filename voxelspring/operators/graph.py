@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspring.storage import stored
+from voxelspring.storage import drop_stored, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes of edges (a, b); label: the smallest node reached. Each round takes
     the smallest label among neighbours and then that label's label, so paths halve."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
@@ -19,6 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
         after = stored(lower.join(jump, "to").select("node", F.least("to", "further").alias("label"), "was"))
         moved = after.where("label < was").limit(1).count()
+        drop_stored(labels)
         labels = after.select("node", "label")
         if not moved:
+            drop_stored(both)
             return labels

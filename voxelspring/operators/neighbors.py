@@ -1,4 +1,4 @@
-"""Spatial joins by grid cells: radius pairs, hybrid search, k nearest neighbours."""
+"""Spatial joins by grid cells: radius pairs, nearest neighbours, hybrid search."""
 
 from __future__ import annotations
 
@@ -8,67 +8,115 @@ from pyspark.sql import functions as F
 from voxelspring.cloud import XYZ, squared_distance
 from voxelspring.storage import stored
 
+CELL = ("i", "j", "k")
+#: Open places that are broadcast with their cells; more are joined by a shuffle.
+FEW = 10_000
 
-def _with_cell(df: DataFrame, size: float, names: str) -> DataFrame:
+
+def with_cell(df: DataFrame, size: float, names: tuple[str, ...] = CELL) -> DataFrame:
     return df.withColumns({n: F.floor(F.col(c) / F.lit(float(size))).cast("long") for n, c in zip(names, XYZ, strict=True)})
 
 
-def _around(df: DataFrame, names: str, rings: int = 1) -> DataFrame:
+def around(df: DataFrame, rings: int = 1, names: tuple[str, ...] = CELL) -> DataFrame:
     """A row for each cell up to `rings` away."""
     for n in names:
         df = df.withColumn(n, F.explode(F.sequence(F.col(n) - rings, F.col(n) + rings)))
     return df
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """(a, b, d2): all points b of `right` within the radius of a point a of `left`, itself included
-    where both hold it. Points meet in grid cells as wide as the radius: an equi-join, no pairs
-    beyond neighbouring cells."""
-    a = _around(_with_cell(left.select(F.col("pid").alias("a"), *XYZ), radius, "ijk"), "ijk").withColumnsRenamed({c: f"a{c}" for c in XYZ})
-    b = _with_cell(right.select(F.col("pid").alias("b"), *XYZ), radius, "ijk")
-    d2 = squared_distance(tuple(F.col(f"a{c}") for c in XYZ), tuple(map(F.col, XYZ)))
-    return a.join(b, ["i", "j", "k"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("a", "b", "d2")
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({c: f"a{c}" for c in XYZ})
 
 
-def hybrid(df: DataFrame, radius: float = 0.1, max_nn: int = 16) -> DataFrame:
-    """(a, b, d2, rank): up to max_nn nearest points within the radius, the point itself included."""
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
-    return radius_pairs(df, df, radius).withColumn("rank", rank).where(F.col("rank") <= max_nn)
+def _d2():
+    return squared_distance(tuple(F.col(f"a{c}") for c in XYZ), tuple(map(F.col, XYZ)))
 
 
-def knn(df: DataFrame, k: int = 8) -> DataFrame:
-    """(a, b, d2, rank): the k - 1 nearest other points (the point itself is the k-th of k).
-
-    Cells hold about k points on average. A point is done when its last neighbour is nearer than the
-    cells not searched; the others search twice as many rings, until the rings span the cloud.
+def radius_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """(a, b, d2): all points b of `right` within the radius of a point a of `left`, itself included
+    where both hold it. Points meet in grid cells as wide as the radius: an equi-join, no pairs
+    beyond neighbouring cells."""
+    a = _renamed(around(with_cell(left.select(F.col("pid").alias("a"), *XYZ), radius)))
+    b = with_cell(right.select(F.col("pid").alias("b"), *XYZ), radius)
+    return a.join(b, [*CELL]).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius).select("a", "b", "d2")
+
+
+def _start_size(places: DataFrame, k: int, span: float, count: int, volume: float, axes: int) -> float:
+    """A cell width at which a point's own cell holds about k points: from the bounding box, then finer
+    by fours while the average point sees too many, as it does in uneven clouds."""
+    size = (volume * k / count) ** (1 / axes)
+    while size > span * 1e-9:
+        cells = with_cell(places, size).groupBy(*CELL).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        if cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] <= 4 * k:
+            break
+        size /= 4
+    return size
+
+
+def nearest(df: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+    """(a, b, d2, rank): the k nearest points of each place, itself included, within the radius where one
+    is given; ties go to the smaller pid. a: the smallest pid at the place.
+
+    Points at the same place are asked for once, and of each place only the k smallest pids can be
+    among anyone's k nearest, so many equal points cost no pairs. Places search the cells around
+    theirs and are done once the k-th is nearer than a cell's width; the others, which lie in sparser
+    parts, go on with cells twice or four times as wide.
     """
-    pts = df.select("pid", *XYZ)
-    box = pts.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
-    spans = [s for s in (box["x"], box["y"], box["z"]) if s]
-    if box["n"] < 2 or not spans:
-        size = 1.0
-    else:
-        volume = 1.0
-        for s in spans:
-            volume *= s
-        size = (volume * k / box["n"]) ** (1 / len(spans))
-    most = int(max(spans, default=0) / size) + 1
-    found, left, rings = None, pts, 1
+    pts = df.select("pid", *XYZ).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ))
+    first = F.row_number().over(Window.partitionBy(*XYZ).orderBy("pid"))
+    few = stored(pts.withColumn("nth", first).where(F.col("nth") <= k))
+    target, places = few.select(F.col("pid").alias("b"), *XYZ), few.where("nth = 1").select(F.col("pid").alias("a"), *XYZ)
+    box = places.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
+    spans = [box[c] for c in XYZ if box[c]]
+    span, volume = max(spans, default=0.0), 1.0
+    for s in spans:
+        volume *= s
+    size = _start_size(places, k, span, box["n"], volume, len(spans)) if spans else 1.0
+    size = size if radius is None else min(size, radius)
     rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
-    target = _with_cell(pts.select(F.col("pid").alias("b"), *XYZ), size, "ijk")
+    found, left, n_left = None, places, box["n"]
     while True:
-        a = _around(_with_cell(left.select(F.col("pid").alias("a"), *XYZ), size, "ijk"), "ijk", rings).withColumnsRenamed({c: f"a{c}" for c in XYZ})
-        d2 = squared_distance(tuple(F.col(f"a{c}") for c in XYZ), tuple(map(F.col, XYZ)))
-        near = stored(a.join(target, ["i", "j", "k"]).where("a <> b").withColumn("d2", d2).withColumn("rank", rank).where(F.col("rank") < k).select("a", "b", "d2", "rank"))
-        full = near.where((F.col("rank") == k - 1) & (F.col("d2") <= (rings * size) ** 2)).select("a")
-        done = near if rings >= most else near.join(full, "a", "left_semi")
+        a = _renamed(around(with_cell(left, size)))
+        a = F.broadcast(a) if n_left <= FEW else a
+        near = with_cell(target, size).join(a, [*CELL]).withColumn("d2", _d2())
+        near = near if radius is None else near.where(F.col("d2") <= radius * radius)
+        near = stored(near.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "d2", "rank"))
+        last = size >= span or (radius is not None and size >= radius)
+        full = near.where((F.col("rank") == k) & (F.col("d2") <= size * size)).select("a")
+        done = near if last else near.join(full, "a", "left_semi")
         found = done if found is None else found.union(done)
-        if rings >= most:
+        if last:
             return found
-        left = stored(left.join(full.withColumnRenamed("a", "pid"), "pid", "left_anti"))
-        if not left.limit(1).count():
+        rest = stored(left.join(full, "a", "left_anti"))
+        left, n_before, n_left = rest, n_left, rest.count()
+        if not n_left:
             return found
-        rings = min(2 * rings, most)
+        size *= 2 if n_left > n_before / 20 else 4
+        size = size if radius is None else min(size, radius)
+
+
+def _of_points(df: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for places, for every point there."""
+    pts = df.select("pid", *XYZ)
+    places = pts.groupBy(*XYZ).agg(F.min("pid").alias("a"))
+    return pts.join(places, [*XYZ]).select("pid", "a").join(found, "a")
+
+
+def hybrid(df: DataFrame, radius: float = 0.1, max_nn: int = 16) -> DataFrame:
+    """(a, b, d2, rank): up to max_nn nearest points within the radius, the point's own place included."""
+    return _of_points(df, nearest(df, max_nn, radius)).select(F.col("pid").alias("a"), "b", "d2", "rank")
+
+
+def nearest_points(df: DataFrame, k: int) -> DataFrame:
+    """(a, b, d2, rank): the k nearest points of each point, its own place included."""
+    return _of_points(df, nearest(df, k)).select(F.col("pid").alias("a"), "b", "d2", "rank")
+
+
+def knn(df: DataFrame, k: int = 8) -> DataFrame:
+    """(a, b, d2, rank): the k - 1 nearest other points (the point itself is the k-th of k)."""
+    others = _of_points(df, nearest(df, k)).where("pid <> b")
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy("d2", "b"))
+    return others.withColumn("rank", rank).where(F.col("rank") < k).select(F.col("pid").alias("a"), "b", "d2", "rank")
 
 
 def mean_spacing(df: DataFrame, k: int = 8) -> DataFrame:

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from voxelspring.cloud import XYZ
 from voxelspring.functions import cross
-from voxelspring.operators.neighbors import hybrid
+from voxelspring.operators.neighbors import hybrid, nearest_points
 
 AXES = ("nx", "ny", "nz")
 
 
-def point_normals(df: DataFrame, radius: float = 0.1, max_nn: int = 16) -> DataFrame:
-    """(pid, nx, ny, nz), null below three neighbours or where they don't span a plane; nz >= 0, then
-    ny, then nx. The eigenvector comes in closed form, so all of it stays in column expressions."""
-    near = hybrid(df, radius, max_nn).join(df.select(F.col("pid").alias("b"), *XYZ), "b")
+def point_normals(df: DataFrame, radius: float | None = None, max_nn: int = 30) -> DataFrame:
+    """(pid, nx, ny, nz) from the max_nn nearest points, within the radius where one is given; null below
+    three neighbours or where they don't span a plane; nz >= 0, then ny, then nx. The eigenvector
+    comes in closed form, so all of it stays in column expressions."""
+    found = nearest_points(df, max_nn) if radius is None else hybrid(df, radius, max_nn)
+    near = found.join(df.select(F.col("pid").alias("b"), *XYZ), "b")
     pairs = [(p, q) for i, p in enumerate(XYZ) for q in XYZ[i:]]
     cov = near.groupBy("a").agg(F.count(F.lit(1)).alias("m"), *[F.covar_pop(p, q).alias(p + q) for p, q in pairs])
     c = {k: F.col(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
@@ -34,9 +36,10 @@ def point_normals(df: DataFrame, radius: float = 0.1, max_nn: int = 16) -> DataF
         n = cross(rows[u], rows[v])
         cov = cov.withColumn(f"n{i}", F.struct((n[0] ** 2 + n[1] ** 2 + n[2] ** 2).alias("s"), n[0].alias("x"), n[1].alias("y"), n[2].alias("z")))
     cov = cov.withColumn("v", F.greatest("n0", "n1", "n2"))
-    unit = {k: F.round(F.try_divide(F.col(f"v.{x}"), F.sqrt("v.s")), 9) for k, x in zip(AXES, XYZ, strict=True)}
+    unit = {k: F.try_divide(F.col(f"v.{x}"), F.sqrt("v.s")) for k, x in zip(AXES, XYZ, strict=True)}
     cov = cov.select(F.col("a").alias("pid"), "m", F.col("v.s").alias("s"), *[u.alias(k) for k, u in unit.items()])
-    sign = F.when(F.col("nz") != 0, F.signum("nz")).when(F.col("ny") != 0, F.signum("ny")).otherwise(F.signum("nx"))
+    # a component of rounding errors alone has no sign
+    sign = F.when(F.abs("nz") > 1e-9, F.signum("nz")).when(F.abs("ny") > 1e-9, F.signum("ny")).otherwise(F.signum("nx"))
     good = (F.col("m") >= 3) & (F.col("s") > 0)
     return cov.select("pid", *[F.when(good, F.col(k) * sign).alias(k) for k in AXES])
 

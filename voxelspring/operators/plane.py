@@ -2,71 +2,135 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspring.functions import cross, norm, plane_distance
+from voxelspring.cloud import with_pid
+from voxelspring.functions import unit_plane_distance
 from voxelspring.operators.cluster import dbscan
-from voxelspring.storage import stored
+from voxelspring.operators.neighbors import mean_spacing
+from voxelspring.storage import drop_stored, stored
 
 PLANE = ("a", "b", "c", "d")
+PLANES = "it long, a double, b double, c double, d double"
+#: Points times planes in one product.
+TOGETHER = 2_000_000
 
 
-def hypotheses(df: DataFrame, iterations: int = 1000) -> DataFrame:
-    """(it, a, b, c, d): planes through three points drawn by a fixed integer rule from the ranks of
-    pid; draws of the same point and triples without area are left out."""
-    spark = df.sparkSession
-    n = df.count()
-    if n < 3:
-        return spark.createDataFrame([], "it long, a double, b double, c double, d double")
-    i = F.col("id")
+def draws(n: int, iterations: int) -> np.ndarray:
+    """(iterations, 4): the iteration, from 1, and the ranks of three different points of n, by a fixed
+    rule; draws of the same point are left out."""
+    i = np.arange(1, iterations + 1, dtype=np.int64)
     s1 = (i * 7919 + 13) % n
     s2 = (s1 + 1 + (i * 104729 + 17) % (n - 1)) % n
     s3 = (i * 1299709 + 29) % n
-    draws = spark.range(1, iterations + 1).select(F.col("id").alias("it"), s1.alias("s1"), s2.alias("s2"), s3.alias("s3")).where("s3 <> s1 AND s3 <> s2")
-    wanted = draws.select(F.explode(F.array("s1", "s2", "s3")).alias("rn")).distinct()
-    ranked = df.select("x", "y", "z", (F.row_number().over(Window.orderBy("pid")) - 1).cast("long").alias("rn")).join(F.broadcast(wanted), "rn")
-    for s in ("1", "2", "3"):
-        draws = draws.join(ranked.withColumnsRenamed({"rn": f"s{s}", **{c: f"{c}{s}" for c in "xyz"}}), f"s{s}")
-    p = {s: tuple(F.col(f"{c}{s}") for c in "xyz") for s in "123"}
-    u, v = (tuple(q - w for q, w in zip(p[s], p["1"], strict=True)) for s in "23")
-    draws = draws.withColumns(dict(zip(("nx", "ny", "nz"), cross(u, v), strict=True)))
-    normal = tuple(map(F.col, ("nx", "ny", "nz")))
-    unit = draws.withColumn("len", norm(normal)).where("len > 0").select("it", *p["1"], *[(c / F.col("len")).alias(k) for k, c in zip("abc", normal, strict=True)])
-    return unit.select("it", "a", "b", "c", (-(F.col("a") * F.col("x1") + F.col("b") * F.col("y1") + F.col("c") * F.col("z1"))).alias("d"))
+    return np.column_stack([i, s1, s2, s3])[(s3 != s1) & (s3 != s2)]
 
 
-def score(df: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
-    """planes with n, the points within the threshold. The planes, of which there are as many as
-    iterations, are broadcast; points are counted where they are."""
-    point = tuple(map(F.col, "xyz"))
-    near = F.abs(F.round(plane_distance(point, tuple(map(F.col, PLANE))), 9)) <= threshold
-    return df.select("x", "y", "z").crossJoin(F.broadcast(planes)).groupBy("it", *PLANE).agg(F.count_if(near).alias("n"))
+def points_at(df: DataFrame, n: int, low: int, high: int, ranks: list[int]) -> dict[int, tuple]:
+    """The points at some ranks of pid: by pid itself where it is dense, else by numbers given to all."""
+    if high - low + 1 == n:
+        ranked = df.select((F.col("pid") - low).alias("rn"), "x", "y", "z")
+    else:
+        ranked = with_pid(df.select("pid", "x", "y", "z"), "pid", name="rn")
+    wanted = df.sparkSession.createDataFrame([(r,) for r in ranks], "rn long")
+    return {r["rn"]: (r["x"], r["y"], r["z"]) for r in ranked.join(F.broadcast(wanted), "rn").collect()}
 
 
-def ransac_plane(df: DataFrame, threshold: float = 0.05, iterations: int = 1000) -> DataFrame:
-    """The plane with the most inliers, of equal ones the earliest; no row for a degenerate cloud."""
-    return score(df, hypotheses(df, iterations), threshold).where("n > 0").orderBy(F.desc("n"), "it").limit(1)
+def hypotheses(df: DataFrame, iterations: int = 1000) -> DataFrame:
+    """PLANES: unit planes through three points drawn by rank of pid; triples without area are left out.
+    At most three points for each iteration reach the driver."""
+    size = df.agg(F.count("pid").alias("n"), F.min("pid").alias("low"), F.max("pid").alias("high")).first()
+    found = []
+    if size["n"] >= 3:
+        drawn = draws(size["n"], iterations)
+        at = points_at(df, *size, sorted({int(r) for r in drawn[:, 1:].reshape(-1)}))
+        for it, *ranks in drawn.tolist():
+            (px, py, pz), (qx, qy, qz), (sx, sy, sz) = (at[r] for r in ranks)
+            nx = (qy - py) * (sz - pz) - (qz - pz) * (sy - py)
+            ny = (qz - pz) * (sx - px) - (qx - px) * (sz - pz)
+            nz = (qx - px) * (sy - py) - (qy - py) * (sx - px)
+            length = (nx * nx + ny * ny + nz * nz) ** 0.5
+            if length > 0:
+                a, b, c = nx / length, ny / length, nz / length
+                found.append((it, a, b, c, -(a * px + b * py + c * pz)))
+    return df.sparkSession.createDataFrame(found, PLANES)
+
+
+def score(df: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
+    """planes with n, the points within the threshold. The planes, of which there are as many as
+    iterations, go to the tasks; each counts its points in one pass and hands on one row."""
+    rows = [tuple(r) for r in planes.select("it", *PLANE).collect()]
+    own = np.array([r[1:] for r in rows], dtype=np.float64).reshape(-1, 4)
+
+    def count(batches):
+        total = np.zeros(len(own), np.int64)
+        step = max(1, TOGETHER // max(1, len(own)))
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz"])
+            for at in range(0, len(x), step):
+                total += (np.abs(x[at : at + step] @ own[:, :3].T + own[:, 3]) <= threshold).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["counts"])
+
+    parts = df.select(*[F.col(c).cast("double") for c in "xyz"]).mapInArrow(count, "counts array<long>")
+    sums = parts.select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
+    listed = df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"at int, {PLANES}")
+    return listed.join(F.broadcast(sums), "at", "left").select("it", *PLANE, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def threshold_of(df: DataFrame, threshold: float | str) -> float:
+    """The threshold, or for "auto" the mean distance to the seven nearest points."""
+    return float(mean_spacing(df, 8).first()["spacing"] or 0.0) if threshold == "auto" else float(threshold)
+
+
+def refitted(df: DataFrame, plane: tuple, threshold: float) -> tuple:
+    """The least-squares plane of the points within the threshold: through their mean, normal to their
+    least spread; the plane itself where they don't span one."""
+    near = with_inliers(df, plane, threshold).where("is_inlier")
+    pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
+    r = near.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "xyz"], *[F.covar_pop(p[0], p[1]).alias(p) for p in pairs]).first()
+    if r["n"] < 3:
+        return plane
+    xx, xy, xz, yy, yz, zz = (r[p] for p in pairs)
+    values, vectors = np.linalg.eigh(np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]))
+    if values[1] <= 0:
+        return plane
+    normal = vectors[:, 0] * (1.0 if vectors[:, 0] @ np.array(plane[:3]) >= 0 else -1.0)
+    return (*normal.tolist(), -float(normal @ np.array([r["x"], r["y"], r["z"]])))
+
+
+def ransac_plane(df: DataFrame, threshold: float | str = 0.05, iterations: int = 1000, refit: bool = False) -> DataFrame:
+    """(it, a, b, c, d, n): the plane with the most inliers, of equal ones the earliest; no row for a
+    degenerate cloud. With refit, the least-squares plane of its inliers and their number."""
+    limit = threshold_of(df, threshold)
+    best = score(df, hypotheses(df, iterations), limit).where("n > 0").orderBy(F.desc("n"), "it").limit(1)
+    if not refit or (row := best.first()) is None:
+        return best
+    plane = refitted(df, tuple(row[c] for c in PLANE), limit)
+    return score(df, df.sparkSession.createDataFrame([(row["it"], *plane)], PLANES), limit)
 
 
 def with_inliers(df: DataFrame, plane: tuple[float, float, float, float], threshold: float) -> DataFrame:
-    distance = F.round(plane_distance(tuple(map(F.col, "xyz")), tuple(map(F.lit, plane))), 9)
-    return df.withColumn("is_inlier", F.abs(distance) <= threshold)
+    """df with is_inlier for a unit plane; a distance equal to the threshold counts."""
+    distance = unit_plane_distance(tuple(map(F.col, "xyz")), tuple(map(F.lit, plane)))
+    return df.withColumn("is_inlier", F.coalesce(F.abs(distance) <= threshold, F.lit(False)))
 
 
-def segment(df: DataFrame, threshold: float = 0.05, iterations: int = 1000) -> DataFrame:
+def segment(df: DataFrame, threshold: float | str = 0.05, iterations: int = 1000, refit: bool = False) -> DataFrame:
     """df with is_inlier for its best plane; all false if there is none."""
-    best = ransac_plane(df, threshold, iterations).first()
-    return df.withColumn("is_inlier", F.lit(False)) if best is None else with_inliers(df, tuple(best[c] for c in PLANE), threshold)
+    limit = threshold_of(df, threshold)
+    best = ransac_plane(df, limit, iterations, refit).first()
+    return df.withColumn("is_inlier", F.lit(False)) if best is None else with_inliers(df, tuple(best[c] for c in PLANE), limit)
 
 
-def multi_plane(df: DataFrame, planes: int = 10, threshold: float = 0.01, iterations: int = 1000) -> tuple[DataFrame, DataFrame]:
+def multi_plane(df: DataFrame, planes: int = 10, threshold: float = 0.01, iterations: int = 1000, refit: bool = False) -> tuple[DataFrame, DataFrame]:
     """(models, points): up to `planes` planes, each fitted to what those before it left; points have
-    `segment`, -1 for the rest. Each round's rest is a stored table."""
-    spark = df.sparkSession
+    `segment`, -1 for the rest. Each round's split is a stored table."""
     models, done, rest = [], None, df
     for i in range(planes):
-        best = ransac_plane(rest, threshold, iterations).first()
+        best = ransac_plane(rest, threshold, iterations, refit).first()
         if best is None:
             break
         models.append((i, *[float(best[c]) for c in PLANE], int(best["n"])))
@@ -75,11 +139,19 @@ def multi_plane(df: DataFrame, planes: int = 10, threshold: float = 0.01, iterat
         done = own if done is None else done.unionByName(own)
         rest = split.where("NOT is_inlier").drop("is_inlier")
     rest = rest.withColumn("segment", F.lit(-1))
-    found = spark.createDataFrame(models, "segment int, a double, b double, c double, d double, n long")
+    found = df.sparkSession.createDataFrame(models, "segment int, a double, b double, c double, d double, n long")
     return found, rest if done is None else done.unionByName(rest)
 
 
-def refined_planes(df: DataFrame, planes: int = 20, threshold: float = 0.01, iterations: int = 1000, eps: float | None = None, min_points: int = 10, exclude_noise: bool = False) -> DataFrame:
+def refined_planes(
+    df: DataFrame,
+    planes: int = 20,
+    threshold: float = 0.01,
+    iterations: int = 1000,
+    eps: float | None = None,
+    min_points: int = 10,
+    exclude_noise: bool = False,
+) -> DataFrame:
     """points with `segment`: each round clusters the best plane's inliers by density and keeps the
     largest cluster (noise counts as one unless excluded); the other inliers go back to the pool.
     eps defaults to ten thresholds."""
@@ -95,8 +167,9 @@ def refined_planes(df: DataFrame, planes: int = 20, threshold: float = 0.01, ite
         sizes = labels.where("label >= 0") if exclude_noise else labels
         top = sizes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").first()
         kept = labels.where(F.col("label") == (top["label"] if top else -2)).select("pid")
-        own = inliers.join(kept, "pid", "left_semi").withColumn("segment", F.lit(i))
+        own = stored(inliers.join(kept, "pid", "left_semi").withColumn("segment", F.lit(i)))
         done = own if done is None else done.unionByName(own)
         rest = stored(split.drop("is_inlier").join(kept, "pid", "left_anti"))
+        drop_stored(split, labels)
     rest = rest.withColumn("segment", F.lit(-1))
     return rest if done is None else done.unionByName(rest)

@@ -13,11 +13,13 @@ def centroid(ring: DataFrame) -> DataFrame:
     return ring.agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-def sorted_ring(ring: DataFrame, by: str = "ring") -> DataFrame:
-    """ring with `ord`, from 0, by falling bearing about the corners' mean (counter-clockwise)."""
+def sorted_ring(ring: DataFrame, by: str = "ring", digits: int | None = None) -> DataFrame:
+    """ring with `ord`, from 0, by falling bearing about the corners' mean (counter-clockwise). digits:
+    decimals of the bearing that count, for comparing with other engines."""
     ring = ring if by in ring.columns else ring.withColumn(by, F.lit(0))
     whole = Window.partitionBy(by)
-    angle = F.round(bearing(F.col("x"), F.col("y"), F.avg("x").over(whole), F.avg("y").over(whole)), 12)
+    angle = bearing(F.col("x"), F.col("y"), F.avg("x").over(whole), F.avg("y").over(whole))
+    angle = angle if digits is None else F.round(angle, digits)
     ring = ring.withColumn("_angle", angle)
     return ring.withColumn("ord", F.row_number().over(whole.orderBy(F.desc("_angle"), "pid")) - 1).drop("_angle")
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspring.cloud import squared_distance
+from voxelspring.cloud import squared_distance, with_pid
 
 
 def above_mean(df: DataFrame, column: str = "z") -> DataFrame:
-    """Rows strictly above the column's mean; the mean is a one-row subquery."""
-    return df.crossJoin(F.broadcast(df.agg(F.avg(column).alias("_mean")))).where(F.col(column) > F.col("_mean")).drop("_mean")
+    """Rows strictly above the column's mean, which is a scalar subquery in the filter."""
+    return df.where(F.col(column) > df.select(F.avg(column)).scalar())
 
 
 def of_class(df: DataFrame, *codes: int) -> DataFrame:
@@ -33,11 +33,10 @@ def within(df: DataFrame, center: tuple[float, float, float], radius: float) ->
 
 
 def decimate(df: DataFrame, factor: int = 160, dense: bool = True) -> DataFrame:
-    """Every factor-th row by pid, from the first; pid is dense or is ranked first."""
+    """Every factor-th row by pid, from the first; pid is dense or is numbered first."""
     if dense:
         return df.where(F.col("pid") % factor == 0)
-    rank = F.row_number().over(Window.orderBy("pid")) - 1
-    return df.withColumn("_rank", rank).where(F.col("_rank") % factor == 0).drop("_rank")
+    return with_pid(df, "pid", name="_rank").where(F.col("_rank") % factor == 0).drop("_rank")
 
 
 def translate(df: DataFrame, dx: float, dy: float, dz: float) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspring.cloud import XYZ, squared_distance
+from voxelspring.cloud import XYZ, squared_distance, with_pid
 
 KEY = ("vx", "vy", "vz")
 
@@ -36,9 +36,10 @@ def members(df: DataFrame, size: float, origin: str = "min") -> DataFrame:
     return with_voxel(df, size, origin).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("pid", *XYZ))).alias("points"))
 
 
-def subsample(df: DataFrame, size: float, origin: str = "min", mode: str = "closest") -> DataFrame:
-    """One point for each occupied voxel: the member nearest to the barycentre (ties within 1e-9 go
-    to the smaller pid), or with mode "barycenter" the barycentre itself.
+def subsample(df: DataFrame, size: float, origin: str = "min", mode: str = "closest", digits: int | None = None) -> DataFrame:
+    """One point for each occupied voxel: the member nearest to the barycentre (ties go to the smaller
+    pid), or with mode "barycenter" the barycentre itself. digits: decimals of the squared distance
+    that count, for comparing with engines whose means differ in the last place.
 
     Voxels with many points cost no sort: the nearest member comes from a partial aggregate.
     """
@@ -46,7 +47,8 @@ def subsample(df: DataFrame, size: float, origin: str = "min", mode: str = "clos
         return barycenters(df, size, origin)
     keyed = with_voxel(df, size, origin)
     centers = keyed.groupBy(*KEY).agg(*[F.avg(c).alias(f"m{c}") for c in XYZ])
-    d2 = F.round(squared_distance(tuple(map(F.col, XYZ)), tuple(F.col(f"m{c}") for c in XYZ)), 9)
+    d2 = squared_distance(tuple(map(F.col, XYZ)), tuple(F.col(f"m{c}") for c in XYZ))
+    d2 = d2 if digits is None else F.round(d2, digits)
     point = F.struct("pid", *XYZ)
     return keyed.join(centers, [*KEY]).groupBy(*KEY).agg(F.min_by(point, F.struct(d2, "pid")).alias("p")).select(*KEY, "p.*")
 
@@ -69,7 +71,10 @@ def coverage(tops: DataFrame, size: float) -> DataFrame:
     return n.select("built", "rest", (F.col("built") * area).alias("built_area"), (F.col("rest") * area).alias("rest_area"), (F.col("built") / F.nullif(F.col("built") + F.col("rest"), F.lit(0))).alias("ratio"))
 
 
-def ranked_members(df: DataFrame, size: float, k: int, origin: str = "min") -> DataFrame:
-    """The k members of each voxel with the smallest pids."""
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("pid"))
-    return with_voxel(df, size, origin).withColumn("rank", rank).where(F.col("rank") <= k)
+def member_rows(df: DataFrame, size: float, origin: str = "min") -> DataFrame:
+    """Every point with its voxel and its rank there, from 1 by pid. A voxel's points are ranked by the
+    places of voxels in the whole order, so that one with many points is not one task."""
+    keyed = with_voxel(df, size, origin)
+    numbered = with_pid(keyed, *KEY, "pid", name="_at")
+    first = numbered.groupBy(*KEY).agg(F.min("_at").alias("_first"))
+    return numbered.join(first, [*KEY]).withColumn("rank", F.col("_at") - F.col("_first") + 1).drop("_at", "_first")

@@ -2,225 +2,550 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelspring import functions as X
+from voxelspring import sources
 from voxelspring.cloud import bounds, lines_cloud, rounded, vectors_cloud
 from voxelspring.operators import cluster, generate, neighbors, normals, plane, polygon, select, voxel
+from voxelspring.plans import sql
+from voxelspring.plans.sql import RGB, XYZ
+from voxelspring.plans.sql import rounded as R
 from voxelspring.sources.text import text_columns
+from voxelspring.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Large clouds numbered once for each session and folder, whose tables don't change meanwhile.
+_numbered: dict[tuple[str, str], DataFrame] = {}
 
-L_SQL = """L AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS pid,
-  l_quantity AS x, l_extendedprice/1000 AS y, (l_discount + l_tax)*100 + 0.0 AS z,
-  CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 6 END AS INTEGER) AS cls,
-  l_quantity/50 AS r, l_discount*10 AS g, l_tax*12.5 AS b FROM lineitem)"""
-E_SQL = """E AS (SELECT vec_id AS pid, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label AS cls FROM embeddings)"""
-
-
-def R(expression: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round({expression} + 1e-9, {digits}) + 0.0 AS {name or expression}"
+POI, RADIUS, SIZE = (25.0, 50.0, 9.0), 50.0, 6.0
+IDS = (3, 14, 15, 92, 65, 35, 89)
+BALL = f"(x-25.0)*(x-25.0)+(y-50.0)*(y-50.0)+(z-9.0)*(z-9.0) <= {RADIUS * RADIUS}"
+#: Plane distance, hypotheses, planes of the two loops; the last two as the reference has them.
+T, ITERATIONS, PLANES, REFINED = 0.05, 1000, 10, 20
+EPS, LEAST = 0.05, 5
 
 
-XYZ_R = ", ".join(R(c) for c in "xyz")
-RGB_R = ", ".join(R(c) for c in "rgb")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _numbered:
+        _numbered[key] = lines_cloud(spark, sf_dir)
+    return _numbered[key]
 
 
-def query(name: str, sql: str | None = None, view: str | None = None):
-    """Register a query; view: which cloud it takes, by default none and (spark, sf_dir) itself."""
+def query(name: str, oracle: str | None = None, view: str | None = None, digits: int = 6):
+    """Register a query. view: the cloud it takes, L or E; without one it takes (spark, sf_dir) itself."""
 
     def register(f):
         if view is None:
             QUERIES[name] = f
         else:
-            make = lines_cloud if view == "L" else vectors_cloud
-            QUERIES[name] = lambda spark, sf_dir: rounded(f(make(spark, sf_dir)))
-        if sql is not None:
-            ORACLES[name] = sql if view is None else f"WITH RECURSIVE {L_SQL if view == 'L' else E_SQL}{sql if sql.startswith(',') else ' ' + sql}"
+            make = _lines if view == "L" else vectors_cloud
+            QUERIES[name] = lambda spark, sf_dir: rounded(f(make(spark, sf_dir)), digits)
+        if oracle is not None and view is None:
+            ORACLES[name] = oracle
+        elif oracle is not None:
+            cloud = sql.L_SQL if view == "L" else sql.E_SQL
+            ORACLES[name] = f"WITH RECURSIVE {cloud}{oracle if oracle.startswith(',') else ' ' + oracle}"
         return f
 
     return register
 
 
-POI, RADIUS, SIZE = (25.0, 50.0, 9.0), 50.0, 6.0
-IDS = (3, 14, 15, 92, 65, 35, 89)
-BALL = f"(x-25.0)*(x-25.0)+(y-50.0)*(y-50.0)+(z-9.0)*(z-9.0) <= {RADIUS * RADIUS}"
+def columns(expressions: dict) -> list:
+    return [e.alias(n) for n, e in expressions.items()]
+
+
+def xyz() -> tuple:
+    return tuple(map(F.col, "xyz"))
+
+
+def rgb() -> tuple:
+    return tuple(map(F.col, "rgb"))
+
+
+# --- scans, filters, columns
+
+
+@query("scan_points", f"SELECT pid, {XYZ}, cls, {RGB} FROM L", "L")
+def _scan(c):
+    return c
+
+
+@query("filter_above_mean_z", f"SELECT pid, {XYZ}, cls FROM L WHERE z > (SELECT avg(z) FROM L)", "L")
+def _above_mean(c):
+    return select.above_mean(c).select("pid", "x", "y", "z", "cls")
+
+
+@query("filter_class", f"SELECT pid, {XYZ}, cls FROM L WHERE cls = 6", "L")
+def _of_class(c):
+    return select.of_class(c, 6).select("pid", "x", "y", "z", "cls")
+
+
+@query("distinct_classes", "SELECT DISTINCT cls FROM L", "L")
+def _classes(c):
+    return c.select("cls").distinct().orderBy("cls")
 
 
-def voxels(cloud: str, size: float = SIZE, shift: float = 0.0, name: str = "V") -> str:
-    keys = ", ".join(f"CAST(floor(({c} - (min{c} - {shift})) / {size}) AS BIGINT) AS v{c}" for c in "xyz")
-    return f"{name} AS (SELECT t.*, {keys} FROM {cloud} t, (SELECT min(x) AS minx, min(y) AS miny, min(z) AS minz FROM {cloud}))"
-
-
-# scans, filters, columns
-query("scan_points", f"SELECT pid, {XYZ_R}, cls, {RGB_R} FROM L", "L")(lambda c: c)
-query("filter_above_mean_z", f"SELECT pid, {XYZ_R}, cls FROM L WHERE z > (SELECT avg(z) FROM L)", "L")(lambda c: select.above_mean(c).select("pid", "x", "y", "z", "cls"))
-query("filter_class", f"SELECT pid, {XYZ_R}, cls FROM L WHERE cls = 6", "L")(lambda c: select.of_class(c, 6).select("pid", "x", "y", "z", "cls"))
-query("distinct_classes", "SELECT DISTINCT cls FROM L", "L")(lambda c: c.select("cls").distinct().orderBy("cls"))
-query("class_to_color", "SELECT pid, cls, CAST(CASE cls WHEN 1 THEN 1 WHEN 9 THEN 0.5 WHEN 26 THEN 1 ELSE 0 END AS DOUBLE) AS r, CAST(CASE cls WHEN 2 THEN 1 WHEN 9 THEN 0.5 WHEN 26 THEN 1 ELSE 0 END AS DOUBLE) AS g, CAST(CASE cls WHEN 6 THEN 1 WHEN 9 THEN 0.5 ELSE 0 END AS DOUBLE) AS b FROM L", "L")(lambda c: c.select("pid", "cls", *[e.alias(n) for n, e in X.class_color(F.col("cls")).items()]))
-query("class_red_black", "SELECT pid, CAST(CASE WHEN cls = 6 THEN 1 ELSE 0 END AS DOUBLE) AS r, 0.0::DOUBLE AS g, 0.0::DOUBLE AS b FROM L", "L")(lambda c: c.select("pid", *[e.alias(n) for n, e in X.red_black(F.col("cls")).items()]))
-query("select_ids", f"SELECT pid, {XYZ_R} FROM L WHERE pid IN {IDS}", "L")(lambda c: select.by_ids(c, IDS).select("pid", "x", "y", "z"))
-query("select_ids_inverted", f"SELECT pid, {XYZ_R} FROM L WHERE pid NOT IN {IDS}", "L")(lambda c: select.by_ids(c, IDS, invert=True).select("pid", "x", "y", "z"))
-query("radius_query", f"SELECT pid, {XYZ_R} FROM L WHERE {BALL}", "L")(lambda c: select.within(c, POI, RADIUS).select("pid", "x", "y", "z"))
-query("rescale_color", f"SELECT pid, {', '.join(R(f'CAST(floor({k} * 255) AS INTEGER) / 255.0::DOUBLE', k) for k in 'rgb')} FROM L", "L")(lambda c: c.select("pid", *[X.rescaled(F.floor(F.col(k) * 255).cast("int"), 255).alias(k) for k in "rgb"]))
-query("paint_uniform", "SELECT pid, 1.0::DOUBLE AS r, 0.5::DOUBLE AS g, 0.0::DOUBLE AS b FROM L", "L")(lambda c: c.select("pid", *[e.alias(n) for n, e in X.uniform(1, 0.5, 0).items()]))
-query("translate", f"SELECT pid, {R('x + 10.0', 'x')}, {R('y - 5.0', 'y')}, {R('z + 2.5', 'z')} FROM L", "L")(lambda c: select.translate(c, 10, -5, 2.5).select("pid", "x", "y", "z"))
-query("decimate", f"SELECT pid, {XYZ_R} FROM L WHERE pid % 160 = 0", "L")(lambda c: select.decimate(c, 160).select("pid", "x", "y", "z"))
-query("merge_clouds", f"SELECT pid, {XYZ_R} FROM L WHERE cls = 1 UNION ALL SELECT pid, {XYZ_R} FROM L WHERE cls = 6", "L")(lambda c: select.merge(select.of_class(c, 1), select.of_class(c, 6)).select("pid", "x", "y", "z"))
-query("point_count", "SELECT count(*) AS n FROM L", "L")(lambda c: c.agg(F.count(F.lit(1)).alias("n")))
-query("vector_columns", f"SELECT pid, {R('y*b-z*g', 'cx')}, {R('z*r-x*b', 'cy')}, {R('x*g-y*r', 'cz')}, {R('x*r+y*g+z*b', 'dot')}, {R('sqrt(x*x+y*y+z*z)', 'len')}, {R('atan2(x-25.0, y-50.0)', 'bearing')} FROM L", "L")(lambda c: c.select("pid", *[e.alias(n) for n, e in zip(("cx", "cy", "cz"), X.cross(tuple(map(F.col, "xyz")), tuple(map(F.col, "rgb"))), strict=True)], X.dot(tuple(map(F.col, "xyz")), tuple(map(F.col, "rgb"))).alias("dot"), X.norm(tuple(map(F.col, "xyz"))).alias("len"), X.bearing(F.col("x"), F.col("y"), F.lit(25.0), F.lit(50.0)).alias("bearing")))
-query("export_text", "SELECT pid, printf('%1.4f', x) AS x, printf('%1.4f', z) AS z, printf('%1.4f', cls::DOUBLE) AS cls FROM L", "L")(lambda c: c.select("pid", *text_columns(c.select("x", "z", "cls"), 4)))
-# voxels
-query("voxels_per_axis", "SELECT CAST(ceil((max(x)-min(x))/6.0) AS BIGINT) AS nx, CAST(ceil((max(y)-min(y))/6.0) AS BIGINT) AS ny, CAST(ceil((max(z)-min(z))/6.0) AS BIGINT) AS nz FROM L", "L")(lambda c: voxel.voxels_per_axis(c, SIZE))
-query("bounds", f"SELECT {', '.join(R(f'{f}({c})', f + c) for c in 'xyz' for f in ('min', 'max'))} FROM L", "L")(bounds)
-query("low_high_points", f"SELECT * FROM (SELECT 'low' AS kind, pid, {XYZ_R} FROM L ORDER BY L.z, pid LIMIT 1) UNION ALL SELECT * FROM (SELECT 'high' AS kind, pid, {XYZ_R} FROM L ORDER BY L.z DESC, pid LIMIT 1)", "L")(select.low_high)
-query("voxel_counts", f", {voxels('L')} SELECT vx, vy, vz, count(*) AS n FROM V GROUP BY ALL", "L")(lambda c: voxel.voxel_counts(c, SIZE))
-query("voxel_barycenter", f", {voxels('L')} SELECT vx, vy, vz, count(*) AS n, {', '.join(R(f'avg({c})', c) for c in 'xyz')} FROM V GROUP BY vx, vy, vz", "L")(lambda c: voxel.barycenters(c, SIZE))
-query("voxel_best_point", f""", {voxels('L')}, M AS (SELECT vx, vy, vz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM V GROUP BY ALL),
-  K AS (SELECT V.*, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY round((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz), 9), pid) AS rn FROM V JOIN M USING (vx, vy, vz))
-  SELECT vx, vy, vz, pid, {XYZ_R} FROM K WHERE rn = 1""", "L")(lambda c: voxel.subsample(c, SIZE))
-query("voxel_members", f", {voxels('L')}, K AS (SELECT *, CAST(row_number() OVER (PARTITION BY vx, vy, vz ORDER BY pid) AS INTEGER) AS rank FROM V) SELECT vx, vy, vz, pid, rank FROM K WHERE rank <= 3", "L")(lambda c: voxel.ranked_members(c, SIZE, 3).select("vx", "vy", "vz", "pid", "rank"))
-query("voxel_color", f", {voxels('L', SIZE, SIZE / 2)} SELECT vx, vy, vz, count(*) AS n, {', '.join(R(f'avg({c})', c) for c in 'rgb')} FROM V GROUP BY vx, vy, vz", "L")(lambda c: voxel.voxel_colors(c, SIZE))
-TOP = f"C AS (SELECT vx, vy, vz, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM V GROUP BY vx, vy, vz), T AS (SELECT vx, vy, max(vz) AS vz, arg_max(r, vz) AS r, arg_max(g, vz) AS g, arg_max(b, vz) AS b FROM C GROUP BY vx, vy)"
-query("top_voxel", f", {voxels('L', SIZE, SIZE / 2)}, {TOP} SELECT vx, vy, vz, {RGB_R} FROM T", "L")(lambda c: voxel.top_of_column(voxel.voxel_colors(c, SIZE)))
-query("built_coverage", f", B AS (SELECT pid, x, y, z, CAST(CASE WHEN cls = 6 THEN 1 ELSE 0 END AS DOUBLE) AS r, 0.0 AS g, 0.0 AS b FROM L WHERE {BALL}), {voxels('B', SIZE, SIZE / 2)}, {TOP}, N AS (SELECT count(*) FILTER (NOT (r = 0 AND g = 0 AND b = 0)) AS built, count(*) FILTER (r = 0 AND g = 0 AND b = 0) AS rest FROM T) SELECT built, rest, built * 36.0::DOUBLE AS built_area, rest * 36.0::DOUBLE AS rest_area, {R('built / nullif(built + rest, 0)', 'ratio')} FROM N", "L")(
-    lambda c: voxel.coverage(voxel.top_of_column(voxel.voxel_colors(select.within(c, POI, RADIUS).withColumns(X.red_black(F.col("cls"))), SIZE)), SIZE)
+CLASS_CASES = ", ".join(
+    R(f"CAST(CASE cls WHEN 1 THEN {a} WHEN 2 THEN {b} WHEN 6 THEN {c} WHEN 9 THEN {d} WHEN 26 THEN {e} ELSE 0 END AS DOUBLE)", n)
+    for n, a, b, c, d, e in (("r", 0.611, 0.8, 0.901, 0.564, 0.694), ("g", 0.8, 0.67, 0.419, 0.85, 0.662), ("b", 0.521, 0.521, 0.431, 0.913, 0.698))
 )
-# polygons and meshes
-SHOELACE = "S AS (SELECT o, x * coalesce(lead(y) OVER (ORDER BY o), first_value(y) OVER (ORDER BY o)) - coalesce(lead(x) OVER (ORDER BY o), first_value(x) OVER (ORDER BY o)) * y AS t FROM P)"
-query("polygon_area_unsorted", f", P AS (SELECT pid AS o, x, y FROM E WHERE pid < 12), {SHOELACE} SELECT {R('abs(sum(t)) / 2', 'area')} FROM S", "E")(lambda c: polygon.area(c.where("pid < 12")).select("area"))
-query("polygon_area_sorted", f", Q AS (SELECT * FROM E WHERE pid < 12), P AS (SELECT row_number() OVER (ORDER BY round(atan2(x - (SELECT avg(x) FROM Q), y - (SELECT avg(y) FROM Q)), 12) DESC, pid) AS o, x, y FROM Q), {SHOELACE} SELECT {R('abs(sum(t)) / 2', 'area')} FROM S", "E")(lambda c: polygon.area(polygon.sorted_ring(c.where("pid < 12")), "ord").select("area"))
-query("ring_centroid", f"SELECT {R('avg(x)', 'x')}, {R('avg(y)', 'y')} FROM E WHERE pid < 12", "E")(lambda c: polygon.centroid(c.where("pid < 12")))
+
+
+@query("class_to_color", f"SELECT pid, cls, {CLASS_CASES} FROM L", "L")
+def _class_colors(c):
+    return c.select("pid", "cls", *columns(X.class_color(F.col("cls"))))
+
+
+@query("class_red_black", "SELECT pid, CAST(CASE WHEN cls = 6 THEN 1 ELSE 0 END AS DOUBLE) AS r, 0.0::DOUBLE AS g, 0.0::DOUBLE AS b FROM L", "L")
+def _red_black(c):
+    return c.select("pid", *columns(X.red_black(F.col("cls"))))
+
+
+@query("select_ids", f"SELECT pid, {XYZ} FROM L WHERE pid IN {IDS}", "L")
+def _select_ids(c):
+    return select.by_ids(c, IDS).select("pid", "x", "y", "z")
+
+
+@query("select_ids_inverted", f"SELECT pid, {XYZ} FROM L WHERE pid NOT IN {IDS}", "L")
+def _select_others(c):
+    return select.by_ids(c, IDS, invert=True).select("pid", "x", "y", "z")
+
+
+@query("radius_query", f"SELECT pid, {XYZ} FROM L WHERE {BALL}", "L")
+def _radius(c):
+    return select.within(c, POI, RADIUS).select("pid", "x", "y", "z")
+
+
+RESCALED = ", ".join(R(f"CAST(floor({k} * 255) AS INTEGER) / 255.0::DOUBLE", k) for k in "rgb")
+
+
+@query("rescale_color", f"SELECT pid, {RESCALED} FROM L", "L")
+def _rescale(c):
+    return c.select("pid", *[X.rescaled(F.floor(F.col(k) * 255).cast("int"), 255).alias(k) for k in "rgb"])
+
+
+@query("paint_uniform", "SELECT pid, 1.0::DOUBLE AS r, 0.5::DOUBLE AS g, 0.0::DOUBLE AS b FROM L", "L")
+def _paint(c):
+    return c.select("pid", *columns(X.uniform(1, 0.5, 0)))
+
+
+@query("translate", f"SELECT pid, {R('x + 10.0', 'x')}, {R('y - 5.0', 'y')}, {R('z + 2.5', 'z')} FROM L", "L")
+def _translate(c):
+    return select.translate(c, 10, -5, 2.5).select("pid", "x", "y", "z")
+
+
+@query("decimate", f"SELECT pid, {XYZ} FROM L WHERE pid % 160 = 0", "L")
+def _decimate(c):
+    return select.decimate(c, 160).select("pid", "x", "y", "z")
+
+
+@query("decimate_ranked", f", K AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS rn FROM L WHERE cls = 6) SELECT pid, {XYZ} FROM K WHERE rn % 160 = 0", "L")
+def _decimate_ranked(c):
+    return select.decimate(select.of_class(c, 6), 160, dense=False).select("pid", "x", "y", "z")
+
+
+@query("merge_clouds", f"SELECT pid, {XYZ} FROM L WHERE cls = 1 UNION ALL SELECT pid, {XYZ} FROM L WHERE cls = 6", "L")
+def _merge(c):
+    return select.merge(select.of_class(c, 1), select.of_class(c, 6)).select("pid", "x", "y", "z")
+
+
+@query("point_count", "SELECT count(*) AS n FROM L", "L")
+def _count(c):
+    return c.agg(F.count(F.lit(1)).alias("n"))
+
+
+VECTORS = ", ".join(
+    R(e, n)
+    for e, n in (
+        ("y*b-z*g", "cx"), ("z*r-x*b", "cy"), ("x*g-y*r", "cz"), ("x*r+y*g+z*b", "dot"),
+        ("sqrt(x*x+y*y+z*z)", "len"), ("atan2(x-25.0, y-50.0)", "bearing"),
+    )
+)
+
+
+@query("vector_columns", f"SELECT pid, {VECTORS} FROM L", "L")
+def _vectors(c):
+    cross = dict(zip(("cx", "cy", "cz"), X.cross(xyz(), rgb()), strict=True))
+    bearing = X.bearing(F.col("x"), F.col("y"), F.lit(25.0), F.lit(50.0))
+    return c.select("pid", *columns(cross | {"dot": X.dot(xyz(), rgb()), "len": X.norm(xyz()), "bearing": bearing}))
+
+
+@query("export_text", "SELECT pid, printf('%1.4f', x) AS x, printf('%1.4f', z) AS z, printf('%1.4f', cls::DOUBLE) AS cls FROM L", "L")
+def _export(c):
+    return c.select("pid", *text_columns(c.select("x", "z", "cls"), 4))
+
+
+@query("plane_text", "SELECT printf('%.2fx + %.2fy + %.2fz + %.2f = 0', r, g, r - g, x) AS plane, pid FROM L", "L")
+def _plane_text(c):
+    return c.select("pid", X.plane_text((F.col("r"), F.col("g"), F.col("r") - F.col("g"), F.col("x"))).alias("plane"))
+
+
+@query("ply_round_trip", f"SELECT pid, {XYZ} FROM L", "L")
+def _ply_round_trip(c):
+    path = f"{shared_dir(c.sparkSession)}/cloud-{uuid.uuid4().hex}.ply"
+    sources.write_ply(c.select("pid", "x", "y", "z"), path)
+    return sources.read_ply(c.sparkSession, path)
+
+
+@query("text_round_trip", f"SELECT CAST(pid AS DOUBLE) AS pid, {XYZ} FROM L", "L")
+def _text_round_trip(c):
+    path = f"{shared_dir(c.sparkSession)}/cloud-{uuid.uuid4().hex}"
+    sources.write_text(c.select("pid", "x", "y", "z"), path, None, sep=" ")
+    return sources.read_whitespace(c.sparkSession, path, ["pid", "x", "y", "z"], skip=0)
+
+
+# --- voxels
+
+PER_AXIS = ", ".join(f"CAST(ceil((max({c})-min({c}))/{SIZE}) AS BIGINT) AS n{c}" for c in "xyz")
+IN_VOXELS = f", {sql.voxels('L', SIZE)}"
+IN_CENTRED_VOXELS = f", {sql.voxels('L', SIZE, SIZE / 2)}"
+
+
+@query("voxels_per_axis", f"SELECT {PER_AXIS} FROM L", "L")
+def _per_axis(c):
+    return voxel.voxels_per_axis(c, SIZE)
+
+
+@query("bounds", f"SELECT {', '.join(R(f'{f}({c})', f + c) for c in 'xyz' for f in ('min', 'max'))} FROM L", "L")
+def _bounds(c):
+    return bounds(c)
+
+
+LOW = f"SELECT * FROM (SELECT 'low' AS kind, pid, {XYZ} FROM L ORDER BY L.z, pid LIMIT 1)"
+HIGH = f"SELECT * FROM (SELECT 'high' AS kind, pid, {XYZ} FROM L ORDER BY L.z DESC, pid LIMIT 1)"
+
+
+@query("low_high_points", f"{LOW} UNION ALL {HIGH}", "L")
+def _low_high(c):
+    return select.low_high(c)
+
+
+@query("voxel_counts", f"{IN_VOXELS} SELECT vx, vy, vz, count(*) AS n FROM V GROUP BY ALL", "L")
+def _voxel_counts(c):
+    return voxel.voxel_counts(c, SIZE)
+
+
+@query("voxel_barycenter", f"{IN_VOXELS} SELECT vx, vy, vz, count(*) AS n, {', '.join(R(f'avg({c})', c) for c in 'xyz')} FROM V GROUP BY vx, vy, vz", "L")
+def _barycenters(c):
+    return voxel.barycenters(c, SIZE)
+
+
+BEST_POINT = f"""{IN_VOXELS}, M AS (SELECT vx, vy, vz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM V GROUP BY ALL),
+  N AS (SELECT V.*, round((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz), 9) AS d2 FROM V JOIN M USING (vx, vy, vz)),
+  K AS (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY d2, pid) AS rn FROM N)
+  SELECT vx, vy, vz, pid, {XYZ} FROM K WHERE rn = 1"""
+
+
+@query("voxel_best_point", BEST_POINT, "L")
+def _best_point(c):
+    return voxel.subsample(c, SIZE, digits=9)
+
+
+@query("voxel_members", f"{IN_VOXELS} SELECT vx, vy, vz, pid, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY pid) AS rank FROM V", "L")
+def _members(c):
+    return voxel.member_rows(c, SIZE).select("vx", "vy", "vz", "pid", "rank")
+
+
+MEMBER_LISTS = "SELECT vx, vy, vz, CAST(count(*) AS INTEGER) AS n, min(pid) AS first, max(pid) AS last, sum(pid)::BIGINT AS total FROM V GROUP BY ALL"
+
+
+@query("voxel_member_lists", f"{IN_VOXELS} {MEMBER_LISTS}", "L")
+def _member_lists(c):
+    ids = F.col("points.pid")
+    total = F.aggregate(ids, F.lit(0).cast("long"), lambda a, b: a + b)
+    return voxel.members(c, SIZE).select("vx", "vy", "vz", F.size("points").alias("n"), ids[0].alias("first"), F.element_at(ids, -1).alias("last"), total.alias("total"))
+
+
+@query("voxel_color", f"{IN_CENTRED_VOXELS} SELECT vx, vy, vz, count(*) AS n, {', '.join(R(f'avg({c})', c) for c in 'rgb')} FROM V GROUP BY vx, vy, vz", "L")
+def _voxel_colors(c):
+    return voxel.voxel_colors(c, SIZE)
+
+
+@query("top_voxel", f"{IN_CENTRED_VOXELS}, {sql.TOP_OF_COLUMN} SELECT vx, vy, vz, {RGB} FROM T", "L")
+def _top_voxel(c):
+    return voxel.top_of_column(voxel.voxel_colors(c, SIZE))
+
+
+COVERAGE = f""", B AS (SELECT pid, x, y, z, CAST(CASE WHEN cls = 6 THEN 1 ELSE 0 END AS DOUBLE) AS r, 0.0 AS g, 0.0 AS b FROM L WHERE {BALL}),
+  {sql.voxels('B', SIZE, SIZE / 2)}, {sql.TOP_OF_COLUMN},
+  N AS (SELECT count(*) FILTER (NOT (r = 0 AND g = 0 AND b = 0)) AS built, count(*) FILTER (r = 0 AND g = 0 AND b = 0) AS rest FROM T)
+  SELECT built, rest, built * 36.0::DOUBLE AS built_area, rest * 36.0::DOUBLE AS rest_area, {R('built / nullif(built + rest, 0)', 'ratio')} FROM N"""
+
+
+@query("built_coverage", COVERAGE, "L")
+def _coverage(c):
+    near = select.within(c, POI, RADIUS).withColumns(X.red_black(F.col("cls")))
+    return voxel.coverage(voxel.top_of_column(voxel.voxel_colors(near, SIZE)), SIZE)
+
+
+# --- polygons and meshes
+
+AREA = R("abs(sum(t)) / 2", "area")
+
+
+@query("polygon_area_unsorted", f", P AS (SELECT pid AS o, x, y FROM E WHERE pid < 12), {sql.SHOELACE} SELECT {AREA} FROM S", "E")
+def _area(c):
+    return polygon.area(c.where("pid < 12")).select("area")
+
+
+@query("polygon_area_sorted", f", {sql.SORTED_RING}, {sql.SHOELACE} SELECT {AREA} FROM S", "E")
+def _sorted_area(c):
+    return polygon.area(polygon.sorted_ring(c.where("pid < 12"), digits=12), "ord").select("area")
+
+
+@query("export_corners", f", {sql.SORTED_RING} SELECT CAST(o AS INTEGER) - 1 AS ord, printf('%1.9f;%1.9f', x, y) AS line FROM P", "E")
+def _corners(c):
+    return sources.corner_lines(c.where("pid < 12"), digits=12)
+
+
+@query("export_corners_unsorted", ", P AS (SELECT row_number() OVER (ORDER BY pid) AS o, x, y FROM E WHERE pid < 12) SELECT CAST(o AS INTEGER) - 1 AS ord, printf('%1.9f;%1.9f', x, y) AS line FROM P", "E")
+def _corners_unsorted(c):
+    return sources.corner_lines(c.where("pid < 12"), in_order=False)
+
+
+@query("ring_centroid", f"SELECT {R('avg(x)', 'x')}, {R('avg(y)', 'y')} FROM E WHERE pid < 12", "E")
+def _centroid(c):
+    return polygon.centroid(c.where("pid < 12"))
 
 
 @query("mesh_center", f"SELECT {R('avg(p_size)', 'x')}, {R('avg(p_retailprice)', 'y')}, {R('avg(p_partkey % 18)', 'z')} FROM part")
 def _mesh_center(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("vid"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 18).cast("double").alias("z"))
-    return rounded(normals.mesh_center(part))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    x, y, z = F.col("p_size").cast("double"), F.col("p_retailprice"), (F.col("p_partkey") % 18).cast("double")
+    return rounded(normals.mesh_center(part.select(F.col("p_partkey").alias("vid"), x.alias("x"), y.alias("y"), z.alias("z"))))
 
 
-TETRA = [(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, 0.0, 1.0, 0.0), (4, 0.0, 0.0, 1.0)]
+TETRA = [(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, 0.0, 1.0, 0.0), (4, 0.0, 0.0, 2.0)]
 FACES = [(1, 3, 2), (1, 2, 4), (1, 4, 3), (2, 3, 4)]
 
 
-@query("mesh_vertex_normals", f"""WITH v(vid, x, y, z) AS (VALUES {', '.join(map(str, TETRA))}), f(v1, v2, v3) AS (VALUES {', '.join(map(str, FACES))}),
-  n AS (SELECT v1, v2, v3, (q.y-p.y)*(s.z-p.z)-(q.z-p.z)*(s.y-p.y) AS a, (q.z-p.z)*(s.x-p.x)-(q.x-p.x)*(s.z-p.z) AS b, (q.x-p.x)*(s.y-p.y)-(q.y-p.y)*(s.x-p.x) AS c
-        FROM f JOIN v p ON p.vid = v1 JOIN v q ON q.vid = v2 JOIN v s ON s.vid = v3),
-  u AS (SELECT unnest([v1, v2, v3]) AS vid, a, b, c FROM n), t AS (SELECT vid, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(c)::DOUBLE AS c FROM u GROUP BY vid)
-  SELECT CAST(vid AS BIGINT) AS vid, {R('a / sqrt(a*a+b*b+c*c)', 'nx')}, {R('b / sqrt(a*a+b*b+c*c)', 'ny')}, {R('c / sqrt(a*a+b*b+c*c)', 'nz')} FROM t""")
+def vertex_normals_sql(weight: str) -> str:
+    """weight: what a face's normal is divided by."""
+    return f"""WITH v(vid, x, y, z) AS (VALUES {', '.join(map(str, TETRA))}), f(v1, v2, v3) AS (VALUES {', '.join(map(str, FACES))}),
+  n AS (SELECT v1, v2, v3, (q.y-p.y)*(s.z-p.z)-(q.z-p.z)*(s.y-p.y) AS a, (q.z-p.z)*(s.x-p.x)-(q.x-p.x)*(s.z-p.z) AS b,
+      (q.x-p.x)*(s.y-p.y)-(q.y-p.y)*(s.x-p.x) AS c
+    FROM f JOIN v p ON p.vid = v1 JOIN v q ON q.vid = v2 JOIN v s ON s.vid = v3),
+  u AS (SELECT unnest([v1, v2, v3]) AS vid, a / {weight} AS a, b / {weight} AS b, c / {weight} AS c FROM n),
+  t AS (SELECT vid, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(c)::DOUBLE AS c FROM u GROUP BY vid)
+  SELECT CAST(vid AS BIGINT) AS vid, {', '.join(R(f'{k} / sqrt(a*a+b*b+c*c)', n) for k, n in zip('abc', ('nx', 'ny', 'nz'), strict=True))} FROM t"""
+
+
+def _tetra(spark):
+    return spark.createDataFrame(TETRA, "vid long, x double, y double, z double"), spark.createDataFrame(FACES, "v1 long, v2 long, v3 long")
+
+
+@query("mesh_vertex_normals", vertex_normals_sql("1"))
 def _vertex_normals(spark, sf_dir):
-    vertices = spark.createDataFrame(TETRA, "vid long, x double, y double, z double")
-    return rounded(normals.vertex_normals(vertices, spark.createDataFrame(FACES, "v1 long, v2 long, v3 long")))
+    return rounded(normals.vertex_normals(*_tetra(spark)))
 
 
-# planes
-T, ITERATIONS = 0.05, 200
-query("plane_distance", f"SELECT pid, {R('(0.5*x - 0.25*y + 1.0*z + 2.0) / sqrt(0.5*0.5 + 0.25*0.25 + 1.0)', 'distance')} FROM L", "L")(lambda c: c.select("pid", X.plane_distance(tuple(map(F.col, "xyz")), tuple(map(F.lit, (0.5, -0.25, 1.0, 2.0)))).alias("distance")))
+@query("mesh_vertex_normals_even", vertex_normals_sql("sqrt(a*a+b*b+c*c)"))
+def _vertex_normals_even(spark, sf_dir):
+    return rounded(normals.vertex_normals(*_tetra(spark), weighted=False))
 
 
-def hypotheses_sql(cloud: str, name: str) -> str:
-    return f"""{name}k AS (SELECT x, y, z, row_number() OVER (ORDER BY pid) - 1 AS rn FROM {cloud}), {name}n AS (SELECT count(*) AS n FROM {cloud}),
-  {name}d AS (SELECT i, (i*7919+13)%n AS s1, ((i*7919+13)%n + 1 + (i*104729+17)%(n-1))%n AS s2, (i*1299709+29)%n AS s3 FROM {name}n, range(1, {ITERATIONS + 1}) t(i)),
-  {name}p AS (SELECT i, p.x AS px, p.y AS py, p.z AS pz, (q.y-p.y)*(s.z-p.z)-(q.z-p.z)*(s.y-p.y) AS nx, (q.z-p.z)*(s.x-p.x)-(q.x-p.x)*(s.z-p.z) AS ny, (q.x-p.x)*(s.y-p.y)-(q.y-p.y)*(s.x-p.x) AS nz
-    FROM {name}d JOIN {name}k p ON p.rn = s1 JOIN {name}k q ON q.rn = s2 JOIN {name}k s ON s.rn = s3 WHERE s3 <> s1 AND s3 <> s2),
-  {name}u AS (SELECT i AS it, px, py, pz, nx/sqrt(nx*nx+ny*ny+nz*nz) AS a, ny/sqrt(nx*nx+ny*ny+nz*nz) AS b, nz/sqrt(nx*nx+ny*ny+nz*nz) AS c FROM {name}p WHERE sqrt(nx*nx+ny*ny+nz*nz) > 0),
-  {name} AS (SELECT it, a, b, c, -(a*px+b*py+c*pz) AS d FROM {name}u)"""
+@query("sphere_mesh", f"{sql.SPHERE} SELECT CAST(vid AS BIGINT) AS vid, {XYZ} FROM v")
+def _sphere(spark, sf_dir):
+    return rounded(generate.sphere_mesh(spark)[0])
 
 
-DIST = "round((a*x+b*y+c*z+d)/sqrt(a*a+b*b+c*c), 9)"
+@query("sphere_mesh_center", f"{sql.SPHERE} SELECT {R('avg(x)', 'x')}, {R('avg(y)', 'y')}, {R('avg(z)', 'z')} FROM v")
+def _sphere_center(spark, sf_dir):
+    return rounded(normals.mesh_center(generate.sphere_mesh(spark)[0]))
 
 
-def best_sql(cloud: str, planes: str, name: str) -> str:
-    return f"{name} AS (SELECT it, a, b, c, d, count(*) AS n FROM (SELECT x, y, z FROM {cloud}), {planes} WHERE abs({DIST}) <= {T} GROUP BY ALL ORDER BY n DESC, it LIMIT 1)"
+@query("generate_shapes")
+def _shapes(spark, sf_dir):
+    return rounded(generate.shapes(spark, 10000, 8, 7))
 
 
-ABCD_R = ", ".join(R(c) for c in "abcd")
-query("ransac_hypotheses", f", {hypotheses_sql('E', 'H')}, S AS (SELECT it, a, b, c, d, count(*) FILTER (abs({DIST}) <= {T}) AS n FROM E, H GROUP BY ALL) SELECT it, {ABCD_R}, n FROM S", "E")(lambda c: plane.score(c, plane.hypotheses(c, ITERATIONS), T))
-query("ransac_plane", f", {hypotheses_sql('L', 'H')}, {best_sql('L', 'H', 'B')} SELECT it, {ABCD_R}, n FROM B", "L")(lambda c: plane.ransac_plane(c, T, ITERATIONS))
-query("ransac_segment", f", {hypotheses_sql('E', 'H')}, {best_sql('E', 'H', 'B')} SELECT pid, abs({DIST}) <= {T} AS is_inlier FROM E, B", "E")(lambda c: plane.segment(c, T, ITERATIONS).select("pid", "is_inlier"))
+# --- planes
 
+PLANE_DISTANCE = "(0.5*x - 0.25*y + 1.0*z + 2.0) / sqrt(0.5*0.5 + 0.25*0.25 + 1.0)"
+E_HYPOTHESES, L_HYPOTHESES = sql.hypotheses("E", "H", ITERATIONS), sql.hypotheses("L", "H", ITERATIONS)
 
-def multi_plane_sql(planes: int = 3) -> str:
-    parts, cloud = [], "E"
-    for i in range(planes):
-        parts += [hypotheses_sql(cloud, f"H{i}"), best_sql(cloud, f"H{i}", f"B{i}"), f"I{i} AS (SELECT {cloud}.*, abs({DIST}) <= {T} AS near FROM {cloud}, B{i})", f"F{i} AS (SELECT pid, x, y, z FROM I{i} WHERE NOT near)"]
-        cloud = f"F{i}"
-    rows = [f"SELECT pid, CAST({i} AS INTEGER) AS segment FROM I{i} WHERE near" for i in range(planes)] + [f"SELECT pid, CAST(-1 AS INTEGER) AS segment FROM {cloud}"]
-    return ", " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
 
+@query("plane_distance", f"SELECT pid, {R(PLANE_DISTANCE, 'distance')} FROM L", "L")
+def _plane_distance(c):
+    return c.select("pid", X.plane_distance(xyz(), tuple(map(F.lit, (0.5, -0.25, 1.0, 2.0)))).alias("distance"))
 
-query("multi_plane", multi_plane_sql(), "E")(lambda c: plane.multi_plane(c, 3, T, ITERATIONS)[1].select("pid", "segment"))
-query("refined_planes", None, "E")(lambda c: plane.refined_planes(c, 2, T, ITERATIONS, 0.1, 5).select("pid", "segment"))
-# neighbours
-D2 = "(p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)"
-NEAR = f"N AS (SELECT p.pid AS a, q.pid AS b, {D2} AS d2, CAST(row_number() OVER (PARTITION BY p.pid ORDER BY {D2}, q.pid) AS INTEGER) AS rank FROM E p JOIN E q ON p.pid <> q.pid)"
-query("knn", f", {NEAR} SELECT a, b, rank, {R('sqrt(d2)', 'distance')} FROM N WHERE rank <= 7", "E")(lambda c: neighbors.knn(c, 8).select("a", "b", "rank", F.sqrt("d2").alias("distance")))
-query("mean_spacing", f", {NEAR} SELECT {R('avg(sqrt(d2))', 'spacing')} FROM N WHERE rank <= 7", "E")(lambda c: neighbors.mean_spacing(c, 8))
-HYBRID = f"HY AS (SELECT p.pid AS a, q.pid AS b, {D2} AS d2, CAST(row_number() OVER (PARTITION BY p.pid ORDER BY {D2}, q.pid) AS INTEGER) AS rank FROM E p JOIN E q ON {D2} <= 0.1*0.1)"
-query("hybrid_neighbors", f", {HYBRID} SELECT a, b, rank FROM HY WHERE rank <= 16", "E")(lambda c: neighbors.hybrid(c, 0.1, 16).select("a", "b", "rank"))
-query("eps_pairs", f"SELECT p.pid AS a, q.pid AS b FROM E p JOIN E q ON {D2} <= 0.05*0.05", "E")(lambda c: neighbors.radius_pairs(c, c, 0.05).select("a", "b"))
-# clusters
-EPS, LEAST = 0.05, 5
 
+SCORES = f"S AS (SELECT it, a, b, c, d, count(*) FILTER (abs({sql.DISTANCE}) <= {T}) AS n FROM E, H GROUP BY ALL)"
 
-def dbscan_sql(cloud: str, name: str, eps: float = EPS, least: int = LEAST) -> str:
-    return f"""{name}e AS (SELECT p.pid AS a, q.pid AS b FROM {cloud} p JOIN {cloud} q ON {D2} <= {eps}*{eps}), {name}c AS (SELECT a AS pid FROM {name}e GROUP BY a HAVING count(*) >= {least}),
-  {name}k AS (SELECT a, b FROM {name}e WHERE a IN (SELECT pid FROM {name}c) AND b IN (SELECT pid FROM {name}c)),
-  {name}r(pid, low) AS (SELECT pid, pid FROM {name}c UNION SELECT k.b, r.low FROM {name}r r JOIN {name}k k ON k.a = r.pid),
-  {name}l AS (SELECT pid, min(low) AS label FROM {name}r GROUP BY pid),
-  {name} AS (SELECT t.pid, coalesce((SELECT label FROM {name}l l WHERE l.pid = t.pid), (SELECT min(label) FROM {name}e e JOIN {name}l l ON l.pid = e.b WHERE e.a = t.pid), -1) AS label FROM {cloud} t)"""
 
+@query("ransac_hypotheses", f", {E_HYPOTHESES}, {SCORES} SELECT it, {sql.ABCD}, n FROM S", "E")
+def _hypotheses(c):
+    return plane.score(c, plane.hypotheses(c, ITERATIONS), T)
 
-DB = ", " + dbscan_sql("E", "D")
-query("dbscan_labels", f"{DB} SELECT pid, label FROM D", "E")(lambda c: cluster.dbscan(c, EPS, LEAST))
-query("cluster_sizes", f"{DB} SELECT label, count(*) AS n FROM D GROUP BY label", "E")(lambda c: cluster.cluster_sizes(cluster.dbscan(c, EPS, LEAST)))
-query("largest_cluster", f"{DB} SELECT label, count(*) AS n FROM D GROUP BY label ORDER BY n DESC, label LIMIT 1", "E")(lambda c: cluster.largest_cluster(cluster.dbscan(c, EPS, LEAST)))
-query("cluster_count", f"{DB} SELECT count(DISTINCT label) AS clusters FROM D WHERE label >= 0", "E")(lambda c: cluster.cluster_count(cluster.dbscan(c, EPS, LEAST)))
-query("label_split", f"{DB} SELECT pid, label >= 0 AS kept FROM D", "E")(lambda c: cluster.dbscan(c, EPS, LEAST).select("pid", (F.col("label") >= 0).alias("kept")))
 
+@query("ransac_plane", f", {L_HYPOTHESES}, {sql.best('L', 'H', 'B', T)} SELECT it, {sql.ABCD}, n FROM B", "L")
+def _ransac(c):
+    return plane.ransac_plane(c, T, ITERATIONS)
 
-def color_sql(index: str) -> str:
-    return ", ".join(f"CAST(CASE WHEN {index} < 0 THEN 0 ELSE ([{', '.join(str(c[i]) for c in X.PALETTE)}])[CAST({index} % 10 + 1 AS BIGINT)] END AS DOUBLE) AS {n}" for i, n in enumerate("rgb"))
 
+@query("ransac_segment", f", {E_HYPOTHESES}, {sql.best('E', 'H', 'B', T)} SELECT pid, abs({sql.DISTANCE}) <= {T} AS is_inlier FROM E, B", "E")
+def _segment(c):
+    return plane.segment(c, T, ITERATIONS).select("pid", "is_inlier")
 
-@query("label_palette", f"{DB}, M AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS nth FROM (SELECT DISTINCT label FROM D WHERE label >= 0)), G AS (SELECT D.pid, coalesce(nth, -1) AS lab FROM D LEFT JOIN M USING (label)), X AS (SELECT pid, CASE WHEN lab < 0 THEN -1 ELSE least(CAST(floor(lab / (CASE WHEN top > 0 THEN top ELSE 1 END)::DOUBLE * 10) AS BIGINT), 9) END AS i FROM G, (SELECT max(lab) AS top FROM G)) SELECT pid, {color_sql('i')} FROM X", "E")
-def _label_palette(c):
-    labels = cluster.dbscan(c, EPS, LEAST, dense=True)
+
+AUTO = f"{sql.neighbours('NB', own=False)}, TH AS MATERIALIZED (SELECT avg(sqrt(d2)) AS t FROM NB WHERE rank <= 7)"
+
+
+@query("ransac_auto", f", {AUTO}, {E_HYPOTHESES}, {sql.best('E', 'H', 'B', '(SELECT t FROM TH)')} SELECT it, {sql.ABCD}, n FROM B", "E")
+def _auto(c):
+    return plane.ransac_plane(c, "auto", ITERATIONS)
+
+
+@query("multi_plane", f", {sql.multi_plane(PLANES, T, ITERATIONS)} SELECT pid, segment FROM Y", "E")
+def _multi_plane(c):
+    return plane.multi_plane(c, PLANES, T, ITERATIONS)[1].select("pid", "segment")
+
+
+@query("plane_palette", f", {sql.multi_plane(PLANES, T, ITERATIONS)} SELECT pid, {sql.palette('segment', X.TAB20)} FROM Y", "E")
+def _plane_palette(c):
+    found = plane.multi_plane(c, PLANES, T, ITERATIONS)[1]
+    return found.select("pid", *columns(X.palette_color(F.col("segment"), X.TAB20)))
+
+
+@query("refined_planes", sql.refined_planes(REFINED, T, ITERATIONS, 0.1, LEAST), "E")
+def _refined(c):
+    return plane.refined_planes(c, REFINED, T, ITERATIONS, 0.1, LEAST).select("pid", "segment")
+
+
+# --- neighbours
+
+NEAR = f", {sql.neighbours('NB', own=False)}"
+HYBRID = sql.neighbours("HY", f"{sql.D2} <= 0.1*0.1")
+
+
+@query("knn", f"{NEAR} SELECT a, b, rank, {R('sqrt(d2)', 'distance')} FROM NB WHERE rank <= 7", "E")
+def _knn(c):
+    return neighbors.knn(c, 8).select("a", "b", "rank", F.sqrt("d2").alias("distance"))
+
+
+@query("mean_spacing", f"{NEAR} SELECT {R('avg(sqrt(d2))', 'spacing')} FROM NB WHERE rank <= 7", "E")
+def _spacing(c):
+    return neighbors.mean_spacing(c, 8)
+
+
+@query("hybrid_neighbors", f", {HYBRID} SELECT a, b, rank FROM HY WHERE rank <= 16", "E")
+def _hybrid(c):
+    return neighbors.hybrid(c, 0.1, 16).select("a", "b", "rank")
+
+
+@query("eps_pairs", f"SELECT p.pid AS a, q.pid AS b FROM E p JOIN E q ON {sql.D2} <= 0.05*0.05", "E")
+def _eps_pairs(c):
+    return neighbors.radius_pairs(c, c, 0.05).select("a", "b")
+
+
+@query("normals_hybrid", f", {HYBRID}, {sql.normals('HY', 16)}", "E", digits=5)
+def _normals(c):
+    return normals.point_normals(c, 0.1, 16)
+
+
+@query("normals_default", f", {sql.neighbours('NN')}, {sql.normals('NN', 30)}", "E", digits=5)
+def _default_normals(c):
+    return normals.point_normals(c)
+
+
+# --- clusters
+
+DB = ", " + sql.dbscan("E", "D", EPS, LEAST)
+
+
+@query("dbscan_labels", f"{DB} SELECT pid, label FROM D", "E")
+def _dbscan(c):
+    return cluster.dbscan(c, EPS, LEAST)
+
+
+@query("cluster_sizes", f"{DB} SELECT label, count(*) AS n FROM D GROUP BY label", "E")
+def _sizes(c):
+    return cluster.cluster_sizes(cluster.dbscan(c, EPS, LEAST))
+
+
+@query("largest_cluster", f"{DB} SELECT label, count(*) AS n FROM D GROUP BY label ORDER BY n DESC, label LIMIT 1", "E")
+def _largest(c):
+    return cluster.largest_cluster(cluster.dbscan(c, EPS, LEAST))
+
+
+@query("cluster_count", f"{DB} SELECT count(DISTINCT label) AS clusters FROM D WHERE label >= 0", "E")
+def _cluster_count(c):
+    return cluster.cluster_count(cluster.dbscan(c, EPS, LEAST))
+
+
+@query("label_split", f"{DB} SELECT pid, label >= 0 AS kept FROM D", "E")
+def _label_split(c):
+    return cluster.dbscan(c, EPS, LEAST).select("pid", (F.col("label") >= 0).alias("kept"))
+
+
+def painted(labels: DataFrame, colors: tuple) -> DataFrame:
     top = F.broadcast(labels.agg(F.max("label").alias("top")))
-    return labels.crossJoin(top).select("pid", *[e.alias(n) for n, e in X.label_color(F.col("label"), F.col("top")).items()])
-
-
-query("plane_palette", multi_plane_sql().replace(" SELECT pid, CAST(0", ", Y AS (SELECT pid, CAST(0", 1) + f") SELECT pid, {color_sql('segment')} FROM Y", "E")(lambda c: plane.multi_plane(c, 3, T, ITERATIONS)[1].select("pid", *[e.alias(n) for n, e in X.palette_color(F.col("segment")).items()]))
-RESIDUAL = multi_plane_sql(1).split(" SELECT pid, CAST(0")[0] + ", " + dbscan_sql("F0", "D")
-query("residual_clusters", f"{RESIDUAL} SELECT pid, label FROM D", "E")(lambda c: cluster.dbscan(plane.multi_plane(c, 1, T, ITERATIONS)[1].where("segment < 0"), EPS, LEAST))
-query("wcss_k1", f"SELECT {R('var_pop(x)*count(*) + var_pop(y)*count(*) + var_pop(z)*count(*)', 'wcss')} FROM E", "E")(lambda c: cluster.total_squares(c, ["x", "y", "z"]))
-
-
-def lloyd_sql(rounds: int = 3) -> str:
-    parts = ["C0 AS (SELECT pid AS label, x, y, z FROM E WHERE pid < 3)"]
-    for i in range(rounds + 1):
-        parts.append(f"A{i} AS (SELECT p.pid, p.x, p.y, p.z, arg_min(q.label, (round({D2}, 12), q.label)) AS label FROM E p, C{i} q GROUP BY p.pid, p.x, p.y, p.z)")
-        parts.append(f"C{i + 1} AS (SELECT c.label, coalesce(avg(a.x), any_value(c.x)) AS x, coalesce(avg(a.y), any_value(c.y)) AS y, coalesce(avg(a.z), any_value(c.z)) AS z FROM C{i} c LEFT JOIN A{i} a USING (label) GROUP BY c.label)")
-    return ", " + ", ".join(parts) + f" SELECT pid, label FROM A{rounds}"
-
-
-query("kmeans_fixed_init", lloyd_sql(), "E")(lambda c: cluster.lloyd(c, ["x", "y", "z"], c.where("pid < 3").select(F.col("pid").alias("label"), "x", "y", "z"), 3))
-query("kmeans_ml", None, "E")(lambda c: cluster.kmeans(c, ["x", "y"], 2)[0])
-query("elbow", None, "E")(lambda c: cluster.elbow(c, ["x", "y", "z"], 19))
-COV = ", ".join(f"covar_pop({p}, {q}) AS {p}{q}" for p, q in ("xx", "xy", "xz", "yy", "yz", "zz"))
-CROSS = ", ".join(f"{{s: pow({a}, 2) + pow({b}, 2) + pow({c}, 2), x: {a}, y: {b}, z: {c}}} AS n{i}" for i, (a, b, c) in enumerate((("xy*yz - xz*(yy-low)", "xz*xy - (xx-low)*yz", "(xx-low)*(yy-low) - xy*xy"), ("xy*(zz-low) - xz*yz", "xz*xz - (xx-low)*(zz-low)", "(xx-low)*yz - xy*xz"), ("(yy-low)*(zz-low) - yz*yz", "yz*xz - xy*(zz-low)", "xy*yz - (yy-low)*xz"))))
-NORMALS = f""", {HYBRID}, W AS (SELECT a, x, y, z FROM HY JOIN E ON E.pid = HY.b WHERE rank <= 16), CV AS (SELECT a AS pid, count(*) AS m, {COV} FROM W GROUP BY a),
-  C1 AS (SELECT *, (xx+yy+zz)/3 AS mean FROM CV), C2 AS (SELECT *, sqrt((pow(xx-mean,2)+pow(yy-mean,2)+pow(zz-mean,2)+2*(pow(xy,2)+pow(xz,2)+pow(yz,2)))/6) AS p FROM C1),
-  C3 AS (SELECT *, CASE WHEN p = 0 THEN NULL ELSE (((xx-mean)/p)*(((yy-mean)/p)*((zz-mean)/p)-(yz/p)*(yz/p)) - (xy/p)*((xy/p)*((zz-mean)/p)-(yz/p)*(xz/p)) + (xz/p)*((xy/p)*(yz/p)-((yy-mean)/p)*(xz/p)))/2 END AS h FROM C2),
-  C4 AS (SELECT *, mean + 2*p*cos(acos(greatest(-1.0, least(1.0, h)))/3 + 2*pi()/3) AS low FROM C3), C5 AS (SELECT pid, m, {CROSS} FROM C4),
-  C6 AS (SELECT pid, m, CASE WHEN n0.s >= n1.s AND n0.s >= n2.s THEN n0 WHEN n1.s >= n2.s THEN n1 ELSE n2 END AS v FROM C5),
-  C7 AS (SELECT pid, m, v.s AS s, round(v.x/sqrt(v.s), 9) AS nx, round(v.y/sqrt(v.s), 9) AS ny, round(v.z/sqrt(v.s), 9) AS nz FROM C6 WHERE m >= 3 AND v.s > 0),
-  C8 AS (SELECT pid, nx, ny, nz, CASE WHEN nz <> 0 THEN sign(nz) WHEN ny <> 0 THEN sign(ny) ELSE sign(nx) END AS g FROM C7)
-  SELECT E.pid, {R('nx * g', 'nx', 5)}, {R('ny * g', 'ny', 5)}, {R('nz * g', 'nz', 5)} FROM E LEFT JOIN C8 USING (pid)"""
-query("normals_hybrid", NORMALS, "E")(lambda c: rounded(normals.point_normals(c, 0.1, 16), 5))
-query("generate_shapes")(lambda spark, sf_dir: rounded(generate.shapes(spark, 10000, 8, 7)))
-query("sphere_mesh_center", "SELECT CAST(1522 - 762 - 760 + 0 AS DOUBLE) AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z")(lambda spark, sf_dir: rounded(normals.mesh_center(generate.sphere_mesh(spark)[0])))
+    return labels.crossJoin(top).select("pid", *columns(X.label_color(F.col("label"), F.col("top"), colors)))
+
+
+@query("label_palette", DB + sql.label_palette("D", X.TAB20), "E")
+def _label_palette(c):
+    return painted(cluster.dbscan(c, EPS, LEAST, dense=True), X.TAB20)
+
+
+RESIDUAL = f", {sql.multi_plane(1, T, ITERATIONS, rows=False)}, {sql.dbscan('F0', 'D', EPS, LEAST)}"
+
+
+def _residual(c):
+    return plane.multi_plane(c, 1, T, ITERATIONS)[1].where("segment < 0")
+
+
+@query("residual_clusters", f"{RESIDUAL} SELECT pid, label FROM D", "E")
+def _residual_clusters(c):
+    return cluster.dbscan(_residual(c), EPS, LEAST)
+
+
+@query("residual_palette", RESIDUAL + sql.label_palette("D", X.PALETTE), "E")
+def _residual_palette(c):
+    return painted(cluster.dbscan(_residual(c), EPS, LEAST, dense=True), X.PALETTE)
+
+
+@query("wcss_k1", f"SELECT {R('var_pop(x)*count(*) + var_pop(y)*count(*) + var_pop(z)*count(*)', 'wcss')} FROM E", "E")
+def _wcss(c):
+    return cluster.total_squares(c, ["x", "y", "z"])
+
+
+def _first_three(c, names: str):
+    return c.where("pid < 3").select(F.col("pid").alias("label"), *names)
+
+
+@query("kmeans_fixed_init", f"{sql.lloyd('E', 'xyz', 3)} SELECT pid, label FROM A3", "E")
+def _lloyd(c):
+    return cluster.lloyd(c, list("xyz"), _first_three(c, "xyz"), 3, 9).select("pid", "label")
+
+
+@query("wcss_k3", f"{sql.lloyd('E', 'xyz', 3)} SELECT {R('sum(d2)', 'wcss', 5)} FROM A3", "E", digits=5)
+def _wcss_of_three(c):
+    return cluster.inertia(cluster.lloyd(c, list("xyz"), _first_three(c, "xyz"), 3, 9))
+
+
+@query("kmeans_six_features", f"{sql.lloyd('L', 'xyzrgb', 2)} SELECT pid, label FROM A2", "L")
+def _six_features(c):
+    return cluster.lloyd(c, list("xyzrgb"), _first_three(c, "xyzrgb"), 2, 9).select("pid", "label")
+
+
+@query("kmeans_six_ml", None, "L")
+def _six_ml(c):
+    return cluster.kmeans(c, list("xyzrgb"), 3, seed=0)[0]
+
+
+@query("kmeans_ml", None, "E")
+def _kmeans(c):
+    return cluster.kmeans(c, ["x", "y"], 2)[0]
+
+
+@query("elbow", None, "E")
+def _elbow(c):
+    return cluster.elbow(c, ["x", "y", "z"], 19)

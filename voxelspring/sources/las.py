@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from voxelspring.sources.files import local_path
+
 SCHEMA = "pid long, x double, y double, z double, red int, green int, blue int, intensity int, classification int"
 #: Offset of the colours in a record of each point format; formats without colours give nulls.
 COLOR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 RECORDS = 1_000_000
+HEADER = 375
 
 
-def header(path: str) -> dict:
-    with open(path, "rb") as f:
-        head = f.read(375)
+def header(head: bytes, path: str) -> dict:
+    """What the first HEADER bytes of a file tell."""
     if head[:4] != b"LASF":
         raise ValueError(f"{path} is no LAS file")
     minor = head[25]
@@ -26,7 +28,28 @@ def header(path: str) -> dict:
         (count,) = struct.unpack_from("<Q", head, 247)
     if fmt & 0x80:
         raise ValueError(f"{path} is compressed")
-    return {"offset": offset, "format": fmt & 0x3F, "size": size, "count": count, "scale": struct.unpack_from("<3d", head, 131), "shift": struct.unpack_from("<3d", head, 155)}
+    scale, shift = struct.unpack_from("<3d", head, 131), struct.unpack_from("<3d", head, 155)
+    return {"offset": offset, "format": fmt & 0x3F, "size": size, "count": count, "scale": scale, "shift": shift}
+
+
+def local_header(path: str) -> dict:
+    with open(path, "rb") as f:
+        return header(f.read(HEADER), path)
+
+
+def points(data: bytes, head: dict, first: int) -> pa.RecordBatch:
+    """The records in data, the first of which has the number `first`."""
+    fmt, kinds = head["format"], [("xyz", ("<i4", 3), 0), ("intensity", "<u2", 12), ("cls", "u1", 16 if head["format"] >= 6 else 15)]
+    if fmt in COLOR_AT:
+        kinds.append(("rgb", ("<u2", 3), COLOR_AT[fmt]))
+    names, formats, offsets = zip(*kinds, strict=True)
+    rec = np.frombuffer(data, np.dtype({"names": names, "formats": formats, "offsets": offsets, "itemsize": head["size"]}))
+    xyz = rec["xyz"] * np.array(head["scale"]) + np.array(head["shift"])
+    rgb = [pa.array(rec["rgb"][:, i].astype(np.int32)) for i in range(3)] if fmt in COLOR_AT else [pa.nulls(len(rec), pa.int32())] * 3
+    cls = rec["cls"] if fmt >= 6 else rec["cls"] & 31
+    columns = [pa.array(np.arange(first, first + len(rec))), *(pa.array(xyz[:, i]) for i in range(3)), *rgb]
+    columns += [pa.array(rec["intensity"].astype(np.int32)), pa.array(cls.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class Range(InputPartition):
@@ -37,26 +60,17 @@ class Range(InputPartition):
 
 class LasReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.head = options["path"].removeprefix("file://"), None
+        self.path = options["path"]
 
     def partitions(self):
-        n = header(self.path)["count"]
+        n = local_header(self.path)["count"]
         return [Range(a, min(RECORDS, n - a)) for a in range(0, n, RECORDS)] or [Range(0, 0)]
 
     def read(self, part):
-        head = header(self.path)
-        fmt, size = head["format"], head["size"]
-        fields = {"names": ["xyz", "intensity"], "formats": [("<i4", 3), "<u2"], "offsets": [0, 12], "itemsize": size}
-        fields["names"].append("cls"), fields["formats"].append("u1"), fields["offsets"].append(16 if fmt >= 6 else 15)
-        if fmt in COLOR_AT:
-            fields["names"].append("rgb"), fields["formats"].append(("<u2", 3)), fields["offsets"].append(COLOR_AT[fmt])
+        head = local_header(self.path)
         with open(self.path, "rb") as f:
-            f.seek(head["offset"] + part.first * size)
-            rec = np.frombuffer(f.read(part.count * size), np.dtype(fields))
-        xyz = rec["xyz"] * np.array(head["scale"]) + np.array(head["shift"])
-        rgb = [pa.array(rec["rgb"][:, i].astype(np.int32)) for i in range(3)] if fmt in COLOR_AT else [pa.nulls(len(rec), pa.int32())] * 3
-        cls = rec["cls"] if fmt >= 6 else rec["cls"] & 31
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.first + len(rec))), *(pa.array(xyz[:, i]) for i in range(3)), *rgb, pa.array(rec["intensity"].astype(np.int32)), pa.array(cls.astype(np.int32))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            f.seek(head["offset"] + part.first * head["size"])
+            yield points(f.read(part.count * head["size"]), head, part.first)
 
 
 class LasSource(DataSource):
@@ -72,6 +86,19 @@ class LasSource(DataSource):
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Scaled coordinates and 16-bit colours; the path is one every executor can open."""
-    spark.dataSource.register(LasSource)
-    return spark.read.format("las_points").option("path", path).load()
+    """Scaled coordinates and 16-bit colours of one file. A path that open() takes on every executor is read
+    by ranges of records; any other by Spark's reader of binary files, in one task and up to 2 GB."""
+    own = local_path(path)
+    if own is not None:
+        spark.dataSource.register(LasSource)
+        return spark.read.format("las_points").option("path", own).load()
+
+    def decoded(batches):
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                head = header(data[:HEADER], path)
+                for a in range(0, head["count"], RECORDS):
+                    begin = head["offset"] + a * head["size"]
+                    yield points(data[begin : begin + min(RECORDS, head["count"] - a) * head["size"]], head, a)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decoded, SCHEMA)

@@ -2,37 +2,65 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-KINDS = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
+from voxelspring.cloud import with_pid
+from voxelspring.sources.files import first_bytes, local_path, ordered_lines, write_blocks
+
+#: Kinds of properties and their numpy types. Fixed values.
+KINDS = {
+    "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2",
+    "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8",
+}
 RECORDS = 1_000_000
+#: Bytes in which a header ends.
+HEADER = 65_536
 
 
-def header(path: str) -> dict:
-    """Format, number of vertices, their properties and where the body begins."""
-    out: dict = {"properties": [], "count": 0}
+def header(data: bytes, path: str) -> dict:
+    """Format, number of vertices, their properties, where the body begins, and the header's lines."""
+    if data.split(b"\n", 1)[0].strip() != b"ply":
+        raise ValueError(f"{path} is no PLY file")
+    end = data.index(b"\n", data.index(b"end_header")) + 1
+    lines = data[:end].decode("ascii").splitlines()
+    out: dict = {"properties": [], "count": 0, "body": end, "lines": len(lines)}
     element = None
-    with open(path, "rb") as f:
-        if f.readline().strip() != b"ply":
-            raise ValueError(f"{path} is no PLY file")
-        while (line := f.readline()) and (word := line.decode("ascii").split())[:1] != ["end_header"]:
-            if word[:1] == ["format"]:
-                out["format"] = word[1]
-            elif word[:1] == ["element"]:
-                if element is None and word[1] != "vertex":
-                    raise ValueError("vertices come first")
-                element = word[1]
-                if element == "vertex":
-                    out["count"] = int(word[2])
-            elif word[:1] == ["property"] and element == "vertex":
-                out["properties"].append((word[2], KINDS[word[1]]))
-        out["body"] = f.tell()
+    for word in map(str.split, lines):
+        if word[:1] == ["format"]:
+            out["format"] = word[1]
+        elif word[:1] == ["element"]:
+            if element is None and word[1] != "vertex":
+                raise ValueError("vertices come first")
+            element = word[1]
+            out["count"] = int(word[2]) if element == "vertex" else out["count"]
+        elif word[:1] == ["property"] and element == "vertex":
+            out["properties"].append((word[2], KINDS[word[1]]))
     return out
 
 
+def local_header(path: str) -> dict:
+    with open(path, "rb") as f:
+        return header(f.read(HEADER), path)
+
+
+def schema_of(head: dict) -> str:
+    return ", ".join(["pid long", *(f"`{n}` double" for n, _ in head["properties"])])
+
+
+def points(data: bytes, head: dict, first: int) -> pa.RecordBatch:
+    rec = np.frombuffer(data, np.dtype(head["properties"]))
+    columns = [pa.array(np.arange(first, first + len(rec))), *(pa.array(rec[n].astype(np.float64)) for n in rec.dtype.names)]
+    return pa.RecordBatch.from_arrays(columns, names=["pid", *rec.dtype.names])
+
+
 class Range(InputPartition):
     def __init__(self, first: int, count: int):
         super().__init__((first, count))
@@ -41,25 +69,18 @@ class Range(InputPartition):
 
 class PlyReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
 
     def partitions(self):
-        head = header(self.path)
-        step = RECORDS if head["format"] != "ascii" else max(1, head["count"])
-        return [Range(a, min(step, head["count"] - a)) for a in range(0, head["count"], step)] or [Range(0, 0)]
+        n = local_header(self.path)["count"]
+        return [Range(a, min(RECORDS, n - a)) for a in range(0, n, RECORDS)] or [Range(0, 0)]
 
     def read(self, part):
-        head = header(self.path)
-        kind = np.dtype(head["properties"])
+        head = local_header(self.path)
+        size = np.dtype(head["properties"]).itemsize
         with open(self.path, "rb") as f:
-            if head["format"] == "ascii":
-                f.seek(head["body"])
-                rows = [tuple(float(v) for v in f.readline().split()[: len(kind)]) for _ in range(part.count)]
-                rec = np.array(rows, dtype=[(n, "<f8") for n in kind.names])
-            else:
-                f.seek(head["body"] + part.first * kind.itemsize)
-                rec = np.frombuffer(f.read(part.count * kind.itemsize), kind)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.first + len(rec))), *(pa.array(rec[n].astype(np.float64)) for n in kind.names)], names=["pid", *kind.names])
+            f.seek(head["body"] + part.first * size)
+            yield points(f.read(part.count * size), head, part.first)
 
 
 class PlySource(DataSource):
@@ -68,40 +89,98 @@ class PlySource(DataSource):
         return "ply_points"
 
     def schema(self):
-        return ", ".join(["pid long", *(f"`{n}` double" for n, _ in header(self.options["path"].removeprefix("file://"))["properties"])])
+        return schema_of(local_header(self.options["path"]))
 
     def reader(self, schema):
         return PlyReader(self.options)
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """pid and every vertex property as double; the path is one every executor can open."""
-    spark.dataSource.register(PlySource)
-    return spark.read.format("ply_points").option("path", path).load()
+    """pid and every vertex property as double, from one file. ASCII bodies are read by lines, in parts. Of
+    binary ones, a path that open() takes on every executor is read by ranges of records; any other by
+    Spark's reader of binary files, in one task and up to 2 GB."""
+    own, head = local_path(path), header(first_bytes(spark, path, HEADER), path)
+    if head["format"] == "ascii":
+        lines = with_pid(ordered_lines(spark, path), "split", "at", name="line")
+        nth, parts = F.col("line") - head["lines"], F.split(F.trim("value"), r"\s+")
+        return lines.where((nth >= 0) & (nth < head["count"])).select(nth.alias("pid"), *[parts[i].cast("double").alias(n) for i, (n, _) in enumerate(head["properties"])])
+    if own is not None:
+        spark.dataSource.register(PlySource)
+        return spark.read.format("ply_points").option("path", own).load()
+    size = np.dtype(head["properties"]).itemsize
+
+    def decoded(batches):
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                for a in range(0, head["count"], RECORDS):
+                    begin = head["body"] + a * size
+                    yield points(data[begin : begin + min(RECORDS, head["count"] - a) * size], head, a)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decoded, schema_of(head))
+
+
+def _colored(df: DataFrame) -> bool:
+    return all(c in df.columns for c in "rgb")
+
+
+def _coordinates(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("double") for c in [*"xyz", *("rgb" if _colored(df) else "")]])
+
+
+def file_head(count: int, color: bool) -> bytes:
+    names = [f"property double {c}" for c in "xyz"] + ["property uchar " + c for c in ("red", "green", "blue")] * color
+    return "\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {count}", *names, "end_header", ""]).encode("ascii")
+
+
+def records(batch: pa.RecordBatch, color: bool) -> bytes:
+    rec = np.zeros(len(batch), np.dtype([(c, "<f8") for c in "xyz"] + [(c, "u1") for c in ("red", "green", "blue")] * color))
+    for c in "xyz":
+        rec[c] = batch.column(c).to_numpy(zero_copy_only=False)
+    for c, name in zip("rgb", ("red", "green", "blue"), strict=True):
+        if color:
+            rec[name] = np.clip(np.floor(batch.column(c).to_numpy(zero_copy_only=False) * 255 + 0.5), 0, 255)
+    return rec.tobytes()
 
 
 def write_ply(df: DataFrame, path: str) -> int:
-    """Binary little-endian PLY of x, y, z (double) and, where there are any, colours (uchar). Executors
-    pack the records; the driver streams one block after the other into the file."""
-    color = all(c in df.columns for c in "rgb")
-    kind = np.dtype([(c, "<f8") for c in "xyz"] + [(c, "u1") for c in ("red", "green", "blue")] * color)
+    """One binary little-endian PLY file of x, y, z (double) and, where there are any, colours (uchar), at
+    any path that Hadoop can write. Executors pack the records in the order of pid; as it is one file,
+    the driver writes one block after the other. For large clouds: write_ply_parts."""
+    color = _colored(df)
 
     def pack(batches):
         for batch in batches:
-            rec = np.zeros(len(batch), kind)
-            for c in "xyz":
-                rec[c] = batch.column(c).to_numpy(zero_copy_only=False)
-            for c, name in zip("rgb", ("red", "green", "blue"), strict=True):
-                if color:
-                    rec[name] = np.clip(np.floor(batch.column(c).to_numpy(zero_copy_only=False) * 255 + 0.5), 0, 255)
-            yield pa.RecordBatch.from_arrays([pa.array([rec.tobytes()], pa.binary())], names=["block"])
-
-    columns = [*"xyz", *("rgb" if color else "")]
+            yield pa.RecordBatch.from_arrays([pa.array([records(batch, color)], pa.binary())], names=["block"])
+
     n = df.count()
-    names = [f"property double {c}" for c in "xyz"] + ["property uchar " + c for c in ("red", "green", "blue")] * color
-    ordered = df.orderBy("pid") if "pid" in df.columns else df
-    with open(path, "wb") as f:
-        f.write("\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {n}", *names, "end_header", ""]).encode("ascii"))
-        for row in ordered.select(*[df[c].cast("double") for c in columns]).mapInArrow(pack, "block binary").toLocalIterator():
-            f.write(row["block"])
+    ordered = _coordinates(df.orderBy("pid") if "pid" in df.columns else df).mapInArrow(pack, "block binary")
+    blocks = (r["block"] for r in ordered.toLocalIterator())
+    write_blocks(df.sparkSession, path, (b for part in ([file_head(n, color)], blocks) for b in part))
     return n
+
+
+def write_ply_parts(df: DataFrame, folder: str) -> DataFrame:
+    """(file, points): a whole PLY file for each partition, written by the executors into a folder that
+    open() takes on all of them. A file gets its name once it is whole, so a repeated task replaces it."""
+    color, own = _colored(df), local_path(folder)
+    if own is None:
+        raise ValueError("executors write parts with open(); give a folder that they share")
+
+    def write(batches):
+        name = f"part-{TaskContext.get().partitionId():05d}.ply"
+        os.makedirs(own, exist_ok=True)
+        body, count, draft = f"{own}/.{name}-{uuid.uuid4().hex}", 0, f"{own}/.{name}-{uuid.uuid4().hex}"
+        with open(body, "wb") as f:
+            for batch in batches:
+                f.write(records(batch, color))
+                count += len(batch)
+        with open(draft, "wb") as f, open(body, "rb") as g:
+            f.write(file_head(count, color))
+            while block := g.read(1 << 24):
+                f.write(block)
+        os.replace(draft, f"{own}/{name}")
+        os.remove(body)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count])], names=["file", "points"])
+
+    written = _coordinates(df).mapInArrow(write, "file string, points long").collect()  # a row for each partition
+    return df.sparkSession.createDataFrame(written, "file string, points long")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelspring.cloud import with_pid
 from voxelspring.functions import rescaled
+from voxelspring.operators import polygon
+from voxelspring.sources.files import ordered_lines
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str | None = None, sep: str = ";") -> DataFrame:
@@ -16,10 +19,10 @@ def read_delimited(spark: SparkSession, path: str, schema: str | None = None, se
 
 def read_whitespace(spark: SparkSession, path: str, columns: list[str], skip: int = 1) -> DataFrame:
     """Columns of numbers between white space, as doubles; the first `skip` lines of each file go."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    lines = ordered_lines(spark, path)
     if skip:
-        heads = lines.groupBy("_file").agg(F.slice(F.array_sort(F.min_by(F.array("_at"), "_at")), 1, 1)[0].alias("_head"))
-        lines = lines.join(F.broadcast(heads), "_file").where(F.col("_at") >= F.col("_head") + skip)
+        heads = lines.where("split = 0").groupBy("file").agg(F.min("at").alias("head"))
+        lines = lines.join(F.broadcast(heads), "file").where((F.col("split") > 0) | (F.col("at") >= F.col("head") + skip))
     parts = F.split(F.trim("value"), r"\s+")
     return lines.where(F.trim("value") != "").select(*[parts[i].cast("double").alias(c) for i, c in enumerate(columns)])
 
@@ -31,18 +34,24 @@ def table_to_cloud(df: DataFrame, xyz=("X", "Y", "Z"), rgb=("R", "G", "B"), dept
 
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of a triangle mesh, numbered from 1 in the order of the file; of a face's
-    references the vertex counts, and faces with more corners become fans."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    parts = F.split(F.trim("line"), r"\s+")
-    of = lambda kind: lines.where(F.col("line").startswith(kind + " "))
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.orderBy("at"))
-    vertices = of("v").select(nth.cast("long").alias("vid"), *[parts[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")])
-    corners = F.transform(F.slice(parts, 2, 1000), lambda t: F.split(t, "/")[0].cast("long"))
-    fans = of("f").select("at", corners.alias("c")).select("at", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("i"))
-    return vertices, fans.select((F.row_number().over(Window.orderBy("at", "i"))).cast("long").alias("fid"), F.col("c")[0].alias("v1"), F.element_at("c", F.col("i") + 1).alias("v2"), F.element_at("c", F.col("i") + 2).alias("v3"))
+    """(vertices, faces) of a mesh in one file, numbered from 1 in its order; of a face's references the
+    vertex counts, negative ones count back from the last vertex before the face, and faces with more
+    than three corners become fans. The file is read in parts and numbered by ranges."""
+    parts = F.split(F.trim("value"), r"\s+")
+    kept = ordered_lines(spark, path).select("split", "at", parts.alias("parts")).where(parts[0].isin("v", "f"))
+    kept = with_pid(kept, "split", "at", name="line").select("line", "parts")
+    vertices = with_pid(kept.where("parts[0] = 'v'"), "line", name="nth")
+    faces = with_pid(kept.where("parts[0] = 'f' AND size(parts) > 3"), "line", name="nth")
+    # a face's own vertices are those before it: all lines before it but faces
+    all_faces = with_pid(kept.where("parts[0] = 'f'").select("line"), "line", name="earlier")
+    faces = faces.join(all_faces, "line").withColumn("before", F.col("line") - F.col("earlier"))
+    refs = F.transform(F.slice("parts", 2, F.size("parts") - 1), lambda t: F.split(t, "/")[0].cast("long"))
+    faces = faces.withColumn("refs", refs).withColumn("c", F.expr("transform(refs, r -> if(r < 0, before + r + 1, r))"))
+    fans = faces.select("nth", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("i"))
+    fans = with_pid(fans, "nth", "i", name="place")
+    corners = [F.col("c")[0].alias("v1"), F.element_at("c", F.col("i") + 1).alias("v2"), F.element_at("c", F.col("i") + 2).alias("v3")]
+    points = [F.col("parts")[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")]
+    return vertices.select((F.col("nth") + 1).alias("vid"), *points), fans.select((F.col("place") + 1).alias("fid"), *corners)
 
 
 def write_text(df: DataFrame, path: str, digits: int | None = 4, sep: str = ";", integers: tuple[str, ...] = ()) -> None:
@@ -52,4 +61,23 @@ def write_text(df: DataFrame, path: str, digits: int | None = 4, sep: str = ";",
 
 
 def text_columns(df: DataFrame, digits: int | None = 4, integers: tuple[str, ...] = ()):
-    return [F.col(c).cast("string").alias(c) if digits is None or c in integers else F.format_string(f"%1.{digits}f", F.col(c).cast("double")).alias(c) for c in df.columns]
+    def written(c: str):
+        return F.col(c).cast("string") if digits is None or c in integers else F.format_string(f"%1.{digits}f", F.col(c).cast("double"))
+
+    return [written(c).alias(c) for c in df.columns]
+
+
+def corner_lines(ring: DataFrame, in_order: bool = True, digits: int | None = None) -> DataFrame:
+    """(ord, line): the corners of one ring as text of x and y with nine decimals, in angular order or, as
+    they were picked, by pid."""
+    if in_order:
+        ring = polygon.sorted_ring(ring, digits=digits)
+    else:
+        ring = with_pid(ring, "pid", name="ord").withColumn("ord", F.col("ord").cast("int"))
+    x, y = text_columns(ring.select("x", "y"), 9)
+    return ring.select("ord", F.concat_ws(";", x, y).alias("line"))
+
+
+def write_corners(ring: DataFrame, path: str, in_order: bool = True) -> None:
+    """The corners in their order, as one text file in a folder: a ring's corners are few."""
+    corner_lines(ring, in_order).coalesce(1).sortWithinPartitions("ord").select("line").write.mode("overwrite").text(path)

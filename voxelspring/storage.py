@@ -9,16 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, else a folder of our own (local runs)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='voxelspring-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again, which cuts the lineage of iterative operators."""
-    path = f"{shared_dir(df.sparkSession)}/cloud-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and read again: it cuts the lineage, and it outlives a
+    lost executor."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() wrote, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/table-" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
