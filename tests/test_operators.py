@@ -150,7 +150,8 @@ def test_dbscan_with_crowded_cells(spark):
 
 
 @pytest.mark.parametrize("kind", ["outlier", "flat", "equal", "dense and sparse"])
-def test_knn_of_uneven_clouds(spark, kind):
+def test_knn_of_uneven_clouds(spark, kind, monkeypatch):
+    monkeypatch.setattr(neighbors, "SMALL", 0)
     rng = random.Random(4)
     rows = {
         "outlier": [(rng.random(), rng.random(), rng.random()) for _ in range(150)] + [(5e5, -4e5, 1.0)],

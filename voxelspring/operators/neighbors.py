@@ -11,6 +11,8 @@ from voxelspring.storage import stored
 CELL = ("i", "j", "k")
 #: Open places that are broadcast with their cells; more are joined by a shuffle.
 FEW = 10_000
+#: Places of a cloud so small that one round over wide cells is cheaper than a search for their width.
+SMALL = 2_500
 
 
 def with_cell(df: DataFrame, size: float, names: tuple[str, ...] = CELL) -> DataFrame:
@@ -71,7 +73,12 @@ def nearest(df: DataFrame, k: int, radius: float | None = None) -> DataFrame:
     span, volume = max(spans, default=0.0), 1.0
     for s in spans:
         volume *= s
-    size = _start_size(places, k, span, box["n"], volume, len(spans)) if spans else 1.0
+    if not spans:
+        size = 1.0
+    elif box["n"] <= SMALL:
+        size = span
+    else:
+        size = _start_size(places, k, span, box["n"], volume, len(spans))
     size = size if radius is None else min(size, radius)
     rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
     found, left, n_left = None, places, box["n"]
