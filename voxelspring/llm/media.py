@@ -233,3 +233,17 @@ def store_texts(docs: DataFrame, form: str = "pgm", tile: tuple[int, int] = TILE
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents"))
+
+
+def payload_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the stored texts that SQL can express: sizes and the digest of what is read back."""
+    return query(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOAD_ORACLE = r"""
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+padded AS (
+  SELECT doc_id, octet_length(bytes) AS n, CASE WHEN octet_length(bytes) = 0 THEN 64 ELSE (64 - octet_length(bytes) % 64) % 64 END AS more, bytes FROM raw
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n + more AS BIGINT) AS payload_bytes, sha256(bytes || repeat('\x00'::BLOB, more)) AS payload_sha256 FROM padded
+"""

@@ -15,7 +15,12 @@ QUERIES = {
     "op8_chat_tool_linking": chat.query,
     "op9_substring_dedup": substrings.query,
     "op10_bpe_codec": bpe.query,
+    # what SQL can express of op4 and op6
+    "media_payloads": media.payload_query,
+    "url_rules": urls.rules_query,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_topk": neighbours.ORACLE,
+    "media_payloads": media.PAYLOAD_ORACLE,
+    "url_rules": urls.RULES_ORACLE,
 }
