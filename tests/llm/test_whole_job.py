@@ -67,6 +67,38 @@ def test_near_copies_of_four_fifths_go(spark):
     assert sorted(kept) == list(range(0, 400, 2))
 
 
+def test_unresolved_buckets_link_all_that_share_one(spark):
+    """A chain of small buckets is compared bucket by bucket, buckets that overlap almost wholly as one
+    cloud; either way the links join all similar documents that share a bucket."""
+    rng = np.random.default_rng(71)
+    texts = []
+    for _ in range(30):
+        own = fresh(rng, 200)
+        texts += [" ".join(own), " ".join([*own[:100], "other", *own[101:]]), " ".join([*own[:50], "third", *own[51:]])]
+    sets = {i: neardup.shingle_set(t) for i, t in enumerate(texts)}
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "rep long, shingles binary")
+    chain = {k: list(range(2 * k, min(2 * k + 4, 90))) for k in range(44)}
+    heap = {k: [i for i in range(90) if i != k] for k in range(20)}
+    similar = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))
+
+    def joined(pairs):
+        root = list(range(90))
+        find = lambda x: x if root[x] == x else find(root[x])
+        for i, j in pairs:
+            p, q = sorted((find(i), find(j)))
+            root[q] = p
+        return [find(i) for i in range(90)]
+
+    for buckets, by_bucket in ((chain, True), (heap, False)):
+        still = spark.createDataFrame([(k, i, i) for k, members in buckets.items() for i in members], "key long, doc long, label long")
+        parts = neardup.parts_of(still, neardup.cloud_of(still)).select("part").distinct().count()
+        assert parts == (44 if by_bucket else 1)
+        links = [(r["a"], r["b"]) for r in neardup.clouds(still, frame, 85, block=32).collect()]
+        together = {tuple(sorted((i, j))) for members in buckets.values() for i in members for j in members if i != j}
+        assert all(similar(i, j) for i, j in links)
+        assert joined(links) == joined([p for p in together if similar(*p)])
+
+
 def test_least_agreeing_minhashes():
     assert neardup.least_agreeing(256, 85) <= 187 and neardup.least_agreeing(48, 80) < 0.8 * 48
 

@@ -12,10 +12,12 @@ Rows with the same set are one row until the end. A table's bucket isn't expande
 * the members of a bucket are tested against one of them, the same in every bucket of the group
   (the member with the smallest hash);
 * buckets that then lie in one component are done. The documents of the others form clouds, joined
-  by common buckets. In a cloud, every document outside its largest component meets every one of
-  the cloud, block by block: a longer signature in a matrix comparison first, full sets for what
-  it leaves, and a union-find that skips what is joined by then. A block hands on the links that
-  join something, at most one for each of its documents, so no pairs are spread out as rows.
+  by common buckets. A cloud is compared as a whole or bucket by bucket (equal buckets once),
+  whichever takes fewer comparisons. In such a part, every document outside its largest component
+  meets every one of the part, block by block: longer signatures in a matrix comparison first, then
+  the full sets of the documents that it leaves, with a union-find that skips what is joined by
+  then. A block hands on the links that join something, at most one for each of its documents, so
+  no pairs are spread out as rows.
 
 Defined results: a null or empty text, or one of white space alone, has an empty set and is linked
 with nothing; a repeated row gets the same result again, and rows that share a doc_id but not their
@@ -30,6 +32,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ SEED = 0x5DEECE66D
 #: Keys in a shard of the tables, about.
 SHARD_KEYS = 1_000_000
 #: Documents in a block of a cloud.
-BLOCK = 512
+BLOCK = 256
 #: Minhashes in a block's comparison.
 LONG = 256
 #: The share of similar pairs that may fail to agree in enough minhashes to be compared in full.
@@ -188,15 +191,26 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, agree: int, pe
     return full.select("a", "b", "xa", "xb").mapInArrow(similar, "a long, b long")
 
 
+def long_seeds() -> np.ndarray:
+    return mix64(np.arange(1, LONG + 1, dtype=np.uint64) * np.uint64(SEED) ^ np.uint64(0xA5A5))
+
+
+def possible_pairs(sx: np.ndarray, sy: np.ndarray, nx: np.ndarray, ny: np.ndarray, differ: np.ndarray, agree: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of `differ` have sizes and signatures that allow a link, and in how many minhashes
+    each pair agrees."""
+    same = np.stack([(row == sy).sum(axis=1) for row in sx])
+    low, high = np.minimum(nx[:, None], ny[None]), np.maximum(nx[:, None], ny[None])
+    return differ & (low * 100 >= high * percent) & (same >= agree), same
+
+
 def similar_pairs(x: list[np.ndarray], y: list[np.ndarray], differ: np.ndarray, agree: float, percent: int, joined) -> list[tuple[int, int]]:
     """(i, j) of similar sets x[i], y[j] that join something: joined(i, j) says whether they are
     joined already and joined(i, j, True) joins them. differ: which pairs are to be looked at."""
-    seeds = mix64(np.arange(1, LONG + 1, dtype=np.uint64) * np.uint64(SEED) ^ np.uint64(0xA5A5))
+    seeds = long_seeds()
     sx, sy = (np.stack([signature(s, seeds) for s in sets]).astype(np.uint16) for sets in (x, y))
     nx, ny = (np.array([len(s) for s in sets], dtype=np.int64) for sets in (x, y))
-    same = np.stack([(row == sy).sum(axis=1) for row in sx])
-    low, high = np.minimum(nx[:, None], ny[None]), np.maximum(nx[:, None], ny[None])
-    i, j = np.nonzero(differ & (low * 100 >= high * percent) & (same >= agree))
+    possible, same = possible_pairs(sx, sy, nx, ny, differ, agree, percent)
+    i, j = np.nonzero(possible)
     out = []
     for at in np.argsort(-same[i, j], kind="stable"):
         a, b = int(i[at]), int(j[at])
@@ -211,8 +225,21 @@ def similar_pairs(x: list[np.ndarray], y: list[np.ndarray], differ: np.ndarray,
     return out
 
 
-def clouds(still: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between documents of unresolved buckets. still: (key, doc, label)."""
+def long_signatures(sets: DataFrame) -> DataFrame:
+    """rep, n_shingles and LONG minhashes (two bytes each) of each full set."""
+
+    def run(batches):
+        seeds = long_seeds()
+        for batch in batches:
+            own = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
+            sigs = [signature(s, seeds).astype(np.uint16).tobytes() for s in own]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([len(s) for s in own], pa.int64()), pa.array(sigs, pa.binary())], names=["rep", "n_shingles", "long"])
+
+    return sets.select("rep", "shingles").mapInArrow(run, "rep long, n_shingles long, long binary")
+
+
+def cloud_of(still: DataFrame) -> DataFrame:
+    """(doc, label, cloud): documents that common buckets join, directly or through others, have one cloud."""
     first = still.groupBy("key").agg(F.min("doc").alias("a"))
     star = stored(still.join(first, "key").groupBy("a", F.col("doc").alias("b")).agg(F.first("label").alias("label")))
     # one edge for each document first, to the smallest of its buckets' first ones; what that leaves
@@ -222,20 +249,74 @@ def clouds(still: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
     a, b = (rough.select(F.col("doc").alias(c), F.col("tree").alias(f"t{c}")) for c in "ab")
     across = components(star.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
     own = stored(rough.join(across.select(F.col("node").alias("tree"), F.col("label").alias("whole")), "tree", "left").select("doc", "label", F.coalesce("whole", "tree").alias("cloud")))
-    sizes = own.groupBy("cloud", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cloud").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    every = stored(own.join(sizes, "cloud").join(sets.select(F.col("rep").alias("doc"), "shingles"), "doc"))
+    drop_stored(star, rough)
+    return own
+
+
+def parts_of(still: DataFrame, own: DataFrame) -> DataFrame:
+    """(cloud, part, doc, label, n, top, main): what is compared with one another. A cloud is one part
+    (number 0), or each of its different buckets is one (numbered by key), whichever makes fewer
+    comparisons. n: documents of the part, top: those of its largest component, main."""
+    content = still.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("h"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("i"))
+    different = content.groupBy("n", "h", "i").agg(F.min("key").alias("key")).select("key")
+    buckets = still.join(different, "key", "left_semi").join(own.select("doc", "cloud"), "doc")
+    both = stored(
+        own.select("cloud", F.lit(0).cast("long").alias("part"), F.lit(True).alias("whole"), "doc", "label").union(buckets.select("cloud", F.col("key").alias("part"), F.lit(False).alias("whole"), "doc", "label"))
+    )
+    unit = ["cloud", "whole", "part"]
+    sizes = both.groupBy(*unit, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*unit).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    pairs = F.col("n").cast("double") * (F.col("n") - F.col("top"))
+    cost = sizes.groupBy("cloud").agg(F.sum(F.when(F.col("whole"), pairs)).alias("one"), F.sum(F.when(~F.col("whole"), pairs)).alias("many"))
+    wanted = sizes.join(cost.select("cloud", (F.col("one") <= F.col("many")).alias("whole")), ["cloud", "whole"])
+    out = stored(both.join(wanted, unit).select("cloud", "part", "doc", "label", "n", "top", "main"))
+    drop_stored(both)
+    return out
+
+
+def clouds(still: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between documents of unresolved buckets. still: (key, doc, label).
+
+    Blocks of a part meet as tiles, twice: long signatures tell which documents of a tile have a possible
+    partner in it, and only those documents' full sets go to the tile."""
+    own = cloud_of(still)
+    parts = parts_of(still, own)
+    long = stored(long_signatures(sets.join(own.select(F.col("doc").alias("rep")), "rep", "left_semi")))
+    every = parts.join(long.withColumnRenamed("rep", "doc"), "doc")
     a_blocks, b_blocks = (F.ceil(c / block).cast("int") for c in (F.col("n") - F.col("top"), F.col("n")))
     turn = F.xxhash64("doc")
+    tile = ["cloud", "part", "p", "q"]
 
-    def dealt(df, own_blocks, other_blocks, own_name, other_name):
-        df = df.withColumn(own_name, F.pmod(turn, own_blocks).cast("int"))
-        return df.withColumn(other_name, F.explode(F.sequence(F.lit(0), other_blocks - 1))).select("cloud", "p", "q", "doc", "label", "shingles")
+    def copies(others, place):
+        return F.transform(F.sequence(F.lit(0), others - 1), place)
 
-    left = dealt(every.where("label <> main"), a_blocks, b_blocks, "p", "q")
-    right = dealt(every.where("n > top"), b_blocks, a_blocks, "q", "p")
+    as_left = copies(b_blocks, lambda q: F.struct(F.pmod(turn, a_blocks).cast("int").alias("p"), q.alias("q"), F.lit(True).alias("is_left")))
+    as_right = copies(a_blocks, lambda p: F.struct(p.alias("p"), F.pmod(turn, b_blocks).cast("int").alias("q"), F.lit(False).alias("is_left")))
+    places = F.when(F.col("label") != F.col("main"), F.concat(as_left, as_right)).otherwise(as_right)
+    dealt = every.where("n > top").withColumn("at", F.explode(places)).select("cloud", "part", "at.*", "doc", "label", "n_shingles", "long")
     agree = least_agreeing(LONG, percent)
 
-    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+    def sides(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+        return t.filter(t.column("is_left")), t.filter(pc.invert(t.column("is_left")))
+
+    def meet(t: pa.Table) -> pa.Table:
+        rows = []
+        a, b = sides(t)
+        if len(a) and len(b):
+            (sx, sy) = (np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint16).reshape(len(t), -1) for t in (a, b))
+            (da, la, na), (db, lb, nb) = ([t.column(c).to_numpy() for c in ("doc", "label", "n_shingles")] for t in (a, b))
+            possible = possible_pairs(sx, sy, na, nb, la[:, None] != lb[None], agree, percent)[0]
+            at = a.column("cloud")[0].as_py(), a.column("part")[0].as_py(), a.column("p")[0].as_py(), a.column("q")[0].as_py()
+            for is_left, docs, labels, axis in ((True, da, la, 1), (False, db, lb, 0)):
+                found = dict(zip(docs[possible.any(axis=axis)].tolist(), labels[possible.any(axis=axis)].tolist(), strict=True))
+                rows += [(*at, is_left, d, l) for d, l in found.items()]
+        names = [*tile, "is_left", "doc", "label"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    near = stored(dealt.groupBy(*tile).applyInArrow(meet, "cloud long, part long, p int, q int, is_left boolean, doc long, label long"))
+
+    def confirm(t: pa.Table) -> pa.Table:
+        a, b = sides(t)
         if not len(a) or not len(b):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         x, y = ([np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()] for t in (a, b))
@@ -257,7 +338,10 @@ def clouds(still: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
         found = similar_pairs(x, y, la[:, None] != lb[None], agree, percent, joined)
         return pa.table({"a": pa.array([int(da[i]) for i, _ in found], pa.int64()), "b": pa.array([int(db[j]) for _, j in found], pa.int64())})
 
-    return left.groupBy("cloud", "p", "q").cogroup(right.groupBy("cloud", "p", "q")).applyInArrow(tile, "a long, b long")
+    full = near.join(sets.select(F.col("rep").alias("doc"), "shingles"), "doc")
+    links = stored(full.select(*tile, "is_left", "doc", "label", "shingles").groupBy(*tile).applyInArrow(confirm, "a long, b long"))
+    drop_stored(own, parts, long, near)
+    return links
 
 
 def link(members: DataFrame, sigs: DataFrame, sets: DataFrame, agree: int, percent: int) -> DataFrame:
@@ -269,8 +353,12 @@ def link(members: DataFrame, sigs: DataFrame, sets: DataFrame, agree: int, perce
     at = members.join(labels, members.doc == labels.node, "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
     open_keys = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     still = stored(at.join(open_keys, "key", "left_semi"))
-    more = stored(clouds(still, sets, percent))
-    return components(links.union(more)) if more.limit(1).count() else labels
+    more = clouds(still, sets, percent)
+    if more.limit(1).count():
+        drop_stored(labels)
+        labels = components(links.union(more))
+    drop_stored(links, still, more)
+    return labels
 
 
 def cluster(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH, agree: int | None = None) -> DataFrame:
@@ -295,6 +383,7 @@ def cluster(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, groups
         sets = sets.groupBy("rep", F.sha2("shingles", 256)).agg(F.first("shingles").alias("shingles")).select("rep", "shingles")
     sets = stored(sets)
     labels = link(members, unique.select("rep", "sig", "n_shingles"), sets, agree, percent)
+    drop_stored(members, sets)
     by_set = unique.join(labels, unique.rep == labels.node, "left").select("set_key", F.coalesce("label", "rep").alias("found"))
     component = F.coalesce("found", "doc_id")
     out = made.join(by_set, "set_key", "left")
