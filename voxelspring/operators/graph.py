@@ -2,16 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspring.storage import drop_stored, stored
 
+#: Edges that a task contracts at once.
+TOGETHER = 1_000_000
+
+
+def _contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges but the smallest of each component, and that smallest node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least, after = np.minimum(label[left], label[right]), label.copy()
+        for end in (left, right, label[left], label[right]):
+            np.minimum.at(after, end, least)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    own = nodes[label] != nodes
+    return nodes[own], nodes[label][own]
+
+
+def _forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components, at most one a node in each partition: a combine where the
+    edges lie. A task holds the nodes of its partition."""
+
+    def contract(batches):
+        a = b = np.zeros(0, np.int64)
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in "ab"])
+            n += batch.num_rows
+            if n >= max(TOGETHER, len(a)):
+                a, b = _contracted(*(np.concatenate([have, *more]) for have, *more in zip((a, b), *waiting)))
+                waiting, n = [], 0
+        a, b = _contracted(*(np.concatenate([have, *more]) for have, *more in zip((a, b), *waiting)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return edges.mapInArrow(contract, "a long, b long")
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for all nodes of edges (a, b); label: the smallest node reached. Each round takes
-    the smallest label among neighbours and then that label's label, so paths halve."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    """(node, label) for all nodes of edges (a, b) of whole numbers; label: the smallest node reached.
+    Edges are first cut to a forest where they lie, and again in partitions of even size. Each round
+    then takes the smallest label among neighbours and that label's label, so paths halve."""
+    own = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    forest = stored(_forest(_forest(own).hint("rebalance")))
+    both = forest.union(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
@@ -22,5 +66,5 @@ def components(edges: DataFrame) -> DataFrame:
         drop_stored(labels)
         labels = after.select("node", "label")
         if not moved:
-            drop_stored(both)
+            drop_stored(forest)
             return labels
