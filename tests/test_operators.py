@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxelspring import functions as X
 from voxelspring.cloud import with_pid
-from voxelspring.operators import cluster, generate, neighbors, normals, plane, polygon, select, voxel
+from voxelspring.operators import cluster, generate, graph, neighbors, normals, plane, polygon, select, voxel
 from voxelspring.streaming import point_stream, running_voxel_counts
 
 SCHEMA = "pid long, x double, y double, z double"
@@ -191,3 +192,30 @@ def test_inertia_and_elbow(spark):
     assert cluster.inertia(cluster.lloyd(pts, ["x", "y"], centers, 3)).first()["wcss"] == pytest.approx(4.0)
     found = {r["k"]: r["wcss"] for r in cluster.elbow(pts, ["x", "y"], 2).collect()}
     assert found == {1: pytest.approx(104.0), 2: pytest.approx(4.0)}
+
+
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(4)
+    for n, m, parts in ((1, 0, 1), (60, 40, 5), (400, 380, 7), (50, 900, 3)):
+        edges = [(int(a) * 3 - 90, int(b) * 3 - 90) for a, b in rng.integers(0, n, (m, 2))]
+        root = {}
+
+        def find(v, root=root):
+            while root.setdefault(v, v) != v:
+                v = root[v]
+            return v
+
+        for a, b in edges:
+            if a != b:
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        table = spark.createDataFrame([*edges, (None, 5), (9, None)], "a long, b long").repartition(parts)
+        found = {r["node"]: r["label"] for r in graph.components(table).collect()}
+        assert found == {v: find(v) for v in root}
+
+
+def test_ransac_draws_are_the_same_fetched_whole_and_by_rank(spark):
+    pts = cloud(spark, [(float(i % 7), float(i % 5), float(i * i % 11)) for i in range(60)]).where("pid % 3 > 0")
+    n, low, high = pts.count(), 1, 59
+    ranks = [0, 3, 17, n - 1]
+    assert plane.points_at(pts, n, low, high, ranks, n) == plane.points_at(pts, n, low, high, ranks, 0)

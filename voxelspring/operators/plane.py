@@ -29,8 +29,12 @@ def draws(n: int, iterations: int) -> np.ndarray:
     return np.column_stack([i, s1, s2, s3])[(s3 != s1) & (s3 != s2)]
 
 
-def points_at(df: DataFrame, n: int, low: int, high: int, ranks: list[int]) -> dict[int, tuple]:
-    """The points at some ranks of pid: by pid itself where it is dense, else by numbers given to all."""
+def points_at(df: DataFrame, n: int, low: int, high: int, ranks: list[int], most: int) -> dict[int, tuple]:
+    """The points at some ranks of pid: by pid itself where it is dense, else by numbers given to all; no
+    more than `most` points are fetched and sorted as they are."""
+    if n <= most:
+        rows = sorted(map(tuple, df.select("pid", "x", "y", "z").where("pid IS NOT NULL").collect()), key=lambda r: r[0])
+        return {r: rows[r][1:] for r in ranks}
     if high - low + 1 == n:
         ranked = df.select((F.col("pid") - low).alias("rn"), "x", "y", "z")
     else:
@@ -39,14 +43,14 @@ def points_at(df: DataFrame, n: int, low: int, high: int, ranks: list[int]) -> d
     return {r["rn"]: (r["x"], r["y"], r["z"]) for r in ranked.join(F.broadcast(wanted), "rn").collect()}
 
 
-def hypotheses(df: DataFrame, iterations: int = 1000) -> DataFrame:
-    """PLANES: unit planes through three points drawn by rank of pid; triples without area are left out.
-    At most three points for each iteration reach the driver."""
+def drawn_planes(df: DataFrame, iterations: int) -> list[tuple]:
+    """Rows of PLANES through three points drawn by rank of pid; triples without area are left out. At
+    most three points for each iteration reach the driver."""
     size = df.agg(F.count("pid").alias("n"), F.min("pid").alias("low"), F.max("pid").alias("high")).first()
     found = []
     if size["n"] >= 3:
         drawn = draws(size["n"], iterations)
-        at = points_at(df, *size, sorted({int(r) for r in drawn[:, 1:].reshape(-1)}))
+        at = points_at(df, *size, sorted({int(r) for r in drawn[:, 1:].reshape(-1)}), 3 * iterations)
         for it, *ranks in drawn.tolist():
             (px, py, pz), (qx, qy, qz), (sx, sy, sz) = (at[r] for r in ranks)
             nx = (qy - py) * (sz - pz) - (qz - pz) * (sy - py)
@@ -56,14 +60,18 @@ def hypotheses(df: DataFrame, iterations: int = 1000) -> DataFrame:
             if length > 0:
                 a, b, c = nx / length, ny / length, nz / length
                 found.append((it, a, b, c, -(a * px + b * py + c * pz)))
-    return df.sparkSession.createDataFrame(found, PLANES)
+    return found
 
 
-def score(df: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
-    """planes with n, the points within the threshold. The planes, of which there are as many as
-    iterations, go to the tasks; each counts its points in one pass and hands on one row."""
-    rows = [tuple(r) for r in planes.select("it", *PLANE).collect()]
-    own = np.array([r[1:] for r in rows], dtype=np.float64).reshape(-1, 4)
+def hypotheses(df: DataFrame, iterations: int = 1000) -> DataFrame:
+    """PLANES: the unit planes that RANSAC scores."""
+    return df.sparkSession.createDataFrame(drawn_planes(df, iterations), PLANES)
+
+
+def _counts(df: DataFrame, planes: list[tuple], threshold: float) -> DataFrame:
+    """(at, n): the points within the threshold by place in a list of planes. The planes, of which there
+    are as many as iterations, go to the tasks; each counts its points in one pass and hands on one row."""
+    own = np.array([r[1:] for r in planes], dtype=np.float64).reshape(-1, 4)
 
     def count(batches):
         total = np.zeros(len(own), np.int64)
@@ -75,7 +83,13 @@ def score(df: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["counts"])
 
     parts = df.select(*[F.col(c).cast("double") for c in "xyz"]).mapInArrow(count, "counts array<long>")
-    sums = parts.select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
+    return parts.select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def score(df: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
+    """planes with n, the points within the threshold."""
+    rows = [tuple(r) for r in planes.select("it", *PLANE).collect()]
+    sums = _counts(df, rows, threshold)
     listed = df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"at int, {PLANES}")
     return listed.join(F.broadcast(sums), "at", "left").select("it", *PLANE, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -101,15 +115,25 @@ def refitted(df: DataFrame, plane: tuple, threshold: float) -> tuple:
     return (*normal.tolist(), -float(normal @ np.array([r["x"], r["y"], r["z"]])))
 
 
+def best_plane(df: DataFrame, limit: float, iterations: int, refit: bool = False) -> tuple | None:
+    """A row of PLANES with n: the plane with the most inliers, of equal ones the earliest; with refit,
+    the least-squares plane of its inliers and their number. None for a degenerate cloud."""
+    planes = drawn_planes(df, iterations)
+    found = {r["at"]: r["n"] for r in _counts(df, planes, limit).collect()} if planes else {}
+    n, at = max(((n, -at) for at, n in found.items()), default=(0, 0))
+    if not n:
+        return None
+    best = planes[-at]
+    if not refit:
+        return (*best, n)
+    best = (best[0], *refitted(df, best[1:], limit))
+    return (*best, _counts(df, [best], limit).first()["n"])
+
+
 def ransac_plane(df: DataFrame, threshold: float | str = 0.05, iterations: int = 1000, refit: bool = False) -> DataFrame:
-    """(it, a, b, c, d, n): the plane with the most inliers, of equal ones the earliest; no row for a
-    degenerate cloud. With refit, the least-squares plane of its inliers and their number."""
-    limit = threshold_of(df, threshold)
-    best = score(df, hypotheses(df, iterations), limit).where("n > 0").orderBy(F.desc("n"), "it").limit(1)
-    if not refit or (row := best.first()) is None:
-        return best
-    plane = refitted(df, tuple(row[c] for c in PLANE), limit)
-    return score(df, df.sparkSession.createDataFrame([(row["it"], *plane)], PLANES), limit)
+    """(it, a, b, c, d, n): the best plane; no row for a degenerate cloud."""
+    best = best_plane(df, threshold_of(df, threshold), iterations, refit)
+    return df.sparkSession.createDataFrame([] if best is None else [best], f"{PLANES}, n long")
 
 
 def with_inliers(df: DataFrame, plane: tuple[float, float, float, float], threshold: float) -> DataFrame:
@@ -121,8 +145,8 @@ def with_inliers(df: DataFrame, plane: tuple[float, float, float, float], thresh
 def segment(df: DataFrame, threshold: float | str = 0.05, iterations: int = 1000, refit: bool = False) -> DataFrame:
     """df with is_inlier for its best plane; all false if there is none."""
     limit = threshold_of(df, threshold)
-    best = ransac_plane(df, limit, iterations, refit).first()
-    return df.withColumn("is_inlier", F.lit(False)) if best is None else with_inliers(df, tuple(best[c] for c in PLANE), limit)
+    best = best_plane(df, limit, iterations, refit)
+    return df.withColumn("is_inlier", F.lit(False)) if best is None else with_inliers(df, best[1:5], limit)
 
 
 def multi_plane(df: DataFrame, planes: int = 10, threshold: float = 0.01, iterations: int = 1000, refit: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -130,10 +154,10 @@ def multi_plane(df: DataFrame, planes: int = 10, threshold: float = 0.01, iterat
     `segment`, -1 for the rest. Each round's split is a stored table."""
     models, done, rest = [], None, df
     for i in range(planes):
-        best = ransac_plane(rest, threshold, iterations, refit).first()
+        best = best_plane(rest, threshold, iterations, refit)
         if best is None:
             break
-        models.append((i, *[float(best[c]) for c in PLANE], int(best["n"])))
+        models.append((i, *best[1:]))
         split = stored(with_inliers(rest, models[-1][1:5], threshold))
         own = split.where("is_inlier").drop("is_inlier").withColumn("segment", F.lit(i))
         done = own if done is None else done.unionByName(own)
@@ -158,10 +182,10 @@ def refined_planes(
     eps = 10 * threshold if eps is None else eps
     done, rest = None, df
     for i in range(planes):
-        best = ransac_plane(rest, threshold, iterations).first()
+        best = best_plane(rest, threshold, iterations)
         if best is None:
             break
-        split = stored(with_inliers(rest, tuple(best[c] for c in PLANE), threshold))
+        split = stored(with_inliers(rest, best[1:5], threshold))
         inliers = split.where("is_inlier").drop("is_inlier")
         labels = stored(dbscan(inliers, eps, min_points))
         sizes = labels.where("label >= 0") if exclude_noise else labels
