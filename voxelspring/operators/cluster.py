@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspring.cloud import XYZ, squared_distance
-from voxelspring.operators.graph import components
+from voxelspring.operators.graph import components, forest
 from voxelspring.operators.neighbors import CELL, around, radius_pairs, with_cell
 from voxelspring.storage import stored
 
@@ -81,7 +81,8 @@ def dbscan(df: DataFrame, eps: float = 0.05, min_points: int = 10, dense: bool =
     core = points.where("node IS NOT NULL").select("pid", "node").union(single.select("pid", F.col("pid").alias("node")))
     touching = stored(pairs.join(core.withColumnRenamed("pid", "b"), "b").groupBy("a", "node").agg(F.count(F.lit(1)).alias("n")))
     of_core = touching.join(single.withColumnRenamed("pid", "a"), "a", "left_semi").select("a", F.col("node").alias("b"))
-    labels = components(of_core.union(_linked_cells(points.where("node IS NOT NULL"), cells.where(F.col("n") >= min_points).drop("n"), eps)))
+    across = _linked_cells(points.where("node IS NOT NULL"), cells.where(F.col("n") >= min_points).drop("n"), eps)
+    labels = components(stored(forest(of_core.union(across))))
     label = F.coalesce("label", "node")
     joined = core.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("pid", label.alias("own"))
     near = touching.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").groupBy("a").agg(F.min(label).alias("next"))

@@ -49,13 +49,17 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(contract, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for all nodes of edges (a, b) of whole numbers; label: the smallest node reached.
-    Edges are first cut to a forest where they lie, and again in partitions of even size. Each round
-    then takes the smallest label among neighbours and that label's label, so paths halve."""
+def forest(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) of whole numbers with the same components: cut to a forest where they lie, and
+    again in partitions of even size."""
     own = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    forest = stored(_forest(_forest(own).hint("rebalance")))
-    both = forest.union(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return _forest(_forest(own).hint("rebalance"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for all nodes of edges (a, b); label: the smallest node reached. Each round takes
+    the smallest label among neighbours and then that label's label, so paths halve."""
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
@@ -66,5 +70,5 @@ def components(edges: DataFrame) -> DataFrame:
         drop_stored(labels)
         labels = after.select("node", "label")
         if not moved:
-            drop_stored(forest)
+            drop_stored(both)
             return labels
