@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxelspring.llm import bpe, chat, lm, media, neardup, neighbours, packing, substrings, toxicity, urls
+from voxelspring.llm import bpe, chat, lm, media, merkle, neardup, neighbours, packing, substrings, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,12 +15,14 @@ QUERIES = {
     "op8_chat_tool_linking": chat.query,
     "op9_substring_dedup": substrings.query,
     "op10_bpe_codec": bpe.query,
+    "op12_merkle_manifest": merkle.query,
     # what SQL can express of op4 and op6
     "media_payloads": media.payload_query,
     "url_rules": urls.rules_query,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_topk": neighbours.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
     "media_payloads": media.PAYLOAD_ORACLE,
     "url_rules": urls.RULES_ORACLE,
 }
