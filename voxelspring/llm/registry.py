@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxelspring.llm import bpe, chat, lm, media, merkle, neardup, neighbours, packing, substrings, toxicity, urls
+from voxelspring.llm import bpe, chat, lm, media, merkle, mixing, neardup, neighbours, packing, substrings, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,13 +16,16 @@ QUERIES = {
     "op9_substring_dedup": substrings.query,
     "op10_bpe_codec": bpe.query,
     "op12_merkle_manifest": merkle.query,
-    # what SQL can express of op4 and op6
+    "op13_source_mixing": mixing.query,
+    # what SQL can express of op4, op6 and op13
     "media_payloads": media.payload_query,
     "url_rules": urls.rules_query,
+    "mixing_targets": mixing.targets_query,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_topk": neighbours.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
     "media_payloads": media.PAYLOAD_ORACLE,
     "url_rules": urls.RULES_ORACLE,
+    "mixing_targets": mixing.TARGETS_ORACLE,
 }
