@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxelspring.llm import bpe, chat, lm, media, merkle, mixing, neardup, neighbours, packing, substrings, toxicity, urls
+from voxelspring.llm import alignment, bpe, chat, lm, media, merkle, mixing, neardup, neighbours, packing, substrings, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_tool_linking": chat.query,
     "op9_substring_dedup": substrings.query,
     "op10_bpe_codec": bpe.query,
+    "op11_tokenizer_alignment": alignment.query,
     "op12_merkle_manifest": merkle.query,
     "op13_source_mixing": mixing.query,
     # what SQL can express of op4, op6 and op13
