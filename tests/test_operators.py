@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelspring import functions as X
 from voxelspring.cloud import with_pid
-from voxelspring.operators import cluster, generate, graph, neighbors, normals, plane, polygon, select, voxel
+from voxelspring.operators import blocks, cluster, generate, graph, neighbors, normals, plane, polygon, select, voxel
 from voxelspring.streaming import point_stream, running_voxel_counts
 
 SCHEMA = "pid long, x double, y double, z double"
@@ -153,6 +153,8 @@ def test_dbscan_with_crowded_cells(spark):
 @pytest.mark.parametrize("kind", ["outlier", "flat", "equal", "dense and sparse"])
 def test_knn_of_uneven_clouds(spark, kind, monkeypatch):
     monkeypatch.setattr(neighbors, "SMALL", 0)
+    monkeypatch.setattr(neighbors, "SIZE", 8)
+    monkeypatch.setattr(blocks, "FAN", 3)
     rng = random.Random(4)
     rows = {
         "outlier": [(rng.random(), rng.random(), rng.random()) for _ in range(150)] + [(5e5, -4e5, 1.0)],

@@ -1,18 +1,23 @@
-"""Spatial joins by grid cells: radius pairs, nearest neighbours, hybrid search."""
+"""Spatial joins: radius pairs by grid cells, nearest neighbours and hybrid search over a block index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspring.cloud import XYZ, squared_distance
+from voxelspring.operators.blocks import SIZE, block_arrays, distances2, finite, gap2, levels, packed, reach2
 from voxelspring.storage import stored
 
 CELL = ("i", "j", "k")
-#: Open places that are broadcast with their cells; more are joined by a shuffle.
-FEW = 10_000
-#: Places of a cloud so small that one round over wide cells is cheaper than a search for their width.
-SMALL = 2_500
+#: Places of a cloud so small that it is one block.
+SMALL = 4096
+#: Distances of one product.
+TOGETHER = 1_000_000
+#: Room for rounding in comparisons of bounds.
+SLACK = 1e-9
 
 
 def with_cell(df: DataFrame, size: float, names: tuple[str, ...] = CELL) -> DataFrame:
@@ -43,70 +48,179 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, [*CELL]).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius).select("a", "b", "d2")
 
 
-def _start_size(places: DataFrame, k: int, span: float, count: int, volume: float, axes: int) -> float:
-    """A cell width at which a point's own cell holds about k points: from the bounding box, then finer
-    by fours while the average point sees too many, as it does in uneven clouds."""
-    size = (volume * k / count) ** (1 / axes)
-    while size > span * 1e-9:
-        cells = with_cell(places, size).groupBy(*CELL).agg(F.count(F.lit(1)).cast("double").alias("n"))
-        if cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] <= 4 * k:
-            break
-        size /= 4
-    return size
-
-
-def nearest(df: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+def smallest(d2: np.ndarray, pids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest (d2, pid) of each row in order; what a row lacks is infinite."""
+    if d2.shape[1] > k:
+        near = d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+    else:
+        near = np.ones(d2.shape, bool)
+    row, column = np.nonzero(near & np.isfinite(d2))
+    order = np.lexsort((pids[row, column], d2[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column, rank = (x[rank < k] for x in (row, column, rank))
+    out, of = np.full((len(d2), k), np.inf), np.zeros((len(d2), k), np.int64)
+    out[row, rank], of[row, rank] = d2[row, column], pids[row, column]
+    return out, of
+
+
+def _best(asked: np.ndarray, at: np.ndarray, pids: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """smallest() for points against a block, some rows at a time."""
+    step = max(1, TOGETHER // max(1, len(at)))
+    parts = []
+    for i in range(0, len(asked), step):
+        d2 = distances2(asked[i : i + step], at)
+        d2[d2 > limit] = np.inf
+        parts.append(smallest(d2, np.broadcast_to(pids, d2.shape), k))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _ranked(a: np.ndarray, d2: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    row, rank = np.nonzero(np.isfinite(d2))
+    return pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[row, rank]), pa.array(d2[row, rank]), pa.array((rank + 1).astype(np.int32))], names=["a", "b", "d2", "rank"])
+
+
+POINT = ("pid", *XYZ, "asked")
+SIDES = [f"{s}_{c}" for c in XYZ for s in ("low", "high")]
+GROUP = "gid long, tau2 double, " + ", ".join(f"q{s} double" for s in SIDES) + ", pids binary, at binary"
+FOUND = "a long, b long, d2 double, rank int"
+
+
+def _within_blocks(blocks: DataFrame, k: int, limit: float) -> DataFrame:
+    """FOUND where all points are in one block."""
+
+    def run(batches):
+        for batch in batches:
+            for pid, x, y, z, asked in block_arrays(batch, POINT):
+                at, asked = np.column_stack([x, y, z]), asked.astype(bool)
+                if asked.any():
+                    yield _ranked(pid[asked], *_best(at[asked], at, pid, k, limit))
+
+    return blocks.select("points").mapInArrow(run, FOUND)
+
+
+def _groups(blocks: DataFrame, k: int, limit: float) -> DataFrame:
+    """Points of a block that see about as far: by the power of 4 of the squared distance to the k-th nearest in their own
+    block, an upper bound. Of each group the largest such bound, the box and the points."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for block, (pid, x, y, z, asked) in zip(batch.column("block").to_pylist(), block_arrays(batch, POINT), strict=True):
+                at, asked = np.column_stack([x, y, z]), asked.astype(bool)
+                if not asked.any():
+                    continue
+                own, of = at[asked], pid[asked]
+                far = np.minimum(_best(own, at, pid, k, limit)[0][:, -1], limit)
+                kind = np.where(np.isfinite(far), np.frexp(np.where(np.isfinite(far), far, 1.0))[1] // 2, 1000)
+                for c in np.unique(kind):
+                    m = kind == c
+                    box = [v for i in range(3) for v in (own[m, i].min(), own[m, i].max())]
+                    out.append((block * 2048 + int(c) + 1024, far[m].max(), *box, of[m].tobytes(), own[m].tobytes()))
+            if out:
+                kinds = [pa.int64(), *[pa.float64()] * 7, pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in GROUP.split(", ")])
+
+    return stored(blocks.select("block", "points").mapInArrow(run, GROUP))
+
+
+def _open_blocks(groups: DataFrame, boxes: list[DataFrame], k: int) -> DataFrame:
+    """(gid, bound, box of the group, node, lb2): the blocks that may hold one of the k nearest of a group's
+    points, found from the root down. A node stays if it is no farther than the group's bound; a node of k
+    points or more bounds it by its farthest corner."""
+    front = groups.drop("pids", "at").withColumn("node", F.lit(0).cast("long")).withColumn("lb2", F.lit(0.0))
+    names = front.columns
+    for level in reversed(boxes[:-1]):
+        below = level.select(F.col("node").alias("child"), F.col("up").alias("node"), "n", *SIDES)
+        met = front.drop("lb2").join(below, "node").withColumn("lb2", gap2()).where(F.col("lb2") <= F.col("tau2") * (1 + SLACK))
+        far = F.min(F.when(F.col("n") >= k, reach2())).over(Window.partitionBy("gid"))
+        met = met.withColumn("tau2", F.least(F.col("tau2"), far))
+        front = stored(met.where(F.col("lb2") <= F.col("tau2") * (1 + SLACK)).withColumn("node", F.col("child")).select(*names))
+    return front
+
+
+def _halos(front: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(gid, lb2, pids, at): of each open block the points that are near enough to the group's box."""
+    sides = [f"q{s}" for s in SIDES]
+
+    def run(batches):
+        for batch in batches:
+            tau2 = batch.column("tau2").to_numpy()
+            box = np.column_stack([batch.column(s).to_numpy() for s in sides]).reshape(-1, 3, 2)
+            pids, ats = [], []
+            for (pid, x, y, z), t, b in zip(block_arrays(batch, POINT[:4]), tau2, box, strict=True):
+                at = np.column_stack([x, y, z])
+                gap = np.maximum(0.0, np.maximum(b[:, 0] - at, at - b[:, 1]))
+                near = (gap * gap).sum(axis=1) <= t * (1 + SLACK)
+                pids.append(pid[near].tobytes())
+                ats.append(at[near].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("gid"), batch.column("lb2"), pa.array(pids, pa.binary()), pa.array(ats, pa.binary())], names=["gid", "lb2", "pids", "at"])
+
+    met = front.withColumnRenamed("node", "block").join(blocks.select("block", "points"), "block")
+    return met.select("gid", "lb2", "tau2", *sides, "points").mapInArrow(run, "gid long, lb2 double, pids binary, at binary")
+
+
+def _searched(rows: DataFrame, k: int, limit: float) -> DataFrame:
+    """FOUND from rows (gid, lb2, pids, at): a group's own points, with lb2 -1, and then blocks by their lower
+    bound, which are passed over once it is above the k-th of every point. A task holds one group."""
+
+    def run(batches):
+        gid, pids, at, d2, of = None, None, None, None, None
+        for batch in batches:
+            for g, lb2, p, q in zip(*(batch.column(c).to_pylist() for c in ("gid", "lb2", "pids", "at")), strict=True):
+                p, q = np.frombuffer(p, np.int64), np.frombuffer(q).reshape(-1, 3)
+                if lb2 < 0:
+                    if gid is not None:
+                        yield _ranked(pids, d2, of)
+                    gid, pids, at = g, p, q
+                    d2, of = np.full((len(p), k), np.inf), np.zeros((len(p), k), np.int64)
+                    continue
+                if lb2 > d2[:, -1].max() * (1 + SLACK) or not len(p):
+                    continue
+                more, other = _best(at, q, p, min(k, len(p)), limit)
+                d2, of = smallest(np.concatenate([d2, more], axis=1), np.concatenate([of, other], axis=1), k)
+        if gid is not None:
+            yield _ranked(pids, d2, of)
+
+    return rows.repartition("gid").sortWithinPartitions("gid", "lb2").mapInArrow(run, FOUND)
+
+
+def nearest(df: DataFrame, k: int, radius: float | None = None, asked: Column | None = None) -> DataFrame:
     """(a, b, d2, rank): the k nearest points of each place, itself included, within the radius where one
-    is given; ties go to the smaller pid. a: the smallest pid at the place.
+    is given; ties go to the smaller pid. a: the smallest pid at the place. asked: a condition on the
+    points that are asked for, all without it. Points with a missing coordinate take no part.
 
     Points at the same place are asked for once, and of each place only the k smallest pids can be
-    among anyone's k nearest, so many equal points cost no pairs. Places search the cells around
-    theirs and are done once the k-th is nearer than a cell's width; the others, which lie in sparser
-    parts, go on with cells twice or four times as wide.
+    among anyone's k nearest, so many equal points cost no pairs. The others lie in blocks of a bounded
+    number of points. The k-th nearest in the own block bounds how far a point looks; a point that sees
+    much farther than its neighbours, like an outlier, looks by itself. Blocks are found from the root of
+    their boxes down, and searched from the nearest on until the bound is passed.
     """
-    pts = df.select("pid", *XYZ).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ))
+    pts = finite(df.select("pid", *XYZ, (F.lit(True) if asked is None else asked).alias("asked")))
     first = F.row_number().over(Window.partitionBy(*XYZ).orderBy("pid"))
-    few = stored(pts.withColumn("nth", first).where(F.col("nth") <= k))
-    target, places = few.select(F.col("pid").alias("b"), *XYZ), few.where("nth = 1").select(F.col("pid").alias("a"), *XYZ)
-    box = places.agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
-    spans = [box[c] for c in XYZ if box[c]]
-    span, volume = max(spans, default=0.0), 1.0
-    for s in spans:
-        volume *= s
-    if not spans:
-        size = 1.0
-    elif box["n"] <= SMALL:
-        size = span
+    few = pts.withColumn("nth", first).where(F.col("nth") <= k).drop("asked")
+    if asked is None:
+        few = few.withColumn("asked", F.col("nth") == 1)
     else:
-        size = _start_size(places, k, span, box["n"], volume, len(spans))
-    size = size if radius is None else min(size, radius)
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
-    found, left, n_left = None, places, box["n"]
-    while True:
-        a = _renamed(around(with_cell(left, size)))
-        a = F.broadcast(a) if n_left <= FEW else a
-        near = with_cell(target, size).join(a, [*CELL]).withColumn("d2", _d2())
-        near = near if radius is None else near.where(F.col("d2") <= radius * radius)
-        near = stored(near.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "d2", "rank"))
-        last = size >= span or (radius is not None and size >= radius)
-        full = near.where((F.col("rank") == k) & (F.col("d2") <= size * size)).select("a")
-        done = near if last else near.join(full, "a", "left_semi")
-        found = done if found is None else found.union(done)
-        if last:
-            return found
-        rest = stored(left.join(full, "a", "left_anti"))
-        left, n_before, n_left = rest, n_left, rest.count()
-        if not n_left:
-            return found
-        size *= 2 if n_left > n_before / 20 else 4
-        size = size if radius is None else min(size, radius)
-
-
-def _of_points(df: DataFrame, found: DataFrame) -> DataFrame:
-    """What was found for places, for every point there."""
+        places = pts.where("asked").select(*[F.col(c).alias(f"_{c}") for c in XYZ]).distinct()
+        few = few.join(places, [F.col(c) == F.col(f"_{c}") for c in XYZ], "left")
+        few = few.withColumn("asked", (F.col("nth") == 1) & F.col("_x").isNotNull())
+    few = stored(few.select(*POINT))
+    limit = float("inf") if radius is None else radius * radius
+    if few.count() <= SMALL:
+        return _within_blocks(packed(few, whole=True), k, limit)
+    blocks = packed(few, max(SIZE, 2 * k))
+    groups = _groups(blocks, k, limit)
+    front = _open_blocks(groups, levels(blocks), k)
+    own = groups.select("gid", F.lit(-1.0).alias("lb2"), "pids", "at")
+    return stored(_searched(own.union(_halos(front, blocks)), k, limit))
+
+
+def _of_points(df: DataFrame, found: DataFrame, asked: Column | None = None) -> DataFrame:
+    """What was found for places, for every point there that is asked for."""
     pts = df.select("pid", *XYZ)
     places = pts.groupBy(*XYZ).agg(F.min("pid").alias("a"))
-    return pts.join(places, [*XYZ]).select("pid", "a").join(found, "a")
+    return (pts if asked is None else pts.where(asked)).join(places, [*XYZ]).select("pid", "a").join(found, "a")
 
 
 def hybrid(df: DataFrame, radius: float = 0.1, max_nn: int = 16) -> DataFrame:
@@ -119,9 +233,10 @@ def nearest_points(df: DataFrame, k: int) -> DataFrame:
     return _of_points(df, nearest(df, k)).select(F.col("pid").alias("a"), "b", "d2", "rank")
 
 
-def knn(df: DataFrame, k: int = 8) -> DataFrame:
-    """(a, b, d2, rank): the k - 1 nearest other points (the point itself is the k-th of k)."""
-    others = _of_points(df, nearest(df, k)).where("pid <> b")
+def knn(df: DataFrame, k: int = 8, asked: Column | None = None) -> DataFrame:
+    """(a, b, d2, rank): the k - 1 nearest other points (the point itself is the k-th of k), of all points or of
+    those asked for."""
+    others = _of_points(df, nearest(df, k, asked=asked), asked).where("pid <> b")
     rank = F.row_number().over(Window.partitionBy("pid").orderBy("d2", "b"))
     return others.withColumn("rank", rank).where(F.col("rank") < k).select(F.col("pid").alias("a"), "b", "d2", "rank")
 

@@ -430,6 +430,13 @@ def _knn(c):
     return neighbors.knn(c, 8).select("a", "b", "rank", F.sqrt("d2").alias("distance"))
 
 
+@query("knn_line", f""", K AS (SELECT p.pid AS a, q.pid AS b, {sql.D2} AS d2 FROM L p JOIN L q ON p.pid <> q.pid WHERE p.pid % 50 = 0),
+  N AS (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY d2, b) AS INTEGER) AS rank FROM K)
+  SELECT a, b, rank, {R('sqrt(d2)', 'distance')} FROM N WHERE rank <= 7""", "L")
+def _knn_line(c):
+    return neighbors.knn(c, 8, asked=F.col("pid") % 50 == 0).select("a", "b", "rank", F.sqrt("d2").alias("distance"))
+
+
 @query("mean_spacing", f"{NEAR} SELECT {R('avg(sqrt(d2))', 'spacing')} FROM NB WHERE rank <= 7", "E")
 def _spacing(c):
     return neighbors.mean_spacing(c, 8)
