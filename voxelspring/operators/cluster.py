@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspring.cloud import XYZ, squared_distance
+from voxelspring.operators.blocks import finite
 from voxelspring.operators.graph import components, forest
+from voxelspring.operators.kmeans import fitted
 from voxelspring.operators.neighbors import CELL, around, radius_pairs, with_cell
 from voxelspring.storage import stored
 
@@ -110,11 +110,15 @@ def cluster_count(labels: DataFrame) -> DataFrame:
     return labels.where("label >= 0").agg(F.countDistinct("label").alias("clusters"))
 
 
-def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> tuple[DataFrame, float]:
-    """(pid with label, sum of squares); features are not scaled."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(df.select("pid", *columns))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(vectors)
-    return model.transform(vectors).select("pid", "label"), float(model.summary.trainingCost)
+def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, most: int = 300, digits: int | None = None) -> tuple[DataFrame, float]:
+    """(pid with label, sum of squares) of k-means++ and Lloyd's rounds until the centres stay; features are
+    not scaled. Labels follow the order of the seeds."""
+    centers, wcss, _ = fitted(df, columns, [k], seed, most, digits)
+    own = finite(df, tuple(columns))
+    if k not in centers:
+        return own.select("pid", F.lit(0).alias("label")), 0.0
+    best = nearest_center(columns, [(i, *c) for i, c in enumerate(centers[k].tolist())], digits)
+    return own.select("pid", best["label"].alias("label")), wcss[k]
 
 
 def total_squares(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -122,12 +126,10 @@ def total_squares(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(sum((F.var_pop(c) * F.count(c) for c in columns[1:]), F.var_pop(columns[0]) * F.count(columns[0])).alias("wcss"))
 
 
-def elbow(df: DataFrame, columns: list[str], most: int = 19, seed: int = 42) -> DataFrame:
-    """(k, wcss) for k = 1..most. The features are stored once for all fits."""
-    own = stored(df.select("pid", *columns))
-    out = [(1, float(total_squares(own, columns).first()["wcss"]))]
-    out += [(k, kmeans(own, columns, k, seed)[1]) for k in range(2, most + 1)]
-    return df.sparkSession.createDataFrame(out, "k int, wcss double")
+def elbow(df: DataFrame, columns: list[str], most: int = 19, seed: int = 42, rounds: int = 300, digits: int | None = None) -> DataFrame:
+    """(k, wcss) for k = 1..most. One seeding has the first centres of all; a round serves all that move."""
+    wcss = fitted(df, columns, list(range(1, most + 1)), seed, rounds, digits)[1]
+    return df.sparkSession.createDataFrame(sorted(wcss.items()), "k int, wcss double")
 
 
 def nearest_center(columns: list[str], centers: list[tuple], digits: int | None = None):

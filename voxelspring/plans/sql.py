@@ -132,6 +132,29 @@ def lloyd(cloud: str, columns: str, rounds: int, digits: int = 9) -> str:
     return ", " + ", ".join(parts)
 
 
+def kmeans(cloud: str, columns: str, numbers: list[int], draws: list[int], rounds: int, digits: int = 9) -> str:
+    """A: k, pid, label, d2 of k-means++ with given draws and Lloyd's rounds for each number of clusters."""
+    listed = ", ".join(columns)
+    d2 = "+".join(f"(p.{c}-q.{c})*(p.{c}-q.{c})" for c in columns)
+    span = "+".join(f"(max({c})-min({c}))*(max({c})-min({c}))" for c in columns)
+    parts = [f"kb AS MATERIALIZED (SELECT {span} AS s, count(*) AS n FROM {cloud})"]
+    parts.append(f"s0 AS MATERIALIZED (SELECT {listed} FROM (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS rn FROM {cloud}), kb WHERE rn = {draws[0]} % n)")
+    parts.append(f"d0 AS MATERIALIZED (SELECT p.pid, {', '.join(f'p.{c}' for c in columns)}, {d2} AS d2 FROM {cloud} p, s0 q)")
+    for i, number in enumerate(draws[1:], 1):
+        weights = f"SELECT d.*, CAST(floor(d2 / s * {1 << 40}.0::DOUBLE) AS BIGINT) AS w FROM d{i - 1} d, kb"
+        sums = f"SELECT *, sum(w) OVER (ORDER BY pid) AS upto, sum(w) OVER () AS total FROM ({weights})"
+        parts.append(f"s{i} AS MATERIALIZED (SELECT {listed} FROM ({sums}) WHERE w > 0 AND upto > {number} % total ORDER BY pid LIMIT 1)")
+        parts.append(f"d{i} AS MATERIALIZED (SELECT p.* REPLACE (least(p.d2, {d2}) AS d2) FROM d{i - 1} p, s{i} q)")
+    seeds = " UNION ALL ".join(f"SELECT {i} AS label, * FROM s{i}" for i in range(len(draws)))
+    near = f"round({d2}, {digits})"
+    best = f"SELECT q.k, p.pid, {', '.join(f'any_value(p.{c}) AS {c}' for c in columns)}, arg_min(q.label, ({near}, q.label)) AS label FROM {cloud} p, km q GROUP BY q.k, p.pid"
+    means = ", ".join(f"coalesce(avg(a.{c}), any_value(c.{c}))" for c in columns)
+    parts.append(f"""km(it, k, label, {listed}) AS (SELECT 0, k, label, {listed} FROM ({seeds}), (SELECT unnest({numbers}) AS k) WHERE label < k
+    UNION ALL SELECT any_value(c.it) + 1, c.k, c.label, {means} FROM km c LEFT JOIN ({best}) a ON a.k = c.k AND a.label = c.label WHERE c.it < {rounds} GROUP BY c.k, c.label)""")
+    parts.append(f"A AS MATERIALIZED (SELECT q.k, p.pid, arg_min(q.label, ({near}, q.label)) AS label, min({d2}) AS d2 FROM {cloud} p, km q WHERE q.it = {rounds} GROUP BY q.k, p.pid)")
+    return ", " + ", ".join(parts)
+
+
 def neighbours(name: str, within: str = "true", own: bool = True) -> str:
     """Ranked neighbours of E under a condition on p and q."""
     order = f"row_number() OVER (PARTITION BY p.pid ORDER BY {D2}, q.pid)"
