@@ -19,11 +19,9 @@ table gives no rows; further columns don't matter.
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -39,8 +37,6 @@ LINKS = ("ends", "overlaps", "groups")
 MOST_PAIRS = 4_000_000
 #: Pairs that a task sums before it hands them on.
 TOGETHER = 4_000_000
-#: Words whose pieces a worker remembers, and how long they may be.
-REMEMBERED, LONGEST = 500_000, 40
 
 
 def default_paths() -> tuple[str, str]:
@@ -105,42 +101,16 @@ def byte_level(path: str) -> Side:
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Side:
-    """A sentencepiece model, which adds the space itself. Where no piece holds a space after another
-    character, merges don't cross the place before a space, so words are encoded by themselves and
-    remembered."""
+    """A sentencepiece model, which adds the space itself."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     spelled = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-    mark = model.piece_to_id("▁")
-    apart = not any("▁" in n.lstrip("▁") for n in names) and mark != model.unk_id() and model.encode("  a  b ", out_type=str) == [*model.encode("  a", out_type=str), *model.encode(" b", out_type=str), "▁"]
-    known: dict[str, tuple[int, ...]] = {" ": (mark,)}
-    word = re.compile(" +[^ ]*")
-
-    def checked(ids: list[int], whole: str) -> list[int] | None:
-        return ids if b"".join([spelled[i] for i in ids]) == whole.encode() else None
 
     def encode(text: str) -> np.ndarray | None:
-        if not apart:
-            ids = checked(model.encode(text), " " + text)
-            return None if ids is None else np.array(ids, np.int64)
-        words = word.findall(" " + text)
-        new = set(words).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            known[" "] = (mark,)
-            new = set(words).difference(known)
-        if new:
-            found = [checked(ids, w) for w, ids in zip(new, model.encode([w[1:] for w in new], num_threads=1), strict=True)]
-            if None in found:
-                return None
-            known.update(zip(new, map(tuple, found), strict=True))
-        out = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int64)
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
+        ids = model.encode(text, num_threads=1)
+        return np.array(ids, np.int64) if b"".join(itemgetter(*ids, 0)(spelled)[:-1]) == b" " + text.encode() else None
 
     return _side(encode, spelled)
 
