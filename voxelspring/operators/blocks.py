@@ -39,14 +39,23 @@ def in_z_order(df: DataFrame, size: int, columns: tuple[str, ...] = XYZ) -> Data
     return numbered.withColumn("block", F.floor(F.col("__nth") / size)).drop("__z", "__nth")
 
 
+#: Bytes of a row group of a cloud in Z-order, about 30,000 points without attributes.
+ROW_GROUP = 1 << 20
+
+
+def z_ordered(df: DataFrame, columns: tuple[str, ...] = XYZ) -> DataFrame:
+    """df stored along the curve, so that a row group has a small box and filters on the columns skip most."""
+    return stored(in_z_order(df, SIZE, columns), ROW_GROUP)
+
+
 def boxes_of(columns: tuple[str, ...] = XYZ) -> list[Column]:
     return [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("low", F.min), ("high", F.max))]
 
 
 def packed(df: DataFrame, size: int = SIZE, columns: tuple[str, ...] = XYZ, whole: bool = False) -> DataFrame:
     """(block, n, low_*, high_*, points): a stored row for each block, its points by pid. whole: the cloud is
-    known to fit in one block."""
-    own = df.withColumn("block", F.lit(0).cast("long")) if whole else in_z_order(df, size, columns)
+    known to fit in one block. A cloud that has blocks, as from z_ordered(), keeps them."""
+    own = df if "block" in df.columns else df.withColumn("block", F.lit(0).cast("long")) if whole else in_z_order(df, size, columns)
     points = F.sort_array(F.collect_list(F.struct(*[c for c in own.columns if c != "block"]))).alias("points")
     return stored(own.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *boxes_of(columns), points))
 

@@ -127,14 +127,18 @@ def _groups(blocks: DataFrame, k: int, limit: float) -> DataFrame:
 def _open_blocks(groups: DataFrame, boxes: list[DataFrame], k: int) -> DataFrame:
     """(gid, bound, box of the group, node, lb2): the blocks that may hold one of the k nearest of a group's
     points, found from the root down. A node stays if it is no farther than the group's bound; a node of k
-    points or more bounds it by its farthest corner."""
+    points or more bounds it by its farthest corner, unless k is 0."""
     front = groups.drop("pids", "at").withColumn("node", F.lit(0).cast("long")).withColumn("lb2", F.lit(0.0))
     names = front.columns
+    if len(boxes) == 1:
+        root = boxes[0].select("node", *SIDES)
+        return stored(front.drop("lb2").join(root, "node").withColumn("lb2", gap2()).where(F.col("lb2") <= F.col("tau2") * (1 + SLACK)).select(*names))
     for level in reversed(boxes[:-1]):
         below = level.select(F.col("node").alias("child"), F.col("up").alias("node"), "n", *SIDES)
         met = front.drop("lb2").join(below, "node").withColumn("lb2", gap2()).where(F.col("lb2") <= F.col("tau2") * (1 + SLACK))
-        far = F.min(F.when(F.col("n") >= k, reach2())).over(Window.partitionBy("gid"))
-        met = met.withColumn("tau2", F.least(F.col("tau2"), far))
+        if k:
+            far = F.min(F.when(F.col("n") >= k, reach2())).over(Window.partitionBy("gid"))
+            met = met.withColumn("tau2", F.least(F.col("tau2"), far))
         front = stored(met.where(F.col("lb2") <= F.col("tau2") * (1 + SLACK)).withColumn("node", F.col("child")).select(*names))
     return front
 
@@ -185,6 +189,19 @@ def _searched(rows: DataFrame, k: int, limit: float) -> DataFrame:
     return rows.repartition("gid").sortWithinPartitions("gid", "lb2").mapInArrow(run, FOUND)
 
 
+def balls(blocks: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
+    """(a, b, d2): the points b of a block index within the radius of each centre a, a table (pid, x, y, z).
+    Only blocks whose boxes the balls reach are read."""
+    own = centers.select(F.col("pid").alias("gid"), F.lit(float(radius) ** 2).alias("tau2"), *XYZ)
+    box = [F.col(c).alias(f"q{side}_{c}") for c in XYZ for side in ("low", "high")]
+    none = F.lit(b"")
+    front = _open_blocks(own.select("gid", "tau2", *box, none.alias("pids"), none.alias("at")), levels(blocks), 0)
+    met = front.select("gid", *[F.col(f"qlow_{c}").alias(f"a{c}") for c in XYZ], F.col("node").alias("block")).join(blocks.select("block", "points"), "block")
+    points = met.select(F.col("gid").alias("a"), *[f"a{c}" for c in XYZ], F.explode("points").alias("p"))
+    points = points.select("a", *[f"a{c}" for c in XYZ], F.col("p.pid").alias("b"), *[F.col(f"p.{c}").alias(c) for c in XYZ])
+    return points.withColumn("d2", _d2()).where(F.col("d2") <= radius * radius).select("a", "b", "d2")
+
+
 def nearest(df: DataFrame, k: int, radius: float | None = None, asked: Column | None = None) -> DataFrame:
     """(a, b, d2, rank): the k nearest points of each place, itself included, within the radius where one
     is given; ties go to the smaller pid. a: the smallest pid at the place. asked: a condition on the

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelspring.cloud import with_pid
 from voxelspring.functions import unit_plane_distance
+from voxelspring.operators.blocks import block_arrays, finite, packed
 from voxelspring.operators.cluster import dbscan
 from voxelspring.operators.neighbors import mean_spacing
 from voxelspring.storage import drop_stored, stored
@@ -17,6 +18,8 @@ PLANE = ("a", "b", "c", "d")
 PLANES = "it long, a double, b double, c double, d double"
 #: Points times planes in one product.
 TOGETHER = 2_000_000
+#: Points of a cloud whose planes are scored without an index.
+SMALL = 50_000
 
 
 def draws(n: int, iterations: int) -> np.ndarray:
@@ -86,6 +89,46 @@ def _counts(df: DataFrame, planes: list[tuple], threshold: float) -> DataFrame:
     return parts.select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
 
 
+def _counts_of_blocks(blocks: DataFrame, planes: list[tuple], threshold: float) -> DataFrame:
+    """As _counts, over a block index, with the points compared (evaluated). Over a box a plane's distance
+    lies in an interval about that of the middle; where the interval decides, all points of the block count
+    or none does, and only planes that cut the slab's edge within the box meet its points."""
+    own = np.array([r[1:] for r in planes], dtype=np.float64).reshape(-1, 4)
+    sides = [f"{s}_{c}" for c in "xyz" for s in ("low", "high")]
+
+    def count(batches):
+        total, evaluated = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            box = np.column_stack([batch.column(s).to_numpy() for s in sides]).reshape(-1, 3, 2)
+            middle, half = box.mean(axis=2), (box[:, :, 1] - box[:, :, 0]) / 2
+            distance = np.abs(middle @ own[:, :3].T + own[:, 3])
+            reach = half @ np.abs(own[:, :3]).T
+            room = 1e-9 * (np.abs(middle).max(initial=0.0) + reach + np.abs(own[:, 3]) + threshold)
+            inside = distance + reach + room <= threshold
+            total += n @ inside
+            cut = ~inside & (distance - reach - room <= threshold)
+            for i, values in enumerate(block_arrays(batch, ("x", "y", "z"))):
+                some = np.flatnonzero(cut[i])
+                if len(some):
+                    near = np.abs(np.column_stack(values) @ own[some, :3].T + own[some, 3]) <= threshold
+                    total[some] += near.sum(axis=0)
+                    evaluated[some] += n[i]
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([total], kind), pa.array([evaluated], kind)], names=["counts", "evaluated"])
+
+    parts = blocks.select("n", *sides, "points").mapInArrow(count, "counts array<long>, evaluated array<long>")
+    each = parts.select(F.posexplode(F.arrays_zip("counts", "evaluated")).alias("at", "of"))
+    return each.groupBy("at").agg(F.sum("of.counts").alias("n"), F.sum("of.evaluated").alias("evaluated"))
+
+
+def share_evaluated(blocks: DataFrame, planes: DataFrame, threshold: float) -> float:
+    """The share of all pairs of a point and a plane that scoring over the blocks compares."""
+    rows = [tuple(r) for r in planes.select("it", *PLANE).collect()]
+    pairs = len(rows) * (blocks.agg(F.sum("n")).first()[0] or 0)
+    return (_counts_of_blocks(blocks, rows, threshold).agg(F.sum("evaluated")).first()[0] or 0) / pairs if pairs else 0.0
+
+
 def score(df: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
     """planes with n, the points within the threshold."""
     rows = [tuple(r) for r in planes.select("it", *PLANE).collect()]
@@ -115,11 +158,13 @@ def refitted(df: DataFrame, plane: tuple, threshold: float) -> tuple:
     return (*normal.tolist(), -float(normal @ np.array([r["x"], r["y"], r["z"]])))
 
 
-def best_plane(df: DataFrame, limit: float, iterations: int, refit: bool = False) -> tuple | None:
+def best_plane(df: DataFrame, limit: float, iterations: int, refit: bool = False, blocks: DataFrame | None = None) -> tuple | None:
     """A row of PLANES with n: the plane with the most inliers, of equal ones the earliest; with refit,
-    the least-squares plane of its inliers and their number. None for a degenerate cloud."""
+    the least-squares plane of its inliers and their number. None for a degenerate cloud. blocks: a block
+    index of df, over which planes are scored."""
     planes = drawn_planes(df, iterations)
-    found = {r["at"]: r["n"] for r in _counts(df, planes, limit).collect()} if planes else {}
+    scored = _counts(df, planes, limit) if blocks is None else _counts_of_blocks(blocks, planes, limit)
+    found = {r["at"]: r["n"] for r in scored.collect()} if planes else {}
     n, at = max(((n, -at) for at, n in found.items()), default=(0, 0))
     if not n:
         return None
@@ -130,9 +175,9 @@ def best_plane(df: DataFrame, limit: float, iterations: int, refit: bool = False
     return (*best, _counts(df, [best], limit).first()["n"])
 
 
-def ransac_plane(df: DataFrame, threshold: float | str = 0.05, iterations: int = 1000, refit: bool = False) -> DataFrame:
-    """(it, a, b, c, d, n): the best plane; no row for a degenerate cloud."""
-    best = best_plane(df, threshold_of(df, threshold), iterations, refit)
+def ransac_plane(df: DataFrame, threshold: float | str = 0.05, iterations: int = 1000, refit: bool = False, blocks: DataFrame | None = None) -> DataFrame:
+    """(it, a, b, c, d, n): the best plane; no row for a degenerate cloud. blocks: a block index of df."""
+    best = best_plane(df, threshold_of(df, threshold), iterations, refit, blocks)
     return df.sparkSession.createDataFrame([] if best is None else [best], f"{PLANES}, n long")
 
 
@@ -142,6 +187,16 @@ def with_inliers(df: DataFrame, plane: tuple[float, float, float, float], thresh
     return df.withColumn("is_inlier", F.coalesce(F.abs(distance) <= threshold, F.lit(False)))
 
 
+def _sides(plane: tuple[float, float, float, float], threshold: float):
+    """Conditions on a point of a block: within the threshold of a unit plane, and not."""
+    at = tuple(map(F.lit, plane))
+
+    def near(p):
+        return F.abs(unit_plane_distance((p["x"], p["y"], p["z"]), at)) <= threshold
+
+    return near, lambda p: ~near(p)
+
+
 def segment(df: DataFrame, threshold: float | str = 0.05, iterations: int = 1000, refit: bool = False) -> DataFrame:
     """df with is_inlier for its best plane; all false if there is none."""
     limit = threshold_of(df, threshold)
@@ -151,20 +206,33 @@ def segment(df: DataFrame, threshold: float | str = 0.05, iterations: int = 1000
 
 def multi_plane(df: DataFrame, planes: int = 10, threshold: float = 0.01, iterations: int = 1000, refit: bool = False) -> tuple[DataFrame, DataFrame]:
     """(models, points): up to `planes` planes, each fitted to what those before it left; points have
-    `segment`, -1 for the rest. Each round's split is a stored table."""
-    models, done, rest = [], None, df
+    `segment`, -1 for the rest. Points with a missing coordinate are rest. A cloud beyond SMALL is indexed
+    once; each round takes its inliers out of the blocks and stores what is left of them."""
+    models, done, rest, blocks = [], None, finite(df), None
+    odd = df.where(" OR ".join(f"{c} IS NULL OR isnan({c})" for c in "xyz")).withColumn("segment", F.lit(-1))
+    if df.count() > SMALL:
+        blocks = packed(rest)
+        rest = blocks.select(F.inline("points"))
     for i in range(planes):
-        best = best_plane(rest, threshold, iterations, refit)
+        best = best_plane(rest, threshold, iterations, refit, blocks)
         if best is None:
             break
         models.append((i, *best[1:]))
-        split = stored(with_inliers(rest, models[-1][1:5], threshold))
-        own = split.where("is_inlier").drop("is_inlier").withColumn("segment", F.lit(i))
+        if blocks is None:
+            split = stored(with_inliers(rest, models[-1][1:5], threshold))
+            own, rest = split.where("is_inlier").drop("is_inlier"), split.where("NOT is_inlier").drop("is_inlier")
+        else:
+            near, far = _sides(models[-1][1:5], threshold)
+            own = blocks.select(F.inline(F.filter("points", near)))
+            left = blocks.withColumn("points", F.filter("points", far)).withColumn("n", F.size("points").cast("long"))
+            blocks = stored(left.where("n > 0"))
+            rest = blocks.select(F.inline("points"))
+        own = own.withColumn("segment", F.lit(i))
         done = own if done is None else done.unionByName(own)
-        rest = split.where("NOT is_inlier").drop("is_inlier")
     rest = rest.withColumn("segment", F.lit(-1))
+    out = rest if done is None else done.unionByName(rest)
     found = df.sparkSession.createDataFrame(models, "segment int, a double, b double, c double, d double, n long")
-    return found, rest if done is None else done.unionByName(rest)
+    return found, out.unionByName(odd).select(*df.columns, "segment")
 
 
 def refined_planes(

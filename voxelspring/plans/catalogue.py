@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 from voxelspring import functions as X
 from voxelspring import sources
 from voxelspring.cloud import bounds, lines_cloud, rounded, vectors_cloud
-from voxelspring.operators import cluster, generate, kmeans, neighbors, normals, plane, polygon, select, voxel
+from voxelspring.operators import blocks, cluster, generate, kmeans, neighbors, normals, plane, polygon, select, voxel
 from voxelspring.plans import sql
 from voxelspring.plans.sql import RGB, XYZ
 from voxelspring.plans.sql import rounded as R
 from voxelspring.sources.text import text_columns
-from voxelspring.storage import shared_dir
+from voxelspring.storage import Kept, shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Large clouds numbered once for each session and folder, whose tables don't change meanwhile.
-_numbered: dict[tuple[str, str], DataFrame] = {}
+#: Large clouds, numbered once for each session and state of their table, along the numbers and along the Z-order.
+_kept = Kept()
 
 POI, RADIUS, SIZE = (25.0, 50.0, 9.0), 50.0, 6.0
 IDS = (3, 14, 15, 92, 65, 35, 89)
@@ -34,25 +34,33 @@ ROUNDS = 100
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _numbered:
-        _numbered[key] = lines_cloud(spark, sf_dir)
-    return _numbered[key]
+    return _kept.get(spark, f"{sf_dir}/lineitem.parquet", "lines", lambda: stored(lines_cloud(spark, sf_dir)))
+
+
+def _line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cloud in Z-order, with the numbers of blocks."""
+    return _kept.get(spark, f"{sf_dir}/lineitem.parquet", "index", lambda: blocks.z_ordered(_lines(spark, sf_dir)))
+
+
+def _line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = lambda: blocks.packed(_line_index(spark, sf_dir).select("pid", "x", "y", "z", "block"))
+    return _kept.get(spark, f"{sf_dir}/lineitem.parquet", "blocks", points)
 
 
 def query(name: str, oracle: str | None = None, view: str | None = None, digits: int = 6):
-    """Register a query. view: the cloud it takes, L or E; without one it takes (spark, sf_dir) itself."""
+    """Register a query. view: the cloud it takes: L, the same in Z-order (Z), or E; without one it takes
+    (spark, sf_dir) itself."""
 
     def register(f):
         if view is None:
             QUERIES[name] = f
         else:
-            make = _lines if view == "L" else vectors_cloud
+            make = {"L": _lines, "Z": _line_index, "E": vectors_cloud}[view]
             QUERIES[name] = lambda spark, sf_dir: rounded(f(make(spark, sf_dir)), digits)
         if oracle is not None and view is None:
             ORACLES[name] = oracle
         elif oracle is not None:
-            cloud = sql.L_SQL if view == "L" else sql.E_SQL
+            cloud = sql.E_SQL if view == "E" else sql.L_SQL
             ORACLES[name] = f"WITH RECURSIVE {cloud}{oracle if oracle.startswith(',') else ' ' + oracle}"
         return f
 
@@ -125,6 +133,20 @@ def _radius(c):
     return select.within(c, POI, RADIUS).select("pid", "x", "y", "z")
 
 
+@query("radius_query_z_order", f"SELECT pid, {XYZ} FROM L WHERE (x-20.0)*(x-20.0)+(y-30.0)*(y-30.0)+(z-6.0)*(z-6.0) <= 16.0", "Z")
+def _small_radius(c):
+    return select.within(c, (20.0, 30.0, 6.0), 4.0).select("pid", "x", "y", "z")
+
+
+MANY_BALLS = f"SELECT p.pid AS a, q.pid AS b, {R(sql.D2, 'd2')} FROM L p JOIN L q ON {sql.D2} <= 2.25 WHERE p.pid % 500 = 0"
+
+
+@query("radius_query_many", f"WITH {sql.L_SQL} {MANY_BALLS}")
+def _many_balls(spark, sf_dir):
+    centers = _lines(spark, sf_dir).where("pid % 500 = 0")
+    return rounded(neighbors.balls(_line_blocks(spark, sf_dir), centers, 1.5))
+
+
 RESCALED = ", ".join(R(f"CAST(floor({k} * 255) AS INTEGER) / 255.0::DOUBLE", k) for k in "rgb")
 
 
@@ -387,9 +409,14 @@ def _hypotheses(c):
     return plane.score(c, plane.hypotheses(c, ITERATIONS), T)
 
 
-@query("ransac_plane", f", {L_HYPOTHESES}, {sql.best('L', 'H', 'B', T)} SELECT it, {sql.ABCD}, n FROM B", "L")
-def _ransac(c):
-    return plane.ransac_plane(c, T, ITERATIONS)
+@query("ransac_plane", f"WITH {sql.L_SQL}, {L_HYPOTHESES}, {sql.best('L', 'H', 'B', T)} SELECT it, {sql.ABCD}, n FROM B")
+def _ransac(spark, sf_dir):
+    return rounded(plane.ransac_plane(_lines(spark, sf_dir), T, ITERATIONS, blocks=_line_blocks(spark, sf_dir)))
+
+
+@query("multi_plane_line", f", LX AS (SELECT pid, x, y, z FROM L), {sql.multi_plane(2, T, 100, cloud='LX')} SELECT pid, segment FROM Y", "L")
+def _multi_plane_line(c):
+    return plane.multi_plane(c.select("pid", "x", "y", "z"), 2, T, 100)[1].select("pid", "segment")
 
 
 @query("ransac_segment", f", {E_HYPOTHESES}, {sql.best('E', 'H', 'B', T)} SELECT pid, abs({sql.DISTANCE}) <= {T} AS is_inlier FROM E, B", "E")
@@ -432,11 +459,11 @@ def _knn(c):
     return neighbors.knn(c, 8).select("a", "b", "rank", F.sqrt("d2").alias("distance"))
 
 
-@query("knn_line", f""", K AS (SELECT p.pid AS a, q.pid AS b, {sql.D2} AS d2 FROM L p JOIN L q ON p.pid <> q.pid WHERE p.pid % 50 = 0),
+@query("knn_line", f""", K AS (SELECT p.pid AS a, q.pid AS b, {sql.D2} AS d2 FROM L p JOIN L q ON p.pid <> q.pid WHERE p.pid % 200 = 0),
   N AS (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY d2, b) AS INTEGER) AS rank FROM K)
   SELECT a, b, rank, {R('sqrt(d2)', 'distance')} FROM N WHERE rank <= 7""", "L")
 def _knn_line(c):
-    return neighbors.knn(c, 8, asked=F.col("pid") % 50 == 0).select("a", "b", "rank", F.sqrt("d2").alias("distance"))
+    return neighbors.knn(c, 8, asked=F.col("pid") % 200 == 0).select("a", "b", "rank", F.sqrt("d2").alias("distance"))
 
 
 @query("mean_spacing", f"{NEAR} SELECT {R('avg(sqrt(d2))', 'spacing')} FROM NB WHERE rank <= 7", "E")

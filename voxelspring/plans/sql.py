@@ -62,9 +62,9 @@ def best(cloud: str, planes: str, name: str, threshold: float | str) -> str:
     return f"{name} AS MATERIALIZED ({near} ORDER BY n DESC, it LIMIT 1)"
 
 
-def multi_plane(planes: int, threshold: float, iterations: int, rows: bool = True) -> str:
+def multi_plane(planes: int, threshold: float, iterations: int, rows: bool = True, cloud: str = "E") -> str:
     """Planes fitted one after the other; F<planes - 1> is what is left. With rows, ends in the query."""
-    parts, cloud = [], "E"
+    parts = []
     for i in range(planes):
         parts += [hypotheses(cloud, f"H{i}", iterations), best(cloud, f"H{i}", f"B{i}", threshold)]
         parts.append(f"I{i} AS MATERIALIZED (SELECT {cloud}.*, coalesce(abs({DISTANCE}) <= {threshold}, false) AS near FROM {cloud} LEFT JOIN B{i} ON true)")
