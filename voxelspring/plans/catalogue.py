@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from voxelspring import functions as X
 from voxelspring import sources
-from voxelspring.cloud import bounds, lines_cloud, rounded, vectors_cloud
+from voxelspring.cloud import bounds, lines_cloud, rounded, vectors_cloud, with_pid
 from voxelspring.operators import blocks, cluster, generate, kmeans, neighbors, normals, plane, polygon, select, voxel
 from voxelspring.plans import sql
 from voxelspring.plans.sql import RGB, XYZ
 from voxelspring.plans.sql import rounded as R
-from voxelspring.sources.text import text_columns
+from voxelspring.sources.files import ordered_lines
+from voxelspring.sources.text import text_columns, write_one_text
 from voxelspring.storage import Kept, shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,6 +226,13 @@ def _text_round_trip(c):
     return sources.read_whitespace(c.sparkSession, path, ["pid", "x", "y", "z"], skip=0)
 
 
+@query("export_one_file", "SELECT pid AS nth, printf('%1.4f;%1.4f;%1.4f', x, z, cls::DOUBLE) AS line FROM L", "L")
+def _one_file(c):
+    path = f"{shared_dir(c.sparkSession)}/cloud-{uuid.uuid4().hex}.xyz"
+    write_one_text(c, path, "pid", columns=("x", "z", "cls"))
+    return with_pid(ordered_lines(c.sparkSession, path), "split", "at", name="nth").select("nth", F.col("value").alias("line"))
+
+
 # --- voxels
 
 PER_AXIS = ", ".join(f"CAST(ceil((max({c})-min({c}))/{SIZE}) AS BIGINT) AS n{c}" for c in "xyz")

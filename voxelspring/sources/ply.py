@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from voxelspring.cloud import with_pid
 from voxelspring.sources.files import first_bytes, local_path, ordered_lines, write_blocks
+from voxelspring.sources.onefile import write_at
 
 #: Kinds of properties and their numpy types. Fixed values.
 KINDS = {
@@ -143,19 +144,36 @@ def records(batch: pa.RecordBatch, color: bool) -> bytes:
 
 
 def write_ply(df: DataFrame, path: str) -> int:
-    """One binary little-endian PLY file of x, y, z (double) and, where there are any, colours (uchar), at
-    any path that Hadoop can write. Executors pack the records in the order of pid; as it is one file,
-    the driver writes one block after the other. For large clouds: write_ply_parts."""
-    color = _colored(df)
+    """One binary little-endian PLY file of x, y, z (double) and, where there are any, colours (uchar), in the
+    order of pid. Where executors can open() the path, each writes its records in their places. A path that
+    only Hadoop writes gets its blocks from the driver, one after the other; for large clouds there:
+    write_ply_parts."""
+    color, own, spark = _colored(df), local_path(path), df.sparkSession
+    if own is None:
 
-    def pack(batches):
+        def pack(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([records(batch, color)], pa.binary())], names=["block"])
+
+        n = df.count()
+        ordered = _coordinates(df.orderBy("pid") if "pid" in df.columns else df).mapInArrow(pack, "block binary")
+        blocks = (r["block"] for r in ordered.toLocalIterator())
+        write_blocks(spark, path, (b for part in ([file_head(n, color)], blocks) for b in part))
+        return n
+    key = df if "pid" in df.columns else df.withColumn("pid", F.monotonically_increasing_id())
+    placed = with_pid(key.select("pid", *_coordinates(df).columns), "pid", name="nth")
+    placed = placed.select("nth", *[F.col(c).cast("double") for c in placed.columns if c not in ("pid", "nth")])
+    width = 24 + 3 * color
+
+    def place(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([records(batch, color)], pa.binary())], names=["block"])
+            nth, data = batch.column("nth").to_numpy(), records(batch, color)
+            edges = [0, *(np.flatnonzero(np.diff(nth) != 1) + 1).tolist(), len(nth)]
+            runs = [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array([int(nth[a]) * width for a, _ in runs], pa.int64()), pa.array([data[a * width : b * width] for a, b in runs], pa.binary())], names=["offset", "data"])
 
-    n = df.count()
-    ordered = _coordinates(df.orderBy("pid") if "pid" in df.columns else df).mapInArrow(pack, "block binary")
-    blocks = (r["block"] for r in ordered.toLocalIterator())
-    write_blocks(df.sparkSession, path, (b for part in ([file_head(n, color)], blocks) for b in part))
+    n = placed.count()
+    write_at(placed.mapInArrow(place, "offset long, data binary"), own, file_head(n, color), n * width)
     return n
 
 
