@@ -4,7 +4,9 @@ A vocabulary file in the format of the tokenizers library is read once in each w
 follows the library: special tokens are cut out of the raw text, the rest is normalised (NFC, white
 space, lower case), cut into words, and each word's bytes are merged, the lowest rank first and the
 leftmost of equal ranks. Words between white space repeat, so each worker keeps a bounded table of
-those it has encoded.
+those it has encoded. Python's tables of characters are of another version of Unicode than the
+library's; a text with a character that they treat differently is normalised and cut by the library's
+own normaliser and splitter, and merged here.
 
 Defined results: a null text is the empty text and has no tokens; decoding no tokens gives the empty
 text; repeated rows are encoded again; further columns of the input don't matter; a null doc_id
@@ -98,6 +100,11 @@ class Codec:
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"] or spec["decoder"] is not None:
             raise ValueError(f"{path} has another normaliser, splitter or decoder than this codec")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.splitter = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
+        self.same, self.odd = set(map(chr, range(128))), set()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_special = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
@@ -146,6 +153,25 @@ class Codec:
             text = text.replace("Σ", "σ")
         return text.lower()
 
+    def agrees(self, c: str) -> bool:
+        """Whether Python's tables and those of the library give a character the same normal form, class of
+        combination and kind. They are of different versions of Unicode."""
+        for text in (c, f"e\u0301{c}\u0323x", f"a{c}1{c}!{c} {c}e{c}\u0301"):
+            own, theirs = self.normal(text), self.normalizer.normalize_str(text)
+            if " ".join(self.chunks(own)) != theirs.strip(" ") or [w for k in self.chunks(own) for w in self.pattern.findall(k)] != [w for w, _ in self.splitter.pre_tokenize_str(theirs)]:
+                return False
+        return True
+
+    def familiar(self, text: str) -> bool:
+        """Whether all characters of the text are alike in both; each is looked at once."""
+        for c in set(text).difference(self.same):
+            if c in self.odd:
+                return False
+            (self.same if self.agrees(c) else self.odd).add(c)
+            if c in self.odd:
+                return False
+        return True
+
     def chunks(self, text: str) -> list[str]:
         """Words between white space. str.split() also cuts at four control characters, which are
         no white space to the file's patterns."""
@@ -171,6 +197,10 @@ class Codec:
             if special is not None:
                 out.append(special)
                 continue
+            if not part.isascii() and not self.familiar(part):
+                for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part)):
+                    out.extend(self.word(word))
+                continue
             for chunk in self.chunks(self.normal(part)):
                 found = kept.get(chunk)
                 out.extend(self.chunk(chunk) if found is None else found)

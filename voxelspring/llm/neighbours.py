@@ -13,10 +13,10 @@ Before the second pass moves anything, cells whose bound lies below the threshol
 block, candidates are evaluated in the order of their bound, until no bound left can beat, or tie
 with, the threshold or the k-th score found; scores are exact integers, so the result is exact.
 
-Defined results: a vector that is null or empty, or holds a null or non-finite component, and a row
+Defined results: a vector that is null or holds a null or non-finite component, and a row
 with a null id, take no part. Every other row counts, so rows that repeat an id are candidates of
 each other, and queries each for itself. Of vectors of different lengths, the components that one
-lacks count as 0. Ties go to the smaller id. An empty table gives no rows. Further columns of the
+lacks count as 0, so an empty vector scores 0 with all. Ties go to the smaller id. An empty table gives no rows. Further columns of the
 input don't matter.
 """
 
@@ -39,7 +39,7 @@ def integers(vectors: DataFrame, id_column: str, vector_column: str, scale: int)
     """row (any number of its own), id, v (array<long>)."""
     v = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    kept = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & whole)
+    kept = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & whole)
     return kept.select(F.monotonically_increasing_id().alias("row"), "id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
 
 
@@ -257,11 +257,11 @@ ORACLE = """
 WITH ok AS (
   SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
   SELECT q.row AS query_row, q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+         CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
   FROM ok q JOIN ok c ON c.row <> q.row
   WHERE q.vec_id % 100 = 0
 ), ranked AS (
