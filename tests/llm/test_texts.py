@@ -185,7 +185,7 @@ def test_passages_bridge_small_edits():
     edited = words.copy()
     edited[60] = 7
     found = substrings.passages([edited, words[:49], words, words[:3]], [words, words, words[150:], words], 5, 50, 0.8)
-    assert found[0][0][:2] == (0, 200) and found[1] == [] and found[2] == [(150, 50, 1.0)] and found[3] == []
+    assert found[0][0][:2] == (0, 200) and found[1] == [] and found[2] == [(150, 50, 1.0, 0, 50)] and found[3] == []
     assert substrings.cut_out("a b  c d", [(1, 2)]) == "a d" and substrings.cut_out("a b", [(0, 2)]) == ""
 
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import random
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from voxelspring.llm import bpe, neighbours
+from voxelspring.llm import bpe, neighbours, substrings
+from voxelspring.llm.common import words_of
 
 SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -50,3 +54,72 @@ def test_empty_vectors_take_part(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = sorted(map(tuple, neighbours.query(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()))
     assert found == [(100, 1, 7, 0), (100, 2, 8, 0), (100, 3, 200, 0), (200, 1, 7, 0), (200, 2, 8, 0), (200, 3, 100, 0)]
+
+
+def near_pairs(texts: dict[int, list[bytes]]) -> set[tuple[int, int]]:
+    """(later, earlier) documents: 46 shingles in a row of the later one, of which 37 lie within 60 places of the
+    earlier one. Candidates come from an index of all shingles."""
+    at: dict[tuple, dict[int, list[int]]] = {}
+    for doc, words in texts.items():
+        for i in range(len(words) - 4):
+            at.setdefault(tuple(words[i : i + 5]), {}).setdefault(doc, []).append(i)
+    shared: Counter = Counter()
+    for holders in at.values():
+        docs = sorted(holders)
+        shared.update((b, a) for i, a in enumerate(docs) for b in docs[i + 1 :])
+    found = set()
+    for (doc, ref), n in shared.items():
+        if n < 37 or len(texts[doc]) < 50 or len(texts[ref]) < 50:
+            continue
+        places = [at[tuple(texts[doc][i : i + 5])].get(ref) for i in range(len(texts[doc]) - 4)]
+        hits = np.cumsum([0, *(p is not None for p in places)])
+        for i in np.flatnonzero(hits[46:] - hits[:-46] >= 37)[:200].tolist():
+            first = sorted(p for own in places[i : i + 46] if own for p in own[:3])
+            if any(np.searchsorted(first, p + 60) - k >= 37 for k, p in enumerate(first)):
+                found.add((doc, ref))
+                break
+    return found
+
+
+def recall_of_classes(spark, rows: list[tuple[int, str]]) -> tuple[int, float]:
+    """How many near pairs there are, and of how many both documents are in one class of passages."""
+    truth = near_pairs({i: words_of(t) for i, t in rows if t})
+    members: dict[int, set[int]] = {}
+    for r in substrings.linked_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        for doc in (r["doc_id"], r["ref_doc_id"], r["class_doc_id"]):
+            members.setdefault(doc, set()).add(r["class_id"])
+    return len(truth), sum(bool(members.get(a, set()) & members.get(b, set())) for a, b in truth) / max(1, len(truth))
+
+
+def test_near_repeats_of_a_whole_table_are_in_one_class(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    n, recall = recall_of_classes(spark, rows)
+    print(f"near pairs {n}, in one class {recall:.4f}")
+    assert n > 100 and recall >= 0.9
+
+
+@pytest.mark.parametrize(("copies", "changed"), [(40, 1), (40, 2), (200, 2)])
+def test_near_copies_in_fresh_text_are_in_one_class(spark, copies, changed):
+    draw = random.Random(copies + changed)
+    word = lambda: f"w{draw.randrange(50_000)}"
+    base, rows = [word() for _ in range(100)], []
+    for doc in range(copies):
+        passage = list(base)
+        for k in draw.sample(range(100), changed):
+            passage[k] = word()
+        before, after = ([word() for _ in range(draw.randrange(30, 200))] for _ in "ba")
+        rows.append((doc, " ".join(before + passage + after)))
+    n, recall = recall_of_classes(spark, rows + [(900 + i, " ".join(word() for _ in range(300))) for i in range(5)])
+    print(f"{copies} copies, {changed} changed: near pairs {n}, in one class {recall:.4f}")
+    assert n >= copies and recall >= 0.9
+
+
+def test_classes_tell_passages_apart(spark):
+    """Two passages that meet in one document are two classes; what overlaps is one."""
+    words = [[f"{k}{i}" for i in range(60)] for k in "ab"]
+    fresh = lambda k: [f"x{k}_{i}" for i in range(30)]
+    texts = [words[0] + fresh(1), words[1] + fresh(2), words[0] + fresh(3) + words[1], fresh(4) + words[1]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(9, None), (10, "")]
+    found = {(r["doc_id"], r["start_word"]): (r["class_doc_id"], r["class_members"]) for r in substrings.linked_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(2, 0): (0, 2), (2, 90): (1, 3), (3, 30): (1, 3)}
+    assert substrings.linked_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
