@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from voxelspring.llm import bpe, neighbours, substrings
+from voxelspring.llm import bpe, neighbours, substrings, toxicity
 from voxelspring.llm.common import words_of
 
 SF = "/root/testdata/sf0.01"
@@ -123,3 +124,15 @@ def test_classes_tell_passages_apart(spark):
     found = {(r["doc_id"], r["start_word"]): (r["class_doc_id"], r["class_members"]) for r in substrings.linked_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {(2, 0): (0, 2), (2, 90): (1, 3), (3, 30): (1, 3)}
     assert substrings.linked_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_training_reads_whole_texts_and_keeps_both_classes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "Model", lambda texts, labels, bags: (labels, bags))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    long = " ".join(f"unit{i}" for i in range(6000))
+    rows = [(ids[0], long)] + [(ids[1], f"again {k}") for k in range(30)] + [(i, "plain") for i in ids[2:]]
+    marks = [(i, int(i in ids[2:4])) for i in ids]
+    labels, bags = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"), sample=10)
+    assert labels.count(1) == 2 and 0 < labels.count(0) <= 10
+    labels, bags = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"), sample=500)
+    assert len(labels) == len(rows) and max(map(len, bags)) >= 6000

@@ -16,7 +16,7 @@ suspicious unit makes a toxic text likelier. As the margin is linear in the kern
 has one weight in the end, which makes scoring cheap.
 
 Training takes at most `sample` labelled texts of each class, those with the smallest hash of their
-id, and of each text at most UNITS units, those with the smallest hash; these bounds are parameters.
+id; this bound is a parameter. Of a text all units are taken.
 The workers make the units. Every text is scored whole.
 
 Defined results: a null text is the empty text, and both get the score of a text without units; a
@@ -33,15 +33,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from voxelspring.llm.common import crc_bucket, table
 
 SAMPLE = 2_000
-#: Units of a text in training; most texts have fewer.
-UNITS = 2_000
 LANDMARKS, BACKGROUND = 80, 8
 LONGEST, STEP = 24, 12
 #: Occurrences that span more characters than SPAN are left out of the kernel; no unit is longer.
@@ -298,11 +295,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int
 
     def cut_up(batches):
         for batch in batches:
-            bags = [sorted(sorted(units(t), key=xxh3_64_intdigest)[:UNITS]) for t in batch.column("text").to_pylist()]
+            bags = [sorted(units(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("h"), pa.array(bags, pa.list_(pa.string()))], names=["doc_id", "toxic", "h", "bag"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("h"), "text")
-    rows = rows.mapInArrow(cut_up, "doc_id long, toxic int, h long, bag array<string>").orderBy("doc_id", "h").limit(2 * sample).toArrow()
+    # ids that repeat bring more rows; each class keeps its own
+    nth = F.row_number().over(Window.partitionBy(F.col("toxic") > 0).orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= sample).drop("nth")
+    rows = rows.mapInArrow(cut_up, "doc_id long, toxic int, h long, bag array<string>").orderBy("doc_id", "h").toArrow()
     return Model([], [int(t > 0) for t in rows.column("toxic").to_pylist()], rows.column("bag").to_pylist())
 
 
