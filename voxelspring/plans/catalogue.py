@@ -12,7 +12,7 @@ from voxelspring import functions as X
 from voxelspring import sources
 from voxelspring.cloud import bounds, lines_cloud, rounded, vectors_cloud, with_pid
 from voxelspring.operators import blocks, cluster, generate, kmeans, neighbors, normals, plane, polygon, select, voxel
-from voxelspring.plans import sql
+from voxelspring.plans import sql, table_functions
 from voxelspring.plans.sql import RGB, XYZ
 from voxelspring.plans.sql import rounded as R
 from voxelspring.sources.files import ordered_lines
@@ -186,6 +186,7 @@ def _count(c):
     return c.agg(F.count(F.lit(1)).alias("n"))
 
 
+PLANE_DISTANCE = "(0.5*x - 0.25*y + 1.0*z + 2.0) / sqrt(0.5*0.5 + 0.25*0.25 + 1.0)"
 VECTORS = ", ".join(
     R(e, n)
     for e, n in (
@@ -398,9 +399,32 @@ def _shapes(spark, sf_dir):
     return rounded(generate.shapes(spark, 10000, 8, 7))
 
 
+# --- table functions in SQL text
+
+
+@query("sql_subsampling", BEST_POINT.replace("SELECT vx, vy, vz, pid,", "SELECT vx + vy * 1000 + vz * 1000000 AS voxel, pid,"), "L")
+def _sql_subsampling(c):
+    table_functions.register(c)
+    return c.sparkSession.sql("SELECT vx + vy * 1000 + vz * 1000000 AS voxel, pid, x, y, z FROM grid_subsampling(6.0)")
+
+
+@query("sql_plane_segment", f"SELECT cls, count(*) AS n, count(*) FILTER (abs({PLANE_DISTANCE}) <= 20) AS inliers FROM L WHERE {BALL} GROUP BY cls", "L")
+def _sql_segment(c):
+    table_functions.register(c)
+    c.select("pid", "cls").createOrReplaceTempView("classes")
+    text = f"""SELECT cls, count(*) AS n, count_if(is_inlier) AS inliers FROM points_within(25.0, 50.0, 9.0, {RADIUS})
+      JOIN plane_segment(0.5, -0.25, 1.0, 2.0, 20.0) USING (pid) JOIN classes USING (pid) GROUP BY cls"""
+    return c.sparkSession.sql(text)
+
+
+@query("sql_ring", f", {sql.SORTED_RING} SELECT CAST(o AS INTEGER) - 1 AS ord, {R('x')}, {R('y')} FROM P", "E")
+def _sql_ring(c):
+    table_functions.register(c)
+    return c.sparkSession.sql("SELECT ord, x, y FROM sorted_ring(0, 11)")
+
+
 # --- planes
 
-PLANE_DISTANCE = "(0.5*x - 0.25*y + 1.0*z + 2.0) / sqrt(0.5*0.5 + 0.25*0.25 + 1.0)"
 E_HYPOTHESES, L_HYPOTHESES = sql.hypotheses("E", "H", ITERATIONS), sql.hypotheses("L", "H", ITERATIONS)
 
 
