@@ -1,13 +1,15 @@
-"""Single files written by many tasks."""
+"""Single files written by many tasks, and folders of files read with filters."""
 
 from __future__ import annotations
 
 import os
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from voxelspring import sources
+from voxelspring.operators import select
 from voxelspring.sources.onefile import OneFileWriter
 from voxelspring.sources.text import write_one_text
 
@@ -52,3 +54,36 @@ def test_a_repeated_task_and_missing_bytes(tmp_path):
     with pytest.raises(RuntimeError):
         writer.commit(messages[:1])
     assert not os.path.exists(draft)
+
+
+def las_file(path, xs):
+    """A LAS 1.2 file, point format 0, steps of 0.01, at y = x / 2 and z = 1."""
+    head = bytearray(227)
+    head[:4], head[24], head[25] = b"LASF", 1, 2
+    struct.pack_into("<IIBHI", head, 96, 227, 0, 0, 20, len(xs))
+    struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.01, 0, 0, 0)
+    box = [v for c in (xs, [x / 2 for x in xs], [1.0]) for v in (max(c), min(c))]
+    struct.pack_into("<6d", head, 179, *box)
+    path.write_bytes(bytes(head) + b"".join(struct.pack("<iiiHBBbBH", round(x * 100), round(x * 50), 100, 7, 0, 2, 0, 0, 0) for x in xs))
+
+
+def test_filters_leave_out_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "more").mkdir()
+    for i, at in enumerate((0, 100, 200, 300)):
+        las_file(tmp_path / ("more" if i == 3 else ".") / f"{i}.las", [float(at + k) for k in range(50)])
+    whole = sources.read_las(spark, str(tmp_path))
+    assert whole.count() == 200 and whole.rdd.getNumPartitions() == 4
+    near = select.within(whole, (130.0, 65.0, 1.0), 12.0)
+    assert near.rdd.getNumPartitions() == 1
+    assert sorted((r["file"], r["pid"]) for r in near.collect()) == sorted(("1.las", k) for k in range(50) if (k - 30) ** 2 * 1.25 <= 144)
+    assert sources.read_las(spark, str(tmp_path)).where("x > 1000").count() == 0
+    # only a bound on one column leaves files out; other conditions don't
+    assert whole.where("x + y > 448").count() == sum(1.5 * (300 + k) > 448 for k in range(50))
+
+
+def test_a_folder_of_ply_files(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").alias("pid"), *[(F.col("id") * (i + 1)).cast("double").alias(c) for i, c in enumerate("xyz")])
+    files = sources.write_ply_parts(df.repartition(3), str(tmp_path))
+    found = sources.read_ply(spark, str(tmp_path))
+    assert found.count() == 300 and found.select("file").distinct().count() == files.count()
+    assert sorted(r["x"] for r in found.where("z BETWEEN 30 AND 60").collect()) == [float(x) for x in range(10, 21)]

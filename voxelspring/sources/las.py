@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from voxelspring.sources.files import local_path
+from voxelspring.sources.files import Bounds, Range, files_at, local_path, ranges
 
 SCHEMA = "pid long, x double, y double, z double, red int, green int, blue int, intensity int, classification int"
 #: Offset of the colours in a record of each point format; formats without colours give nulls.
@@ -29,7 +30,12 @@ def header(head: bytes, path: str) -> dict:
     if fmt & 0x80:
         raise ValueError(f"{path} is compressed")
     scale, shift = struct.unpack_from("<3d", head, 131), struct.unpack_from("<3d", head, 155)
-    return {"offset": offset, "format": fmt & 0x3F, "size": size, "count": count, "scale": scale, "shift": shift}
+    high_low = struct.unpack_from("<6d", head, 179)
+    box = {c: (high_low[2 * i + 1], high_low[2 * i]) for i, c in enumerate("xyz")}
+    # a writer may leave the box empty, or round it to the steps of the coordinates
+    whole = {c: (-float("inf"), float("inf")) for c in "xyz"}
+    box = {c: (a - s, b + s) for (c, (a, b)), s in zip(box.items(), map(abs, scale), strict=True)} if any(high_low) else whole
+    return {"offset": offset, "format": fmt & 0x3F, "size": size, "count": count, "scale": scale, "shift": shift, "box": box}
 
 
 def local_header(path: str) -> dict:
@@ -52,25 +58,33 @@ def points(data: bytes, head: dict, first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-class Range(InputPartition):
-    def __init__(self, first: int, count: int):
-        super().__init__((first, count))
-        self.first, self.count = first, count
-
-
 class LasReader(DataSourceReader):
+    """The records of one file or of all in a folder; files whose box no filter's range meets aren't read,
+    and records outside the ranges aren't handed on."""
+
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.bounds, self.many = options["path"], Bounds(), options.get("many") == "true"
+
+    def pushFilters(self, filters):
+        self.bounds.take(filters)
+        return filters  # Spark decides on each row
 
     def partitions(self):
-        n = local_header(self.path)["count"]
-        return [Range(a, min(RECORDS, n - a)) for a in range(0, n, RECORDS)] or [Range(0, 0)]
+        out = []
+        for path in files_at(self.path, ".las"):
+            head = local_header(path)
+            if self.bounds.meets(head["box"]):
+                out += ranges(path, head["count"], RECORDS)
+        return out or [Range("", 0, 0)]
 
     def read(self, part):
-        head = local_header(self.path)
-        with open(self.path, "rb") as f:
+        if not part.count:
+            return
+        head = local_header(part.path)
+        with open(part.path, "rb") as f:
             f.seek(head["offset"] + part.first * head["size"])
-            yield points(f.read(part.count * head["size"]), head, part.first)
+            batch = self.bounds.kept(points(f.read(part.count * head["size"]), head, part.first))
+        yield batch.append_column("file", pa.array([os.path.basename(part.path)] * len(batch))) if self.many else batch
 
 
 class LasSource(DataSource):
@@ -79,19 +93,22 @@ class LasSource(DataSource):
         return "las_points"
 
     def schema(self):
-        return SCHEMA
+        return SCHEMA + (", file string" if self.options.get("many") == "true" else "")
 
     def reader(self, schema):
         return LasReader(self.options)
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Scaled coordinates and 16-bit colours of one file. A path that open() takes on every executor is read
-    by ranges of records; any other by Spark's reader of binary files, in one task and up to 2 GB."""
+    """Scaled coordinates and 16-bit colours of one file, or of all files of a folder, with `file` then; pid is
+    a record's place in its file. A path that open() takes on every executor is read by ranges of records,
+    and filters on x, y and z leave files out by the boxes of their headers; any other path, one file, by
+    Spark's reader of binary files, in one task and up to 2 GB."""
     own = local_path(path)
     if own is not None:
         spark.dataSource.register(LasSource)
-        return spark.read.format("las_points").option("path", own).load()
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        return spark.read.format("las_points").option("path", own).option("many", str(os.path.isdir(own)).lower()).load()
 
     def decoded(batches):
         for batch in batches:

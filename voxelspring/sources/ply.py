@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from voxelspring.cloud import with_pid
-from voxelspring.sources.files import first_bytes, local_path, ordered_lines, write_blocks
+from voxelspring.sources.files import Bounds, Range, files_at, first_bytes, local_path, ordered_lines, ranges, write_blocks
 from voxelspring.sources.onefile import write_at
 
 #: Kinds of properties and their numpy types. Fixed values.
@@ -62,26 +62,29 @@ def points(data: bytes, head: dict, first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["pid", *rec.dtype.names])
 
 
-class Range(InputPartition):
-    def __init__(self, first: int, count: int):
-        super().__init__((first, count))
-        self.first, self.count = first, count
-
-
 class PlyReader(DataSourceReader):
+    """The vertices of one binary file or of all in a folder; those outside the ranges that filters leave
+    aren't handed on."""
+
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.bounds = options["path"], Bounds()
+
+    def pushFilters(self, filters):
+        self.bounds.take(filters)
+        return filters  # Spark decides on each row
 
     def partitions(self):
-        n = local_header(self.path)["count"]
-        return [Range(a, min(RECORDS, n - a)) for a in range(0, n, RECORDS)] or [Range(0, 0)]
+        return [r for path in files_at(self.path, ".ply") for r in ranges(path, local_header(path)["count"], RECORDS)] or [Range("", 0, 0)]
 
     def read(self, part):
-        head = local_header(self.path)
+        if not part.count:
+            return
+        head = local_header(part.path)
         size = np.dtype(head["properties"]).itemsize
-        with open(self.path, "rb") as f:
+        with open(part.path, "rb") as f:
             f.seek(head["body"] + part.first * size)
-            yield points(f.read(part.count * size), head, part.first)
+            batch = self.bounds.kept(points(f.read(part.count * size), head, part.first))
+        yield batch.append_column("file", pa.array([os.path.basename(part.path)] * len(batch))) if os.path.isdir(self.path) else batch
 
 
 class PlySource(DataSource):
@@ -90,17 +93,24 @@ class PlySource(DataSource):
         return "ply_points"
 
     def schema(self):
-        return schema_of(local_header(self.options["path"]))
+        path = self.options["path"]
+        return schema_of(local_header(files_at(path, ".ply")[0])) + (", file string" if os.path.isdir(path) else "")
 
     def reader(self, schema):
         return PlyReader(self.options)
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """pid and every vertex property as double, from one file. ASCII bodies are read by lines, in parts. Of
+    """pid and every vertex property as double, from one file, or from all binary files of a folder, which have
+    the same properties, with `file` then. ASCII bodies are read by lines, in parts. Of
     binary ones, a path that open() takes on every executor is read by ranges of records; any other by
     Spark's reader of binary files, in one task and up to 2 GB."""
-    own, head = local_path(path), header(first_bytes(spark, path, HEADER), path)
+    own = local_path(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if own is not None and os.path.isdir(own):
+        spark.dataSource.register(PlySource)
+        return spark.read.format("ply_points").option("path", own).load()
+    head = header(first_bytes(spark, path, HEADER), path)
     if head["format"] == "ascii":
         lines = with_pid(ordered_lines(spark, path), "split", "at", name="line")
         nth, parts = F.col("line") - head["lines"], F.split(F.trim("value"), r"\s+")
