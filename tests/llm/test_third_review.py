@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from voxelspring.llm import bpe, neighbours, substrings, toxicity
+from voxelspring.llm import bpe, chat, neighbours, substrings, toxicity
 from voxelspring.llm.common import words_of
 
 SF = "/root/testdata/sf0.01"
@@ -136,3 +137,27 @@ def test_training_reads_whole_texts_and_keeps_both_classes(spark, monkeypatch):
     assert labels.count(1) == 2 and 0 < labels.count(0) <= 10
     labels, bags = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"), sample=500)
     assert len(labels) == len(rows) and max(map(len, bags)) >= 6000
+
+
+def test_a_chain_of_many_calls_is_ordered_in_a_minute(spark):
+    n = 30_000
+    calls = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "0 AS place", "CAST(id AS string) AS call_id", "IF(id = 0, array(), array(CAST(id - 1 AS string))) AS depends_on")
+    began = time.time()
+    found = {int(r["call_id"]): r["level"] for r in chat.levels(calls).collect()}
+    assert found == {i: i for i in range(n)} and time.time() - began < 60
+
+
+def test_levels_over_blocks_equal_those_of_a_whole_conversation(spark):
+    draw, rows = random.Random(8), []
+    for conv in range(3):
+        ids = [f"c{i}" for i in range(60)]
+        for i, c in enumerate(ids):
+            needs = [ids[draw.randrange(max(1, i))] for _ in range(draw.randrange(3)) if i]
+            needs += [draw.choice(ids)] if draw.random() < 0.04 else []
+            needs += ["nobody"] if draw.random() < 0.05 else []
+            rows.append((conv, i, 0, c, needs))
+    rows += [(9, 0, 0, "x", ["y"]), (9, 1, 0, "y", ["x"]), (9, 2, 0, "z", ["y", "q", "q"]), (9, 3, 0, "free", [])]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, place int, call_id string, depends_on array<string>")
+    whole = sorted(map(tuple, chat.levels(calls).collect()), key=str)
+    assert sorted(map(tuple, chat.levels_by_rounds(calls, 7).collect()), key=str) == whole
+    assert {r[1]: r[2:] for r in whole if r[0] == 9} == {"x": (None, 0), "y": (None, 0), "z": (None, 1), "free": (0, 0)}

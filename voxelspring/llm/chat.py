@@ -3,7 +3,7 @@
 Calls and results are two tables. A result is linked to the call with its identifier by a hash join;
 calls name the calls they depend on: a call is ready once all it depends on are ordered, and its level
 is the longest way there. Conversations are ordered whole, a row for each, up to GROUP calls and
-dependencies; longer ones in rounds over tables, a level a round. Arguments are validated against the
+dependencies; longer ones in blocks of as many calls, in rounds between the blocks. Arguments are validated against the
 tool's schema, and each call with its result becomes one line of canonical JSON (sorted keys, no
 spare white space, RFC 8259 escapes).
 
@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspring.llm.common import stored, table
+from voxelspring.cloud import with_pid
+from voxelspring.llm.common import drop_stored, stored, table
 
 #: JSON-Schema subset: type, required, properties, additionalProperties, enum, bounds.
 SCHEMAS = {
@@ -230,7 +231,7 @@ def order_of(ids: list[str], needs: list[list[str]]) -> tuple[list[int | None],
 
 def levels(calls: DataFrame, group: int = GROUP) -> DataFrame:
     """conv_id, call_id, level, unknown (dependencies that name no call); level is null in circles."""
-    own = calls.select("conv_id", "call_id", "depends_on")
+    own = calls.select("conv_id", *[c for c in ("turn", "place") if c in calls.columns], "call_id", "depends_on")
     sizes = own.groupBy("conv_id").agg(F.sum(1 + F.size("depends_on")).alias("size"))
     long = stored(sizes.where(F.col("size") > group).select("conv_id"))
     whole = own.join(long, "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list("call_id").alias("ids"), F.collect_list("depends_on").alias("needs"))
@@ -246,29 +247,58 @@ def levels(calls: DataFrame, group: int = GROUP) -> DataFrame:
     found = whole.mapInArrow(ordered, "conv_id long, call_id string, level long, unknown long")
     if not long.limit(1).count():
         return found
-    return found.union(levels_by_rounds(own.join(long, "conv_id", "left_semi")).select("conv_id", "call_id", "level", "unknown"))
-
-
-def levels_by_rounds(calls: DataFrame) -> DataFrame:
-    """The same for conversations of any length: each round orders what waits for nothing any more."""
-    named = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
-    known = calls.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("known"))
-    edges = stored(named.join(known, ["conv_id", "needs"], "left"))
-    unknown = edges.where("known IS NULL").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("unknown"))
-    left = edges.where("known").select("conv_id", "call_id", "needs")
-    ids = calls.select("conv_id", "call_id")
-    ready = stored(ids.join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")))
-    done, level = ready, 0
-    while ready is not None:
-        level += 1
-        # dependencies on what was ordered in the last round are met
-        still = stored(left.join(ready.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti").select("conv_id", "call_id", "needs"))
-        freed = stored(left.select("conv_id", "call_id").distinct().join(still.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")))
-        left, ready = still, freed if freed.limit(1).count() else None
-        if ready is not None:
-            done = done.union(ready)
-    out = ids.join(done, ["conv_id", "call_id"], "left").join(unknown, ["conv_id", "call_id"], "left")
-    return out.withColumn("unknown", F.coalesce("unknown", F.lit(0)))
+    return found.union(levels_by_rounds(own.join(long, "conv_id", "left_semi"), group))
+
+
+def levels_by_rounds(calls: DataFrame, group: int = GROUP) -> DataFrame:
+    """The same for conversations of any length. Their calls are numbered in the order of turns and cut into
+    blocks of `group`. In a round each block orders all that it can with the levels that others have found,
+    however long its own chains are; so there are as many rounds as the longest way goes from block to block,
+    one or two where calls depend on earlier ones close by."""
+    order = [c for c in ("turn", "place") if c in calls.columns]
+    own = with_pid(calls.select("conv_id", *order, "call_id", "depends_on"), "conv_id", *order, "call_id", name="number")
+    own = stored(own.select("conv_id", "call_id", "depends_on", "number", F.floor(F.col("number") / group).alias("block")))
+    named = own.select("conv_id", "number", "block", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    at = own.select("conv_id", F.col("call_id").alias("needs"), F.col("number").alias("dep"), F.col("block").alias("dep_block"))
+    edges = stored(named.join(at, ["conv_id", "needs"], "left").select("number", "block", "dep", "dep_block"))
+    unknown = edges.where("dep IS NULL").groupBy("number").agg(F.count(F.lit(1)).alias("unknown"))
+    needs = edges.where("dep IS NOT NULL").groupBy("number").agg(F.collect_list("dep").alias("deps"))
+    nodes = stored(own.select("block", "number").join(needs, "number", "left"))
+    outside = stored(edges.where("block <> dep_block").select("block", "dep").distinct())
+
+    def ordered(mine: pa.Table, given: pa.Table) -> pa.Table:
+        ids, deps = mine.column("number").to_pylist(), mine.column("deps").to_pylist()
+        level = dict(zip(given.column("dep").to_pylist(), given.column("level").to_pylist(), strict=True))
+        after: dict[int, list[int]] = {}
+        waiting, most = {}, {}
+        for i, own in zip(ids, deps, strict=True):
+            open_ = [d for d in own or [] if d not in level]
+            waiting[i], most[i] = len(open_), max((level[d] + 1 for d in own or [] if d in level), default=0)
+            for d in open_:
+                after.setdefault(d, []).append(i)
+        ready, found = [i for i in ids if not waiting[i]], {}
+        while ready:
+            i = ready.pop()
+            found[i] = most[i]
+            for j in after.get(i, []):
+                most[j] = max(most[j], most[i] + 1)
+                waiting[j] -= 1
+                if not waiting[j]:
+                    ready.append(j)
+        return pa.table({"number": pa.array([*found], pa.int64()), "level": pa.array([*found.values()], pa.int64())})
+
+    found, before = calls.sparkSession.createDataFrame([], "number long, level long"), -1
+    while True:
+        given = outside.join(found, F.col("dep") == F.col("number")).select("block", "dep", "level")
+        after = stored(nodes.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(ordered, "number long, level long"))
+        n = after.count()
+        if n == before:
+            break
+        if before >= 0:
+            drop_stored(found)
+        found, before = after, n
+    out = own.join(found, "number", "left").join(unknown, "number", "left")
+    return out.select("conv_id", "call_id", "level", F.coalesce("unknown", F.lit(0)).alias("unknown"))
 
 
 def format_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, group: int = GROUP) -> DataFrame:
