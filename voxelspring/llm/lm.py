@@ -12,7 +12,8 @@ probability that is also reported by itself. Word counts are kept exactly, as th
 
 Filter and word counts go to the workers by broadcast while they stay under `broadcast_limit`
 bytes. Beyond it the same filter is probed where its shards are: chunks of texts send their
-distinct hashes to the shards and get the counts back. Both ways give the same scores.
+distinct hashes to the shards, as compressed differences, and get the levels back. Both ways give
+the same scores.
 
 Defined results: a null text is the empty text and has the end token alone; a null doc_id counts as
 the empty text when rows are dealt into training and held-out; repeated rows count again; without
@@ -35,7 +36,7 @@ BITS, PROBES = 10, 4
 MAX_LEVEL = 48
 BROADCAST_LIMIT = 256 << 20
 #: Tokens counted at once by a task, tokens in a chunk of the sharded way, entries in a shard.
-FLUSH, CHUNK, SHARD = 600_000, 400_000, 1_000_000
+FLUSH, CHUNK, SHARD = 1_200_000, 1_200_000, 1_000_000
 END = np.uint64(0x1F3D5B79)
 START = np.uint64(0x2E4C6A88)
 
@@ -51,10 +52,82 @@ def pairs(of: np.ndarray) -> np.ndarray:
     return mix64(before * np.uint64(0x9E3779B97F4A7C15) + (of ^ (of >> np.uint64(31))))
 
 
+#: Low bits of a pair's place that tell it from others of its shard; its shard lies above them.
+PLACE = np.uint64(32)
+KEY = np.uint64((1 << 32) - 1)
+
+
+def places(of: np.ndarray, shards: int) -> np.ndarray:
+    """For each pair hash its shard and, below, the 32 bits by which the shard knows it. Shards grow in number
+    with the texts and hold about SHARD pairs, so a new pair has the bits of another in one case of 4,000 at
+    most; the filter itself errs in one of 80."""
+    h = mix64(of)
+    return ((h >> PLACE) % np.uint64(shards)) << PLACE | (h & KEY)
+
+
+def cut(sorted_places: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's places begin, and the end."""
+    return np.searchsorted(sorted_places, np.arange(shards + 1, dtype=np.uint64) << PLACE)
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def loosened(data: bytes) -> bytes:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
+def planes(of: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: the high ones compress well."""
+    return of.view(np.uint8).reshape(len(of), of.itemsize).T.tobytes()
+
+
+def numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
+
+
+def packed(of: np.ndarray, kind: type = np.uint32) -> bytes:
+    """Sorted numbers, as their differences: places of one shard without the shard, or word hashes (uint64)."""
+    return squeezed(planes(np.diff(of.astype(kind), prepend=kind(0))))
+
+
+def unpacked(data: bytes, shard: int | None = None) -> np.ndarray:
+    """What packed() had: places of the shard, or without one word hashes."""
+    if shard is None:
+        return np.cumsum(numbers(loosened(data), np.uint64), dtype=np.uint64)
+    return np.uint64(shard) << PLACE | np.cumsum(numbers(loosened(data), np.uint32), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count; those from 255 on follow in full."""
+    return squeezed(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes())
+
+
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    data = loosened(data)
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[n:], np.int64)
+    return out
+
+
+def middle(levels: np.ndarray) -> np.ndarray:
+    """The count that a level stands for; 0 for none."""
+    levels = levels.astype(np.int64)
+    return np.where(levels > 0, (np.exp2(np.maximum(levels, 1) - 1.0) + np.exp2(np.maximum(levels, 1) * 1.0) - 1) / 2, 0.0)
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((mix64(hashes) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
+def by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct words by shard, and in it by hash, and where each shard's begin."""
+    to = shard_of(words, shards)
+    order = np.lexsort((words, to))
+    return order, np.searchsorted(to[order], np.arange(shards + 1))
+
+
 def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(hashes):
         return hashes.astype(np.uint64), counts.astype(np.int64)
@@ -70,7 +143,7 @@ def positions(hashes: np.ndarray, level: int, probe: int, bits: np.ndarray | int
 
 
 class Filter:
-    """Bits of one shard, or of all with `offset` and `size` of each in bits."""
+    """Bits of one shard, or of all with `offset` and `size` of each in bits; then places tell the shard."""
 
     def __init__(self, bits: np.ndarray, offset: np.ndarray, size: np.ndarray):
         self.bits, self.offset, self.size = bits, offset, size
@@ -86,9 +159,9 @@ class Filter:
                 marks[positions(own, level, probe, size)] = 1
         return cls(np.packbits(marks, bitorder="little"), np.zeros(1, np.int64), np.array([size]))
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """The middle of each hash's level; 0 where the first level is missing."""
-        shards = shard_of(hashes, len(self.size)) if len(self.size) > 1 else np.zeros(len(hashes), np.int64)
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's level; 0 where the first is missing."""
+        shards = (hashes >> PLACE).astype(np.int64) if len(self.size) > 1 else np.zeros(len(hashes), np.int64)
         level_of = np.zeros(len(hashes), dtype=np.int64)
         left = np.arange(len(hashes))
         for level in range(1, MAX_LEVEL + 1):
@@ -98,7 +171,11 @@ class Filter:
             if not len(left):
                 break
             level_of[left] = level
-        return np.where(level_of > 0, (np.exp2(np.maximum(level_of, 1) - 1.0) + np.exp2(np.maximum(level_of, 1) * 1.0) - 1) / 2, 0.0)
+        return level_of
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """The middle of each hash's level; 0 where the first level is missing."""
+        return middle(self.levels(hashes))
 
 
 def lookup(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -120,7 +197,7 @@ class Model:
 
     def __init__(self, shards: DataFrame, count: int):
         self.shards, self.count = shards, count
-        found = shards.agg(F.sum("distinct"), F.sum("total"), F.sum("texts"), F.sum(F.octet_length("words") + F.octet_length("counts") + F.octet_length("bits"))).first()
+        found = shards.agg(F.sum("distinct"), F.sum("total"), F.sum("texts"), F.sum(16 * F.col("distinct") + F.octet_length("bits"))).first()
         self.distinct, self.total, self.texts, self.bytes = (int(x or 0) for x in found)
 
     def gathered(self) -> tuple[np.ndarray, np.ndarray, Filter]:
@@ -133,8 +210,8 @@ class Model:
         bits = np.zeros(int(offset[-1]) // 8, dtype=np.uint8)
         words, counts, at = np.zeros(self.distinct, np.uint64), np.zeros(self.distinct, np.int64), 0
         for r in self.shards.select("shard", "words", "counts", "bits").toLocalIterator():
-            own = np.frombuffer(r["words"], np.uint64)
-            words[at : at + len(own)], counts[at : at + len(own)] = own, np.frombuffer(r["counts"], np.int64)
+            own = unpacked(r["words"])
+            words[at : at + len(own)], counts[at : at + len(own)] = own, unpacked_counts(r["counts"], len(own))
             at += len(own)
             begin = int(offset[r["shard"]]) // 8
             bits[begin : begin + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
@@ -152,15 +229,12 @@ def train(texts: DataFrame) -> Model:
         kept: list[np.ndarray] = []
 
         def flush():
-            ones = lambda a: np.ones(len(a), np.int64)
-            rows = []
-            for kind, arrays in ((0, kept), (1, [pairs(t) for t in kept])):
-                h = np.concatenate(arrays)
-                h, c = summed(h, ones(h))
-                to = shard_of(h, shards)
-                order = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[order], np.arange(shards + 1))
-                rows += [(s, kind, h[order[a:b]].tobytes(), c[order[a:b]].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            h, c = np.unique(np.concatenate(kept), return_counts=True)
+            order, edges = by_shard(h, shards)
+            rows = [(s, 0, packed(h[order[a:b]], np.uint64), packed_counts(c[order[a:b]])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            h, c = np.unique(places(np.concatenate([pairs(t) for t in kept]), shards), return_counts=True)
+            edges = cut(h, shards)
+            rows += [(s, 1, packed(h[a:b]), packed_counts(c[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
             kept.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "kind", "hashes", "counts"])
 
@@ -176,11 +250,14 @@ def train(texts: DataFrame) -> Model:
             yield flush()
 
     def merged(t: pa.Table) -> pa.Table:
-        kind = t.column("kind").to_numpy()
-        h, c = t.column("hashes").to_pylist(), t.column("counts").to_pylist()
-        (w, wc), (p, pc) = (summed(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h[i], np.uint64) for i in np.flatnonzero(kind == k))]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c[i], np.uint32) for i in np.flatnonzero(kind == k))])) for k in (0, 1))
+        parts: dict[int, list] = {0: [], 1: []}
+        shard = t.column("shard")[0].as_py()
+        for kind, h, c in zip(*(t.column(n).to_pylist() for n in ("kind", "hashes", "counts")), strict=True):
+            h = unpacked(h, shard if kind else None)
+            parts[kind].append((h, unpacked_counts(c, len(h))))
+        (w, wc), (p, pc) = (summed(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts[k])]), np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts[k])])) for k in (0, 1))
         own = Filter.of(p, pc)
-        return pa.table({"shard": t.column("shard")[:1], "words": pa.array([w.tobytes()], pa.binary()), "counts": pa.array([wc.tobytes()], pa.binary()), "bits": pa.array([own.bits.tobytes()], pa.binary()), "size": pa.array([int(own.size[0])], pa.int64()), "distinct": pa.array([len(w)], pa.int64()), "total": pa.array([int(wc.sum())], pa.int64()), "texts": pa.array([int(lookup(np.array([END]), w, wc)[0])], pa.int64())})
+        return pa.table({"shard": t.column("shard")[:1], "words": pa.array([packed(w, np.uint64)], pa.binary()), "counts": pa.array([packed_counts(wc)], pa.binary()), "bits": pa.array([own.bits.tobytes()], pa.binary()), "size": pa.array([int(own.size[0])], pa.int64()), "distinct": pa.array([len(w)], pa.int64()), "total": pa.array([int(wc.sum())], pa.int64()), "texts": pa.array([int(lookup(np.array([END]), w, wc)[0])], pa.int64())})
 
     made = texts.select(F.col("text").cast("string")).mapInArrow(counted, "shard long, kind long, hashes binary, counts binary").groupBy("shard").applyInArrow(merged, "shard long, words binary, counts binary, bits binary, size long, distinct long, total long, texts long")
     return Model(stored(made), shards)
@@ -205,7 +282,7 @@ def rows_scored(ids, held, docs: list[np.ndarray], cv: np.ndarray, cuv: np.ndarr
 
 
 def score_by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((*model.gathered(), model.total, model.distinct, model.texts))
+    sent, shards = docs.sparkSession.sparkContext.broadcast((*model.gathered(), model.total, model.distinct, model.texts)), model.count
 
     def run(batches):
         words, counts, pair_filter, total, distinct, texts = sent.value
@@ -216,7 +293,7 @@ def score_by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
                 flat = np.concatenate(own)
                 unique, back = np.unique(flat, return_inverse=True)
                 cv = lookup(unique, words, counts)[back]
-                both = np.concatenate([pairs(t) for t in own])
+                both = places(np.concatenate([pairs(t) for t in own]), shards)
                 out = rows_scored(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), own, cv, pair_filter.counts(both), total, distinct, texts)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, TYPES, strict=True)], names=NAMES)
 
@@ -224,7 +301,8 @@ def score_by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_by_shards(docs: DataFrame, model: Model) -> DataFrame:
-    """Chunks of texts ask the shards for the counts of their distinct hashes."""
+    """Chunks of texts ask the shards for the counts of their distinct hashes. A chunk's texts, as places in its
+    list of words, go along with the questions, so nothing is stored or made twice on the way."""
     shards, total, distinct, texts = model.count, model.total, model.distinct, model.texts
     fields = "chunk long, shard long, kind long, first binary, second binary"
     names, types = ["chunk", "shard", "kind", "first", "second"], (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -233,21 +311,25 @@ def score_by_shards(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def asked(batches):
-        """Of each chunk: its texts' structure (kind 2, to no shard) and questions (0 words, 1 pairs)."""
-        made, chunk, ids, held, own, n = 0, TaskContext.get().partitionId() << 32, [], [], [], 0
+        """Of each chunk: questions (kind 0 words, 1 pairs), by shard and within it in order, and its texts
+        (kind 2, to any shard): ids, and the place of each token in the list of words."""
+        made, task, ids, held, own, n = 0, TaskContext.get().partitionId(), [], [], [], 0
 
         def flush():
-            rows = []
-            flat = {0: np.concatenate(own), 1: np.concatenate([pairs(t) for t in own])}
-            back = {}
-            for kind, h in flat.items():
-                unique, back[kind] = np.unique(h, return_inverse=True)
-                to = shard_of(unique, shards)
-                order = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[order], np.arange(shards + 1))
-                rows += [(chunk + made, s, kind, unique[order[a:b]].tobytes(), order[a:b].astype(np.int64).tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            chunk = (task << 32) + made
+            words, back, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            order, edges = by_shard(words, shards)
+            rows = [(chunk, s, 0, packed(words[order[a:b]], np.uint64), b"") for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            # places in the list of words, frequent ones first: most are small numbers then
+            first = np.argsort(-often[order], kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[order[first]] = np.arange(len(words))
+            text = planes(first.astype(np.uint32)) + planes(rank[back])
+            both = np.unique(places(np.concatenate([pairs(t) for t in own]), shards))
+            edges = cut(both, shards)
+            rows += [(chunk, s, 1, packed(both[a:b]), b"") for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
             head = np.array([[-1 if i is None else i, i is None, bool(h), len(t)] for i, h, t in zip(ids, held, own, strict=True)], dtype=np.int64)
-            return batch_of([*rows, (chunk + made, -1, 2, head.tobytes(), np.stack([back[0], back[1]]).astype(np.int32).tobytes())])
+            return batch_of([*rows, (chunk, chunk % shards, 2, head.tobytes(), len(words).to_bytes(4, "little") + squeezed(text))])
 
         for batch in batches:
             for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
@@ -259,36 +341,45 @@ def score_by_shards(docs: DataFrame, model: Model) -> DataFrame:
         if own:
             yield flush()
 
-    def answered(questions: pa.Table, shard: pa.Table) -> pa.Table:
+    def answered(key, questions: pa.Table, shard: pa.Table) -> pa.Table:
+        """Words with their counts, levels of pairs; texts pass."""
         if not len(questions):
             return questions
+        nth = key[0].as_py()
+        words, counts, own = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
         if len(shard):
-            words, counts = (np.frombuffer(shard.column(c)[0].as_py(), t) for c, t in (("words", np.uint64), ("counts", np.int64)))
+            words = unpacked(shard.column("words")[0].as_py())
+            counts = unpacked_counts(shard.column("counts")[0].as_py(), len(words))
             own = Filter(np.frombuffer(shard.column("bits")[0].as_py(), np.uint8), np.zeros(1, np.int64), np.array([shard.column("size")[0].as_py()]))
-        out = []
-        for kind, h in zip(questions.column("kind").to_pylist(), questions.column("first").to_pylist(), strict=True):
-            h = np.frombuffer(h, np.uint64)
-            found = np.zeros(len(h)) if not len(shard) else own.counts(h) if kind else lookup(h, words, counts).astype(np.float64)
-            out.append(found.astype(np.float64).tobytes())
-        return questions.set_column(3, "first", pa.array(out, pa.binary()))
+        out, also = [], questions.column("second").to_pylist()
+        for i, (kind, data) in enumerate(zip(questions.column("kind").to_pylist(), questions.column("first").to_pylist(), strict=True)):
+            if kind == 0:
+                also[i] = squeezed(planes(lookup(unpacked(data), words, counts).astype(np.int64)))
+            elif kind == 1:
+                h = unpacked(data, nth)
+                data = squeezed((np.zeros(len(h)) if own is None else own.levels(h)).astype(np.uint8).tobytes())
+            out.append(data)
+        return questions.set_column(3, "first", pa.array(out, pa.binary())).set_column(4, "second", pa.array(also, pa.binary()))
 
     def finished(t: pa.Table) -> pa.Table:
-        kinds, first, second = (t.column(c).to_pylist() for c in ("kind", "first", "second"))
-        at = kinds.index(2)
-        head = np.frombuffer(first[at], np.int64).reshape(-1, 4)
-        back = np.frombuffer(second[at], np.int32).reshape(2, -1)
-        values = [np.zeros(int(b.max()) + 1) for b in back]
-        for kind, f, s in zip(kinds, first, second, strict=True):
-            if kind < 2:
-                values[kind][np.frombuffer(s, np.int64)] = np.frombuffer(f, np.float64)
-        lengths = head[:, 3]
-        out = rows_scored([None if r[1] else int(r[0]) for r in head], [bool(r[2]) for r in head], [np.empty(n) for n in lengths], values[0][back[0]], values[1][back[1]], total, distinct, texts)
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("kind", "shard", "first", "second")), strict=True), key=lambda r: r[:2])
+        first, second = next(r[2:] for r in rows if r[0] == 2)
+        head = np.frombuffer(first, np.int64).reshape(-1, 4)
+        n, text = int.from_bytes(second[:4], "little"), loosened(second[4:])
+        # answers, by shard, are in the order of by_shard() and of distinct pairs
+        words, counts = (np.concatenate(x) for x in zip(*((unpacked(r[2]), numbers(loosened(r[3]), np.int64)) for r in rows if r[0] == 0), strict=True))
+        levels = np.frombuffer(b"".join(loosened(r[2]) for r in rows if r[0] == 1), np.uint8)
+        back = numbers(text[: 4 * n], np.uint32)[numbers(text[4 * n :], np.uint32)]
+        flat, ends = words[back], np.cumsum(head[:, 3])
+        both = np.concatenate([pairs(flat[e - k : e]) for e, k in zip(ends, head[:, 3], strict=True)])
+        at = np.unique(places(both, shards), return_inverse=True)[1]
+        cv = counts[back].astype(np.float64)
+        out = rows_scored([None if r[1] else int(r[0]) for r in head], [bool(r[2]) for r in head], [np.empty(k) for k in head[:, 3]], cv, middle(levels)[at], total, distinct, texts)
         return pa.table([pa.array(v, t) for v, t in zip(out, TYPES, strict=True)], names=NAMES)
 
-    rows = stored(docs.mapInArrow(asked, fields))  # once: a chunk's number depends on its task
-    ask, head = rows.where("shard >= 0"), rows.where("shard < 0")
-    answers = ask.groupBy("shard").cogroup(model.shards.select("shard", "words", "counts", "bits", "size").groupBy("shard")).applyInArrow(answered, fields)
-    return answers.union(head).groupBy("chunk").applyInArrow(finished, SCHEMA)
+    rows = docs.mapInArrow(asked, fields)
+    answers = rows.groupBy("shard").cogroup(model.shards.select("shard", "words", "counts", "bits", "size").groupBy("shard")).applyInArrow(answered, fields)
+    return answers.groupBy("chunk").applyInArrow(finished, SCHEMA)
 
 
 def score_documents(docs: DataFrame, buckets: int = 7, held_bucket: int = 2, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
