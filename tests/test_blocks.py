@@ -102,3 +102,23 @@ def test_kept_tables_follow_their_file(spark, tmp_path):
     assert kept.get(spark, path, "n", make).count() == 3 and kept.get(spark, path, "n", make).count() == 3 and len(made) == 1
     spark.range(5).write.mode("append").parquet(path)
     assert kept.get(spark, path, "n", make).count() == 8 and len(made) == 2
+
+
+def test_planes_over_many_blocks_of_a_batch_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, own = 4_000, np.random.default_rng(3).normal(size=(500, 4))
+    at = np.random.default_rng(4).normal(size=(n, 3))
+    points = pa.array([[{"x": x, "y": y, "z": z}] for x, y, z in at.tolist()])
+    sides = [pa.array(at[:, i]) for i in range(3) for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int64)), *sides, points], names=["n", *plane.SIDES, "points"])
+    total, evaluated, step = np.zeros(500, np.int64), np.zeros(500, np.int64), max(1, plane.TOGETHER // 8 // 500)
+    tracemalloc.start()
+    for a in range(0, n, step):
+        plane._add_blocks(batch.slice(a, step), own, 0.5, total, evaluated)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (total == (np.abs(at @ own[:, :3].T + own[:, 3]) <= 0.5).sum(axis=0)).all()
+    assert peak < 8 * n * len(own)  # less than one interval's side for each block and plane
