@@ -73,3 +73,21 @@ def test_odd_clouds(spark):
     holes = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, None, 0.0, 0.0), (2, 4.0, float("nan"), 0.0), (3, 9.0, 0.0, 0.0)], SCHEMA)
     found, total = cluster.kmeans(holes, ["x", "y"], 2)
     assert sorted(r["pid"] for r in found.collect()) == [0, 3] and total == 0.0
+
+
+def test_few_centres_need_no_index(spark, monkeypatch):
+    rows = spots(700) + [(4.5, 0.0, 0.0)] * 3
+    own = cloud(spark, rows)
+    monkeypatch.setattr(kmeans, "SMALL", 0)
+
+    def none(*_, **__):
+        raise AssertionError("an index of all points for three centres")
+
+    monkeypatch.setattr(kmeans, "packed", none)
+    found, total = cluster.kmeans(own, ["x", "y", "z"], 3, digits=9)
+    labels, wcss = plain_rounds(rows, plain_seeds(rows, 3, 42), 60)
+    assert [r["label"] for r in found.orderBy("pid").collect()] == labels.tolist() and total == pytest.approx(wcss)
+    # a tie after rounding goes to the smaller label, though the other is nearer by less than counts
+    at = np.array([[0.0, 0.0, 0.0], [2.0 - 1e-12, 0.0, 0.0]])
+    tie = kmeans.labelled(cloud(spark, [(1, 0, 0), (1.1, 0, 0)]), ["x", "y", "z"], at, 9).orderBy("pid").collect()
+    assert [r["label"] for r in tie] == [0, 1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxelspring.cloud import XYZ, squared_distance
 from voxelspring.operators.blocks import finite
 from voxelspring.operators.graph import components, forest
-from voxelspring.operators.kmeans import fitted
+from voxelspring.operators.kmeans import FEW, fitted, labelled
 from voxelspring.operators.neighbors import CELL, around, radius_pairs, with_cell
 from voxelspring.storage import stored
 
@@ -117,6 +117,8 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, most: int
     own = finite(df, tuple(columns))
     if k not in centers:
         return own.select("pid", F.lit(0).alias("label")), 0.0
+    if len(centers[k]) <= FEW:
+        return labelled(own.select("pid", *columns), columns, centers[k], digits).select("pid", "label"), wcss[k]
     best = nearest_center(columns, [(i, *c) for i, c in enumerate(centers[k].tolist())], digits)
     return own.select("pid", best["label"].alias("label")), wcss[k]
 

@@ -19,6 +19,10 @@ PARTS = 4096
 UNITS = float(1 << 40)
 #: Points of a cloud that is one block.
 SMALL = 4096
+#: Centres of all models together up to which points are assigned by column expressions, without an index.
+FEW = 8
+#: Squared distances farther apart than this in units of the last decimal that counts can't round to one number.
+NEAR = 4.0
 #: Room for rounding when a box shuts out a centre, as a part of the larger distance.
 SLACK = 1e-6
 
@@ -79,6 +83,43 @@ def seeds(own: DataFrame, columns: list[str], k: int, seed: int) -> list[tuple]:
     return found
 
 
+def labelled(df: DataFrame, columns: list[str], centers: np.ndarray, digits: int | None) -> DataFrame:
+    """df with `label` and `d2` of the nearest centre, ties to the smaller label. Distances are columns of their
+    own, so that each is computed once; rounding, which costs more than all of them, is left to points that
+    lie about as far from two centres."""
+    names = [f"__d{i}" for i in range(len(centers))]
+    own = df.withColumns({n: _square(columns, tuple(map(float, c))) for n, c in zip(names, centers, strict=True)})
+    if len(names) == 1:
+        return own.withColumn("label", F.lit(0)).withColumnRenamed("__d0", "d2")
+
+    def first(of: list[Column], least: Column) -> Column:
+        out = F.lit(len(of) - 1)
+        for i in reversed(range(len(of) - 1)):
+            out = F.when(of[i] <= least, F.lit(i)).otherwise(out)
+        return out
+
+    d2 = [F.col(n) for n in names]
+    own, label = own.withColumn("d2", F.least(*d2)), first(d2, F.col("d2"))
+    if digits is not None:
+        limit = F.col("d2") + F.lit(NEAR * 10.0**-digits)
+        own = own.withColumn("__near", reduce(lambda a, b: a + b, [(d <= limit).cast("int") for d in d2]))
+        even = [F.round(d, digits) for d in d2]
+        label = F.when(F.col("__near") == 1, label).otherwise(first(even, F.least(*even)))
+    return own.withColumn("label", label).drop(*names, "__near")
+
+
+def _plain_sums(own: DataFrame, columns: list[str], models: dict[int, np.ndarray], digits: int | None) -> DataFrame:
+    """As _sums, from points as they are: a scan for each model, whose partial sums have a row for each centre."""
+    out = None
+    for m, centers in models.items():
+        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]
+        n = F.count(F.lit(1)).cast("double")
+        found = labelled(own.select(*columns), columns, centers, digits).groupBy("label").agg(n.alias("n"), F.sum("d2").alias("wcss"), n.alias("evaluated"), *sums)
+        found = found.withColumn("model", F.lit(m))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _open_centers(centers: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The places of centres that can be the nearest of a point in the box: all but those that some other
     centre beats at each point, which the corner towards the beaten one decides."""
@@ -120,19 +161,23 @@ def _sums(blocks: DataFrame, columns: list[str], models: dict[int, np.ndarray],
 
 def converged(blocks: DataFrame, columns: list[str], models: dict[int, list[tuple]], most: int = 300, digits: int | None = None) -> tuple[dict[int, np.ndarray], dict[int, float], float]:
     """(centres, sums of squares, share of points and centres evaluated) of each model after rounds until its
-    centres stay, `most` at most. All models that still move share a round, which is one pass; an empty cluster keeps its
+    centres stay, `most` at most. blocks: a block index, or for few centres the points themselves. All models that still move share a round, which is one pass; an empty cluster keeps its
     centre. Only sums come to the driver, one for each centre."""
     at = {m: np.array(c, float).reshape(-1, len(columns)) for m, c in models.items() if len(c)}
     moving, wcss, done, of = set(at), dict.fromkeys(models, 0.0), 0.0, 0.0
     for nth in range(most + 1):
         if not moving:
             break
-        found = _sums(blocks, columns, {m: at[m] for m in sorted(moving)}, digits).collect()
+        sums = _sums if "points" in blocks.columns else _plain_sums
+        found = sums(blocks, columns, {m: at[m] for m in sorted(moving)}, digits).collect()
         for m in sorted(moving):
-            own = sorted((r for r in found if r["model"] == m), key=lambda r: r["label"])
+            own = [r for r in found if r["model"] == m]
             wcss[m] = sum(r["wcss"] for r in own)
-            after = np.array([[r[f"s{i}"] / r["n"] if r["n"] else at[m][r["label"], i] for i in range(len(columns))] for r in own])
-            done, of = done + sum(r["evaluated"] for r in own), of + sum(r["n"] for r in own) * len(own)
+            after = at[m].copy()
+            for r in own:
+                if r["n"]:
+                    after[r["label"]] = [r[f"s{i}"] / r["n"] for i in range(len(columns))]
+            done, of = done + sum(r["evaluated"] for r in own), of + sum(r["n"] for r in own) * len(at[m])
             scale = np.abs(after).max(initial=0.0)
             if np.abs(after - at[m]).max(initial=0.0) <= 1e-12 * scale:
                 moving.discard(m)
@@ -147,7 +192,10 @@ def fitted(df: DataFrame, columns: list[str], numbers: list[int], seed: int = 42
     engines."""
     own = stored(finite(df.select("pid", *[F.col(c).cast("double").alias(c) for c in columns]), tuple(columns)))
     first = seeds(own, columns, max(numbers), seed)
-    blocks = packed(own, columns=tuple(columns), whole=own.count() <= SMALL)
+    n = own.count()
+    # an index costs several passes and shuffles of all points, more than the rounds of a few centres
+    plain = n > SMALL and sum(numbers) <= FEW
+    blocks = own if plain else packed(own, columns=tuple(columns), whole=n <= SMALL)
     out = converged(blocks, columns, {k: first[:k] for k in numbers}, most, digits)
-    drop_stored(own, blocks)
+    drop_stored(*([own] if plain else [own, blocks]))
     return out
