@@ -122,3 +122,20 @@ def test_planes_over_many_blocks_of_a_batch_take_little_memory():
     tracemalloc.stop()
     assert (total == (np.abs(at @ own[:, :3].T + own[:, 3]) <= 0.5).sum(axis=0)).all()
     assert peak < 8 * n * len(own)  # less than one interval's side for each block and plane
+
+
+def test_numbering_stores_no_column_that_only_orders(spark, monkeypatch):
+    from voxelspring import cloud as own
+
+    seen, keep = [], own.stored
+    monkeypatch.setattr(own, "stored", lambda df: seen.append(df.columns) or keep(df))
+    rows = own.with_pid(spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "k int, v string"), "k", kept=["v"]).collect()
+    assert seen == [["v", "__at"]] and sorted((r["pid"], r["v"]) for r in rows) == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_the_segment_in_sql_text_joins_nothing(spark):
+    from voxelspring.plans.catalogue import _sql_segment
+
+    found = _sql_segment(spark.createDataFrame([(0, 25.0, 50.0, 9.0, 6), (1, 25.0, 50.0, 70.0, 1), (2, 0.0, 9.0, 0.0, 6)], f"{SCHEMA}, cls int"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(6, 2, 2)]

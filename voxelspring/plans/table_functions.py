@@ -4,6 +4,7 @@ columns reach the scan, and no row leaves the engine."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 POINT = "pid BIGINT, x DOUBLE, y DOUBLE, z DOUBLE"
 VOXEL = "vx BIGINT, vy BIGINT, vz BIGINT"
@@ -25,9 +26,11 @@ def _functions(view: str) -> dict[str, str]:
         "points_within": f"""(cx DOUBLE, cy DOUBLE, cz DOUBLE, radius DOUBLE) RETURNS TABLE ({POINT}) RETURN
             SELECT pid, x, y, z FROM {view} WHERE x BETWEEN cx - radius AND cx + radius AND y BETWEEN cy - radius AND cy + radius
               AND z BETWEEN cz - radius AND cz + radius AND (x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz) <= radius * radius""",
-        # whether each point is within the threshold of ax + by + cz + d = 0
-        "plane_segment": f"""(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, threshold DOUBLE) RETURNS TABLE (pid BIGINT, distance DOUBLE, is_inlier BOOLEAN) RETURN
-            SELECT pid, e, abs(e) <= threshold FROM (SELECT pid, (a * x + b * y + c * z + d) / sqrt(a * a + b * b + c * c) AS e FROM {view})""",
+        # whether each point is within the threshold of ax + by + cz + d = 0; a point's place and class come along,
+        # so that filters and groups on them need no join of the whole cloud
+        "plane_segment": f"""(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, threshold DOUBLE)
+            RETURNS TABLE (pid BIGINT, distance DOUBLE, is_inlier BOOLEAN, x DOUBLE, y DOUBLE, z DOUBLE, cls INT) RETURN
+            SELECT pid, e, abs(e) <= threshold, x, y, z, cls FROM (SELECT *, (a * x + b * y + c * z + d) / sqrt(a * a + b * b + c * c) AS e FROM {view})""",
         # a ring's corners by falling bearing about their mean, from 0, and the area that they enclose then
         "sorted_ring": f"""(low BIGINT, high BIGINT) RETURNS TABLE (ord INT, pid BIGINT, x DOUBLE, y DOUBLE) RETURN
             WITH r AS (SELECT pid, x, y FROM {view} WHERE pid BETWEEN low AND high), m AS (SELECT avg(x) AS mx, avg(y) AS my FROM r)
@@ -36,10 +39,11 @@ def _functions(view: str) -> dict[str, str]:
 
 
 def register(cloud: DataFrame, view: str = "points") -> list[str]:
-    """Make a cloud (pid, x, y, z) and the functions over it known to its session's SQL under `view` and
+    """Make a cloud (pid, x, y, z) and the functions over it known, with cls where it has one, to its session's SQL under `view` and
     their own names; returns these. A later call puts another cloud in their place."""
     spark = cloud.sparkSession
-    cloud.select("pid", "x", "y", "z").createOrReplaceTempView(view)
+    cls = F.col("cls").cast("int") if "cls" in cloud.columns else F.lit(None).cast("int").alias("cls")
+    cloud.select("pid", "x", "y", "z", cls).createOrReplaceTempView(view)
     made = _functions(view)
     for name, body in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
