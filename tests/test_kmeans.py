@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -91,3 +92,29 @@ def test_few_centres_need_no_index(spark, monkeypatch):
     at = np.array([[0.0, 0.0, 0.0], [2.0 - 1e-12, 0.0, 0.0]])
     tie = kmeans.labelled(cloud(spark, [(1, 0, 0), (1.1, 0, 0)]), ["x", "y", "z"], at, 9).orderBy("pid").collect()
     assert [r["label"] for r in tie] == [0, 1]
+
+
+def test_a_round_takes_many_blocks_together(spark):
+    rows = spots(20_003)
+    # a copy of a point between two centres: a tie, which goes to the smaller label
+    first = [*plain_seeds(rows, 18, 42), (100.0, 0.0, 0.0), (102.0, 0.0, 0.0)]
+    rows = [*rows, (101.0, 0.0, 0.0), (101.0 + 1e-13, 0.0, 0.0)]
+    models, columns = {k: np.array(first[-k:]) for k in range(1, 21)}, ["x", "y", "z"]
+    took, found = [], []
+    for size in (4, 1024):
+        packed = blocks.packed(cloud(spark, rows), size=size)
+        kmeans._sums(packed, columns, models, 9).collect()
+        began = time.time()
+        found.append({(r["model"], r["label"]): r for r in kmeans._sums(packed, columns, models, 9).collect()})
+        took.append(time.time() - began)
+    at = np.array(rows)
+    for own in found:
+        for k, centers in models.items():
+            d2 = ((at[:, None] - centers[None]) ** 2).sum(axis=2)
+            label = d2.round(9).argmin(axis=1)
+            for i in range(k):
+                r, mine = own[k, i], label == i
+                assert r["n"] == mine.sum() and r["wcss"] == pytest.approx(d2[mine, i].sum())
+                assert [r[f"s{j}"] for j in range(3)] == pytest.approx(at[mine].sum(axis=0).tolist())
+    # 5,002 blocks instead of 20: what a block costs beside its points is small
+    assert took[0] < 8 * took[1] + 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelspring.operators.blocks import block_arrays, distances2, finite, packed
+from voxelspring.operators.blocks import distances2, finite, packed
 from voxelspring.storage import drop_stored, stored
 
 #: Sums that the driver gets at once in a draw, and points that it gets at the end of it.
@@ -23,6 +23,8 @@ SMALL = 4096
 FEW = 8
 #: Squared distances farther apart than this in units of the last decimal that counts can't round to one number.
 NEAR = 4.0
+#: Points of blocks that go through the arithmetic of a round together.
+POINTS = 1 << 16
 #: Room for rounding when a box shuts out a centre, as a part of the larger distance.
 SLACK = 1e-6
 
@@ -121,40 +123,97 @@ def _plain_sums(own: DataFrame, columns: list[str], models: dict[int, np.ndarray
 
 
 def _open_centers(centers: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The places of centres that can be the nearest of a point in the box: all but those that some other
-    centre beats at each point, which the corner towards the beaten one decides."""
-    middle = (low + high) / 2
-    best = int(((centers - middle) ** 2).sum(axis=1).argmin())
-    corner = np.where(centers > centers[best], high, low)
-    beaten = ((corner - centers) ** 2).sum(axis=1) * (1 - SLACK) > ((corner - centers[best]) ** 2).sum(axis=1)
-    beaten[best] = False
-    return np.flatnonzero(~beaten)
+    """For each box and centre, whether the centre can be the nearest of a point in the box: all can but those that
+    some other centre beats at each point, which the corner towards the beaten one decides."""
+    best = distances2((low + high) / 2, centers).argmin(axis=1)
+    to, of_best = 0.0, 0.0
+    for i in range(centers.shape[1]):
+        at = centers[best, i][:, None]
+        corner = np.where(centers[:, i] > at, high[:, i, None], low[:, i, None])
+        to, of_best = to + (centers[:, i] - corner) ** 2, of_best + (at - corner) ** 2
+    could = to * (1 - SLACK) <= of_best
+    could[np.arange(len(best)), best] = True
+    return could
+
+
+def _add(total: np.ndarray, label: np.ndarray, n, wcss: np.ndarray, evaluated, sums: list[np.ndarray]) -> None:
+    """Add what lies at each label to its row of total: numbers, or the same one for all."""
+    for i, values in enumerate((n, wcss, evaluated, *sums)):
+        if np.ndim(values):
+            total[:, i] += np.bincount(label, values, len(total))
+        elif values:
+            total[:, i] += values * np.bincount(label, minlength=len(total))
+
+
+def _assign(total: np.ndarray, points: list[np.ndarray], box: tuple, own: tuple, centers: np.ndarray, digits: int | None) -> None:
+    """Add what each centre of a model gets from blocks of one length to its row of total. points: an array for each
+    column, with a row for each block; box: low and high corners; own: the blocks' means and squares about them."""
+    size, (mean, squares) = points[0].shape[1], own
+    could = _open_centers(centers, *box)
+    count = could.sum(axis=1)
+    order = np.argsort(~could, axis=1, kind="stable")  # the open centres first, by label
+    single = count == 1
+    if single.any():
+        label = order[single, 0]
+        wcss = squares[single] + size * ((mean[single] - centers[label]) ** 2).sum(axis=1)
+        _add(total, label, size, wcss, 0, list(size * mean[single].T))
+    for m in np.unique(count[~single]):
+        rows = np.flatnonzero(count == m)
+        at, could_be = [p[rows] for p in points], order[rows, :m]
+
+        def to(nth: int) -> np.ndarray:
+            return sum((p - centers[could_be[:, nth], i][:, None]) ** 2 for i, p in enumerate(at))  # noqa: B023
+
+        best, second, nth = to(0), np.inf, np.zeros(at[0].shape, np.int64)
+        for i in range(1, m):
+            d2 = to(i)
+            second = np.minimum(second, np.maximum(best, d2))
+            nth[d2 < best] = i
+            best = np.minimum(best, d2)
+        if digits is not None:
+            # rounding costs more than all distances, and only matters where two are about as near
+            ties = np.nonzero(second <= best + NEAR * 10.0**-digits)
+            if len(ties[0]):
+                here = np.column_stack([p[ties] for p in at])
+                d2 = sum((here[:, i, None] - centers[could_be[ties[0]], i]) ** 2 for i in range(len(at)))
+                nth[ties] = np.round(d2, digits).argmin(axis=1)
+                best[ties] = d2[np.arange(len(d2)), nth[ties]]
+        label = np.take_along_axis(could_be, nth, axis=1).ravel()
+        _add(total, label, 1, best.ravel(), 0, [p.ravel() for p in at])
+        total[:, 2] += size * np.bincount(could_be.ravel(), minlength=len(total))
 
 
 def _sums(blocks: DataFrame, columns: list[str], models: dict[int, np.ndarray], digits: int | None) -> DataFrame:
     """(model, label, n, wcss, evaluated, sums): what each cluster of each model gets. A block that has one
-    open centre gives its sums without a distance to any other."""
+    open centre gives its sums without a distance to any other. Blocks of one length, all but the last of a
+    cloud, go through the arithmetic together, about POINTS points at once."""
     width, names = len(columns), ("n", "wcss", "evaluated")
 
     def run(batches):
         total = {m: np.zeros((len(c), 3 + width)) for m, c in models.items()}
         for batch in batches:
-            for values in block_arrays(batch, tuple(columns)):
-                at = np.column_stack(values)
-                low, high = at.min(axis=0), at.max(axis=0)
-                for m, centers in models.items():
-                    could = _open_centers(centers, low, high)
-                    d2 = distances2(at, centers[could])
-                    label = np.zeros(len(at), np.int64) if len(could) == 1 else (d2 if digits is None else np.round(d2, digits)).argmin(axis=1)
-                    own = d2[np.arange(len(at)), label]
-                    for nth in range(len(could)):
-                        mine = label == nth
-                        total[m][could[nth]] += [mine.sum(), own[mine].sum(), len(at) if len(could) > 1 else 0, *at[mine].sum(axis=0)]
+            offsets, values = None, []
+            for c in columns:
+                offsets = batch.column(c).offsets.to_numpy()
+                values.append(batch.column(c).values.to_numpy(zero_copy_only=False))
+            sizes = np.diff(offsets)
+            for size in np.unique(sizes[sizes > 0]):
+                alike = np.flatnonzero(sizes == size)
+                step = max(1, POINTS // int(size))
+                for i in range(0, len(alike), step):
+                    places = offsets[alike[i : i + step], None] + np.arange(size)
+                    points = [v[places] for v in values]
+                    box = tuple(np.column_stack([f(p, axis=1) for p in points]) for f in (np.min, np.max))
+                    mean = np.column_stack([p.mean(axis=1) for p in points])
+                    squares = sum(((p - mean[:, j, None]) ** 2).sum(axis=1) for j, p in enumerate(points))
+                    for m, centers in models.items():
+                        _assign(total[m], points, box, (mean, squares), centers, digits)
         rows = [(m, label, *map(float, r[:3]), r[3:].tolist()) for m, t in total.items() for label, r in enumerate(t)]
         kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 3, pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["model", "label", *names, "sums"])
 
-    parts = blocks.select("points").mapInArrow(run, "model int, label int, n double, wcss double, evaluated double, sums array<double>")
+    points = blocks.select(*[F.col(f"points.{c}").alias(c) for c in columns])
+    parts = points.mapInArrow(run, "model int, label int, n double, wcss double, evaluated double, sums array<double>")
     sums = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]
     return parts.groupBy("model", "label").agg(*[F.sum(n).alias(n) for n in names], *sums)
 
