@@ -8,8 +8,10 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from voxelspring import sources
+from voxelspring import cloud, sources
 from voxelspring.operators import select
+from voxelspring.sources import onefile
+from voxelspring.sources.files import numbered_lines, ordered_lines
 from voxelspring.sources.onefile import OneFileWriter
 from voxelspring.sources.text import write_one_text
 
@@ -87,3 +89,41 @@ def test_a_folder_of_ply_files(spark, tmp_path):
     found = sources.read_ply(spark, str(tmp_path))
     assert found.count() == 300 and found.select("file").distinct().count() == files.count()
     assert sorted(r["x"] for r in found.where("z BETWEEN 30 AND 60").collect()) == [float(x) for x in range(10, 21)]
+
+
+def test_tasks_sort_no_more_than_a_range(spark, monkeypatch):
+    monkeypatch.setattr(cloud, "RANGE", 100)
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"))
+    sizes = [r["n"] for r in cloud.in_ranges(df, "k").groupBy(F.spark_partition_id()).agg(F.count("k").alias("n")).collect()]
+    assert len(sizes) >= 40 and max(sizes) < 400
+    numbered = cloud.with_pid(df, "k")
+    assert len(numbered.inputFiles()) >= 40
+    assert [r["k"] for r in numbered.orderBy("pid").collect()] == sorted(r["k"] for r in df.collect())
+    assert [r["pid"] for r in numbered.orderBy("pid").select("pid").collect()] == list(range(5000))
+
+
+def test_rows_for_the_writer_are_short(spark, tmp_path):
+    text = F.when(F.col("id") % 1000 == 7, F.repeat(F.lit("ü"), 9000)).otherwise(F.col("id").cast("string"))
+    lines = spark.range(12_000).select(text.alias("line"), F.col("id").alias("o")).coalesce(1)
+    placed, size = onefile.placed_lines(lines, "o")
+    rows = sorted((r["offset"], bytes(r["data"])) for r in placed.collect())
+    want = "".join(f"{r['line']}\n" for r in lines.orderBy("o").collect()).encode()
+    assert b"".join(d for _, d in rows) == want and size == len(want)
+    assert [o for o, _ in rows] == [sum(len(d) for _, d in rows[:i]) for i in range(len(rows))]
+    assert all(len(d) <= onefile.BYTES or d.count(b"\n") == 1 for _, d in rows) and len(rows) < 200
+
+
+def test_lines_are_numbered_by_parts(spark, tmp_path):
+    path = tmp_path / "c.txt"
+    path.write_text("".join(f"{'x' * (i * 7919 % 60)}{i}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        assert ordered_lines(spark, str(path)).select("split").distinct().count() > 10
+        found = numbered_lines(spark, str(path)).orderBy("nth").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["nth"] for r in found] == list(range(3000))
+    assert [r["value"] for r in found] == path.read_text().splitlines()
+    (tmp_path / "none.txt").write_text("")
+    assert numbered_lines(spark, str(tmp_path / "none.txt")).count() == 0

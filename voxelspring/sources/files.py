@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from voxelspring.storage import stored
+
 
 def _hadoop(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,6 +50,17 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     return found.select("value", *meta).withColumn("at", F.monotonically_increasing_id())
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str = "nth") -> DataFrame:
+    """value and the number, from 0, of each line of a file. A part of a file is read in order by one task, so a line's
+    number is that of the lines in earlier parts plus its place in its own: nothing is sorted, and what is counted
+    over parts has a row for each."""
+    lines = stored(ordered_lines(spark, path).select("value", "split", "at"))
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head"))
+    starts = parts.select("split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("head")).alias("start"))
+    return lines.join(F.broadcast(starts), "split").select((F.col("start") + F.col("at")).alias(name), "value")
+
+
 class Range(InputPartition):
     """Records of one file."""
 

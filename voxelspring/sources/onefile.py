@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from voxelspring.cloud import in_ranges
 from voxelspring.storage import stored
 
-#: Lines whose bytes go to the writer at once.
-LINES = 20_000
+#: Bytes of a row for the writer, or one line; Spark hands it batches of 10,000 rows.
+BYTES = 4096
 
 
 @dataclass
@@ -85,14 +86,19 @@ def placed_lines(lines: DataFrame, *order: str) -> tuple[DataFrame, int]:
     def within(batches):
         at = 0
         for batch in batches:
-            texts = batch.column("line").to_pylist()
-            for i in range(0, len(texts), LINES):
-                data = "".join(f"{t}\n" for t in texts[i : i + LINES]).encode()
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([data], pa.binary())], names=["at", "data"])
-                at += len(data)
+            starts, found, size = [], [], BYTES
+            for text in batch.column("line").to_pylist():
+                data = f"{text}\n".encode()
+                if size + len(data) > BYTES:
+                    starts.append(at)
+                    found.append([])
+                    size = 0
+                found[-1].append(data)
+                size, at = size + len(data), at + len(data)
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([b"".join(f) for f in found], pa.binary())], names=["at", "data"])
 
     part = F.spark_partition_id().alias("part")
-    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line")
+    ordered = in_ranges(lines, *order).select("line")
     own = stored(ordered.mapInArrow(within, "at long, data binary").select("at", "data", part))
     start, starts = 0, []
     # one row for each partition

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from voxelspring.cloud import with_pid
-from voxelspring.sources.files import Bounds, Range, files_at, first_bytes, local_path, ordered_lines, ranges, write_blocks
-from voxelspring.sources.onefile import write_at
+from voxelspring.sources.files import Bounds, Range, files_at, first_bytes, local_path, numbered_lines, ranges, write_blocks
+from voxelspring.sources.onefile import BYTES, write_at
 
 #: Kinds of properties and their numpy types. Fixed values.
 KINDS = {
@@ -112,7 +112,7 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.format("ply_points").option("path", own).load()
     head = header(first_bytes(spark, path, HEADER), path)
     if head["format"] == "ascii":
-        lines = with_pid(ordered_lines(spark, path), "split", "at", name="line")
+        lines = numbered_lines(spark, path, "line")
         nth, parts = F.col("line") - head["lines"], F.split(F.trim("value"), r"\s+")
         return lines.where((nth >= 0) & (nth < head["count"])).select(nth.alias("pid"), *[parts[i].cast("double").alias(n) for i, (n, _) in enumerate(head["properties"])])
     if own is not None:
@@ -174,12 +174,13 @@ def write_ply(df: DataFrame, path: str) -> int:
     placed = with_pid(key.select("pid", *_coordinates(df).columns), "pid", name="nth")
     placed = placed.select("nth", *[F.col(c).cast("double") for c in placed.columns if c not in ("pid", "nth")])
     width = 24 + 3 * color
+    step = BYTES // width
 
     def place(batches):
         for batch in batches:
             nth, data = batch.column("nth").to_numpy(), records(batch, color)
             edges = [0, *(np.flatnonzero(np.diff(nth) != 1) + 1).tolist(), len(nth)]
-            runs = [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+            runs = [(at, min(b, at + step)) for a, b in zip(edges, edges[1:]) for at in range(a, b, step)]
             yield pa.RecordBatch.from_arrays([pa.array([int(nth[a]) * width for a, _ in runs], pa.int64()), pa.array([data[a * width : b * width] for a, b in runs], pa.binary())], names=["offset", "data"])
 
     n = placed.count()
