@@ -256,7 +256,7 @@ def levels_by_rounds(calls: DataFrame, group: int = GROUP) -> DataFrame:
     however long its own chains are; so there are as many rounds as the longest way goes from block to block,
     one or two where calls depend on earlier ones close by."""
     order = [c for c in ("turn", "place") if c in calls.columns]
-    own = with_pid(calls.select("conv_id", *order, "call_id", "depends_on"), "conv_id", *order, "call_id", name="number")
+    own = with_pid(calls.select("conv_id", *order, "call_id", "depends_on"), "conv_id", *order, "call_id", name="number", count=False)
     own = stored(own.select("conv_id", "call_id", "depends_on", "number", F.floor(F.col("number") / group).alias("block")))
     named = own.select("conv_id", "number", "block", F.explode(F.array_distinct("depends_on")).alias("needs"))
     at = own.select("conv_id", F.col("call_id").alias("needs"), F.col("number").alias("dep"), F.col("block").alias("dep_block"))

@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     those that follow the rate make up the share together; only sums come to the driver.
     """
     own = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("__last", F.col("source").isNull())
-    own = with_pid(own, "__last", "source", name="sid").drop("__last")
+    own = with_pid(own, "__last", "source", name="sid", count=False).drop("__last")
     listed = F.array(*[F.lit(float(w)) for w in weights])
     own = stored(own.withColumn("weight", F.element_at(listed, (F.col("sid") % len(weights) + 1).cast("int"))))
     top = F.col("source_size") * F.lit(float(most))
@@ -174,7 +174,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     all_ = all_.withColumn("part", F.when(F.col("size") > 0, F.col("copies") - F.col("whole")).otherwise(0.0))
     plain = all_.where("part = 0").select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size")).alias("taken"))
     back = F.length(F.bin("size")) <= F.col("cut")
-    units = with_pid(all_.where("part > 0").withColumn("back", back), "sid", "back", "doc_id", "size", name="number")
+    units = with_pid(all_.where("part > 0").withColumn("back", back), "sid", "back", "doc_id", "size", name="number", count=False)
     units = stored(units.select(*COLUMNS, "back"))
     count = units.count()
     settled, rest = _tree(units.where("NOT back"), count, group, seed)
