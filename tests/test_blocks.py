@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -49,6 +51,45 @@ def test_balls_of_many_centres(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in found.collect()} == want
 
 
+def test_balls_that_hold_whole_blocks_store_no_row_for_each(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", 3)
+    monkeypatch.setattr(neighbors, "REACH", 5)
+    sizes, keep = [], neighbors.stored
+    monkeypatch.setattr(neighbors, "stored", lambda df: sizes.append((out := keep(df)).count()) or out)
+    rows = [(i % 10, i // 10 % 10, i // 100) for i in range(1000)]
+    own = cloud(spark, rows)
+    for radius in (3.0, 100.0):
+        found = neighbors.balls(blocks.packed(own, size=8), own.where("pid % 100 = 0"), radius).collect()
+        want = {(i, j) for i in range(0, 1000, 100) for j in range(1000) if sum((a - b) ** 2 for a, b in zip(rows[i], rows[j], strict=True)) <= radius**2}
+        assert len(found) == len(want) and {(r["a"], r["b"]) for r in found} == want
+    assert sizes and max(sizes) <= 5 * 10
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from voxelspring import storage
+
+    keep = spark.conf.get(storage.CLEANUP, None)
+    files = lambda: {f for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).glob("*/shuffle_*.data")}
+    before = files()
+    found = storage.stored(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(storage.CLEANUP, None) == keep and found.count() == 1000
+
+
+def test_an_index_keeps_one_copy_of_its_cloud(spark):
+    from voxelspring.storage import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    own = cloud(spark, spread(100))
+    for make in (blocks.z_ordered, blocks.packed):
+        before = set(folder.glob("table-*"))
+        out = make(own)
+        assert len(set(folder.glob("table-*")) - before) == 1 and out.count()
+
+
 @pytest.mark.parametrize("threshold", [0.0, 0.05, 2.0, 1e6])
 def test_planes_over_blocks_count_the_same_points(spark, threshold):
     draw = np.random.default_rng(1)
